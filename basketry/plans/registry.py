@@ -3,7 +3,7 @@ parameters.  Import this module to fill ``catalog.ENTRIES``."""
 
 from __future__ import annotations
 
-from basketry.plans import revenue
+from basketry.plans import customer, revenue
 from basketry.plans.catalog import register
 
 REV = "Revenue & Sales"
@@ -30,3 +30,20 @@ register("monthly_trend_script", SCRIPT, "Monthly Revenue with MoM Growth", "har
          ("CTE", "LAG"))(lambda shop: revenue.monthly_trend(shop, with_unique_customers=False))
 register("city_payment_pivot3", SCRIPT, "Revenue Pivot by City x Payment Method", "med",
          ("CASE", "PIVOT-style"))(lambda shop: revenue.city_payment_pivot(shop, ["UPI", "Card", "COD"]))
+
+register("clv_ranking", CUST, "Customer Lifetime Value (CLV) Ranking", "hard",
+         ("Window Function", "RANK", "CTE", "CLV"))(lambda shop: customer.clv_ranking(shop, 20))
+register("rfm", CUST, "RFM Segmentation with SQL", "hard",
+         ("CTE", "CASE", "NTILE", "Window Function", "RFM"))(lambda shop: customer.rfm(shop))
+register("rfm_customers", CUST, "RFM scores per customer", "hard",
+         ("NTILE", "Window Function", "RFM"))(lambda shop: customer.rfm_customers(shop))
+register("new_vs_returning", CUST, "New vs Returning Customer Revenue Split", "med",
+         ("CTE", "CASE", "SUBQUERY", "Cohort"))(lambda shop: customer.new_vs_returning(shop))
+register("churn", CUST, "Customer Churn Detection", "hard",
+         ("CTE", "DATEDIFF", "Window Function", "Churn"))(lambda shop: customer.churn(shop))
+register("clv_rank_full", SCRIPT, "Customer Lifetime Value with Window Ranking", "hard",
+         ("RANK", "NTILE", "CTE"))(lambda shop: customer.clv_rank_full(shop, 20))
+register("rfm_script", SCRIPT, "Full RFM Segmentation in Pure SQL", "hard",
+         ("NTILE", "CASE", "CTE"))(lambda shop: customer.rfm(shop, full=False))
+register("churn_basic", SCRIPT, "Customer Churn Detection (orders only)", "med",
+         ("CTE", "CASE"))(lambda shop: customer.churn_basic(shop))
