@@ -3,7 +3,8 @@ parameters.  Import this module to fill ``catalog.ENTRIES``."""
 
 from __future__ import annotations
 
-from basketry.plans import customer, revenue
+from basketry.plans import advanced, customer, operations, product, revenue
+from basketry.plans.common import SHOWCASE_CUSTOMERS_SCRIPT
 from basketry.plans.catalog import register
 
 REV = "Revenue & Sales"
@@ -47,3 +48,25 @@ register("rfm_script", SCRIPT, "Full RFM Segmentation in Pure SQL", "hard",
          ("NTILE", "CASE", "CTE"))(lambda shop: customer.rfm(shop, full=False))
 register("churn_basic", SCRIPT, "Customer Churn Detection (orders only)", "med",
          ("CTE", "CASE"))(lambda shop: customer.churn_basic(shop))
+
+register("product_pareto", PROD, "Product Performance with Running Total", "hard",
+         ("Window Function", "SUM OVER", "Running Total", "Market Share"))(lambda shop: product.product_pareto(shop, 20))
+register("cross_sell", PROD, "Category Cross-Sell Analysis", "hard",
+         ("Self JOIN", "Subquery", "Cross-sell"))(lambda shop: product.cross_sell(shop))
+register("discount_impact", PROD, "Discount Impact on Profitability", "med",
+         ("CASE", "GROUP BY", "Profitability"))(lambda shop: product.discount_impact(shop))
+register("order_funnel", OPS, "Order Funnel & Cancellation Analysis", "med",
+         ("CASE", "COUNT", "Funnel", "Conversion"))(lambda shop: operations.order_funnel(shop, 20))
+register("monthly_seasonality", OPS, "Peak Sales Hours Analysis", "easy",
+         ("STRFTIME", "GROUP BY", "Time Analysis"))(lambda shop: operations.monthly_seasonality(shop))
+register("cohort_retention", OPS, "Cohort Retention Query", "hard",
+         ("CTE", "Cohort", "Retention", "Window Function"))(lambda shop: operations.cohort_retention(shop))
+register("window_showcase", ADV, "Window Functions Showcase", "hard",
+         ("ROW_NUMBER", "RANK", "DENSE_RANK", "LEAD", "LAG", "NTILE"))(lambda shop: advanced.window_showcase(shop))
+register("journey_sequence", ADV, "Customer Journey: n-th order", "hard",
+         ("Window Function", "ROW_NUMBER"))(lambda shop: advanced.journey_sequence(shop, 5))
+register("journey_paths", ADV, "Recursive CTE — Customer Journey", "hard",
+         ("Recursive CTE", "Hierarchy", "WITH RECURSIVE"))(lambda shop: advanced.journey_paths(shop, 5))
+register("window_showcase3", SCRIPT, "All major window functions in one query", "hard",
+         ("ROW_NUMBER", "RANK", "LAG", "LEAD"))(
+    lambda shop: advanced.window_showcase(shop, SHOWCASE_CUSTOMERS_SCRIPT, advanced.SCRIPT_NAMES))
