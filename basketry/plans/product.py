@@ -44,18 +44,20 @@ def product_pareto(shop: Shop, k: int = 20) -> DataFrame:
             .orderBy(F.desc("revenue"), "product_id").drop("product_id"))
 
 
-def customer_items(shop: Shop, item: str = "category") -> DataFrame:
-    """Distinct (customer, item) over delivered lines."""
+def customer_items(shop: Shop, item: str = "category", items: DataFrame | None = None) -> DataFrame:
+    """Distinct (customer, item) over delivered lines; ``items`` maps
+    product_id -> item when the item is not a products column."""
     o = shop.orders.where(F.col("status") == F.lit(DELIVERED)).select("order_id", "customer_id")
-    p = shop.products.select("product_id", F.col(item).alias("item"))
+    p = items if items is not None else shop.products.select("product_id", F.col(item).alias("item"))
     return (shop.order_items.select("order_id", "product_id").join(o, "order_id")
             .join(p, "product_id").select("customer_id", "item").distinct())
 
 
-def cross_sell(shop: Shop, item: str = "category", a: str = "category_a", b: str = "category_b") -> DataFrame:
+def cross_sell(shop: Shop, item: str = "category", a: str = "category_a", b: str = "category_b",
+               items: DataFrame | None = None) -> DataFrame:
     """Q10: customers who bought both items of a pair (a < b), and that as a
     share of item a's customers (directional base, quirk 9)."""
-    ci = customer_items(shop, item)
+    ci = customer_items(shop, item, items)
     pairs = pair_counts(ci, "customer_id", "item", a, b, "both")
     base = item_counts(ci, "customer_id", "item", "holders").withColumnRenamed("item", a)
     return (pairs.join(base, a)

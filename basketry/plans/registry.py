@@ -3,7 +3,7 @@ parameters.  Import this module to fill ``catalog.ENTRIES``."""
 
 from __future__ import annotations
 
-from basketry.plans import advanced, customer, operations, product, revenue
+from basketry.plans import advanced, audits, customer, operations, operator_keys, product, revenue
 from basketry.plans.common import SHOWCASE_CUSTOMERS_SCRIPT
 from basketry.plans.catalog import register
 
@@ -70,3 +70,27 @@ register("journey_paths", ADV, "Recursive CTE — Customer Journey", "hard",
 register("window_showcase3", SCRIPT, "All major window functions in one query", "hard",
          ("ROW_NUMBER", "RANK", "LAG", "LEAD"))(
     lambda shop: advanced.window_showcase(shop, SHOWCASE_CUSTOMERS_SCRIPT, advanced.SCRIPT_NAMES))
+
+# Generic operator keys and audits (C1-C3).
+OPERATOR_KEYS = [
+    ("op_scan", ("SELECT",)), ("op_line_measures", ("arithmetic", "ROUND")), ("op_preview", ("LIMIT",)),
+    ("op_weighted_choice", ("generator",)), ("op_date_spread", ("generator", "ROW_NUMBER")),
+    ("op_fanout", ("generator", "explode")), ("op_bucketize", ("CASE",)), ("op_join_inner", ("JOIN",)),
+    ("op_first_event", ("MIN", "JOIN")), ("op_argmin_rows", ("Subquery", "MIN")), ("op_pairs", ("Self JOIN",)),
+    ("op_agg_basic", ("SUM", "COUNT", "AVG", "MIN", "MAX")), ("op_count_distinct", ("COUNT DISTINCT",)),
+    ("op_pivot", ("CASE", "PIVOT-style")), ("op_global_rank", ("RANK", "ROW_NUMBER")),
+    ("op_global_ntile", ("NTILE", "RANK")), ("op_running_total", ("SUM OVER", "Running Total")),
+    ("op_share_of_total", ("SUM OVER",)), ("op_lag_lead", ("LAG", "LEAD")), ("op_rolling_avg", ("AVG OVER",)),
+    ("op_window_dist", ("PERCENT_RANK", "CUME_DIST")), ("op_window_first_last", ("FIRST_VALUE", "LAST_VALUE")),
+    ("op_topk", ("ORDER BY", "LIMIT")), ("op_union_all", ("UNION ALL",)), ("op_scalar_dates", ("STRFTIME",)),
+    ("op_scalar_numeric", ("ROUND", "CAST", "NULLIF")), ("op_join_left", ("LEFT JOIN",)),
+    ("op_join_full", ("OUTER JOIN",)), ("op_semi", ("EXISTS",)), ("op_anti", ("NOT EXISTS",)),
+    ("op_union_distinct", ("UNION",)), ("op_having", ("HAVING",)), ("op_predicates", ("LIKE", "COALESCE")),
+    ("op_adhoc_sql", ("ad-hoc SQL",)),
+]
+for _key, _tags in OPERATOR_KEYS:
+    register(_key, OPERATOR, _key, "med", _tags)(getattr(operator_keys, _key))
+
+register("audit_domain", AUDIT, "CHECK domains", "easy", ("CHECK",))(audits.audit_domain)
+register("audit_unique", AUDIT, "Primary key uniqueness", "easy", ("PRIMARY KEY",))(audits.audit_unique)
+register("audit_fk", AUDIT, "Foreign key orphans", "easy", ("REFERENCES",))(audits.audit_fk)

@@ -125,6 +125,7 @@ class Shop:
         net = ext * (_dec(1, "decimal(4,2)") - disc)
         return li.select(F.col("l_orderkey").alias("order_id"),
                          F.col("l_partkey").alias("product_id"),
+                         F.col("l_linenumber").alias("line_no"),
                          F.col("l_quantity").cast("int").alias("quantity"),
                          (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
                          disc.alias("discount"),
