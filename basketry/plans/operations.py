@@ -19,10 +19,11 @@ def order_funnel(shop: Shop, k: int = 20) -> DataFrame:
     Counts are first taken per (customer, payment), which shrinks the input
     of the customer -> region join, then summed per (city, payment)."""
     st = F.col("status")
-    per_cust = (shop.orders.groupBy("customer_id", "payment")
-                .agg(F.count(F.lit(1)).alias("total"),
-                     *[count_if(st == F.lit(s)).alias(n) for s, n in STATUS_COLUMNS]))
-    with_city = per_cust.join(shop.customer_region(), "customer_id", "left")
+    per_key = (shop.orders.groupBy(shop.city_key, "payment")
+               .agg(F.count(F.lit(1)).alias("total"),
+                    *[count_if(st == F.lit(s)).alias(n) for s, n in STATUS_COLUMNS]))
+    lookup = shop.city_lookup()
+    with_city = per_key if lookup is None else per_key.join(lookup, shop.city_key, "left")
     agg = (with_city.groupBy("city", "payment")
            .agg(big(F.sum("total")).alias("total_orders"),
                 *[big(F.sum(n)).alias(n) for _, n in STATUS_COLUMNS]))

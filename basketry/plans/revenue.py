@@ -88,9 +88,10 @@ def city_payment_pivot(shop: Shop, payments: Sequence[str] = tuple(PAYMENTS)) ->
     totals, so the customer -> region lookup joins far fewer rows than there
     are orders; the pivot is a single conditional aggregate."""
     delivered = shop.orders.where(F.col("status") == F.lit(DELIVERED))
-    per_cust = (delivered.join(order_totals(shop), "order_id")
-                .groupBy("customer_id", "payment").agg(F.sum("revenue").alias("rev")))
-    with_city = per_cust.join(shop.customer_region(), "customer_id", "left")
+    per_key = (delivered.join(order_totals(shop), "order_id")
+               .groupBy(shop.city_key, "payment").agg(F.sum("revenue").alias("rev")))
+    lookup = shop.city_lookup()
+    with_city = per_key if lookup is None else per_key.join(lookup, shop.city_key, "left")
     out = pivot_sum(with_city, ["city"], "payment", payments, "rev",
                     name=lambda v: f"{v.lower()}_revenue", total="total_revenue",
                     finish=lambda c: F.round(c, 0).cast("double"))

@@ -71,6 +71,13 @@ class Shop:
     sf_dir: str
     _cache: dict = field(default_factory=dict, repr=False)
 
+    # An order's city is its customer's region here, so analyses by city
+    # can aggregate per customer first and look the city up afterwards.
+    city_key = "customer_id"
+
+    def city_lookup(self) -> DataFrame | None:
+        return self.customer_region()
+
     def raw(self, name: str) -> DataFrame:
         if name not in self._cache:
             self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -140,5 +147,48 @@ class Shop:
         self.order_items.createOrReplaceTempView("order_items")
 
 
+class TableShop(Shop):
+    """A shop over four given DataFrames in the reference layout (generated
+    data, hand-made test rows, or tables read back with ``sources.io``).
+    Orders carry their own ``city``."""
+
+    city_key = "city"
+
+    def __init__(self, spark: SparkSession, customers: DataFrame, products: DataFrame,
+                 orders: DataFrame, order_items: DataFrame):
+        super().__init__(spark, "")
+        self._tables = {"customers": customers, "products": products, "orders": orders,
+                        "order_items": order_items}
+
+    def raw(self, name: str) -> DataFrame:
+        raise KeyError(f"no driver table {name!r} behind a TableShop")
+
+    def city_lookup(self) -> DataFrame | None:
+        return None
+
+    @property
+    def customers(self) -> DataFrame:
+        return self._tables["customers"]
+
+    @property
+    def products(self) -> DataFrame:
+        return self._tables["products"]
+
+    @property
+    def orders(self) -> DataFrame:
+        return self._tables["orders"]
+
+    def orders_with_city(self) -> DataFrame:
+        return self._tables["orders"]
+
+    @property
+    def order_items(self) -> DataFrame:
+        return self._tables["order_items"]
+
+    def register_views(self) -> None:
+        for name, df in self._tables.items():
+            df.createOrReplaceTempView(name)
+
+
 def load(spark: SparkSession, sf_dir: str) -> Shop:
     return Shop(spark, sf_dir.rstrip("/"))
