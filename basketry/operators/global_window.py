@@ -35,7 +35,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_B = "__gw_bucket"
 
 
 @dataclass(frozen=True)
@@ -52,7 +51,7 @@ def desc(c: str) -> OrderKey:
     return OrderKey(c, False)
 
 
-def _sort_parts(df: DataFrame, order: Sequence[OrderKey]) -> list[tuple[str, Column]]:
+def _sort_parts(df: DataFrame, order: Sequence[OrderKey], prefix: str = "__gw_") -> list[tuple[str, Column]]:
     """Ascending-comparable parts for each order key: a null flag that puts
     NULLs where Spark does (first for ASC, last for DESC), then the value,
     negated for DESC."""
@@ -61,8 +60,8 @@ def _sort_parts(df: DataFrame, order: Sequence[OrderKey]) -> list[tuple[str, Col
     for i, k in enumerate(order):
         c = F.col(k.column)
         if k.ascending:
-            parts.append((f"__gw_f{i}", F.when(c.isNull(), 0).otherwise(1)))
-            parts.append((f"__gw_v{i}", c))
+            parts.append((f"{prefix}f{i}", F.when(c.isNull(), 0).otherwise(1)))
+            parts.append((f"{prefix}v{i}", c))
         else:
             dt = types[k.column]
             if isinstance(dt, (T.DateType,)):
@@ -71,8 +70,8 @@ def _sort_parts(df: DataFrame, order: Sequence[OrderKey]) -> list[tuple[str, Col
                 v = -(c.cast("bigint") if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType)) else c)
             else:
                 raise TypeError(f"descending global order needs a numeric or date column: {k.column}")
-            parts.append((f"__gw_f{i}", F.when(c.isNull(), 1).otherwise(0)))
-            parts.append((f"__gw_v{i}", v))
+            parts.append((f"{prefix}f{i}", F.when(c.isNull(), 1).otherwise(0)))
+            parts.append((f"{prefix}v{i}", v))
     return parts
 
 
@@ -98,167 +97,215 @@ def _bucket_expr(names: Sequence[str], cuts: Sequence[tuple]) -> Column:
     return build(0, len(cuts))
 
 
-def _sort_tuple(row: tuple) -> tuple:
-    return tuple(row)
-
-
 def _default_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(1, min(n, 512))
 
 
-def global_window(df: DataFrame, order: Sequence[OrderKey], keys: Sequence[str] = (), *,
-                  row_number: str | None = None, rank: str | None = None,
-                  ntile: tuple[str, int] | None = None,
-                  running_sum: tuple[str, str] | None = None,
-                  buckets: int | None = None, sample_size: int | None = None,
-                  materialize: bool = True) -> DataFrame:
-    """Add global window columns to ``df`` (see module doc).
+@dataclass(frozen=True)
+class GlobalSpec:
+    """One global window: its ORDER BY, tie-break keys and outputs.
 
-    order:        the ORDER BY of the window (OrderKey list).
-    keys:         tie-break columns appended to the order for ROW_NUMBER,
-                  NTILE and the ROWS running sum (must make the order total).
-    row_number:   output name for ROW_NUMBER().
+    row_number:   output name for ROW_NUMBER() over order + keys.
     rank:         output name for RANK() over ``order`` only.
-    ntile:        (name, k) for NTILE(k) over ``order`` + ``keys``.
+    ntile:        (name, k) for NTILE(k) over order + keys.
     running_sum:  (name, column) for SUM(column) ROWS UNBOUNDED PRECEDING.
     """
-    spark = df.sparkSession
-    P = buckets or _default_buckets(df)
-    S = sample_size or min(max(64 * P, 10_000), 500_000)
-    if materialize:
-        df = df.checkpoint(eager=True)
 
-    full = list(order) + [asc(k) for k in keys]
-    parts = _sort_parts(df, full)
-    names = [n for n, _ in parts]
-    n_order_parts = 2 * len(order)
-    order_names = names[:n_order_parts]
-    keyed = df.select("*", *[c.alias(n) for n, c in parts])
+    order: tuple[OrderKey, ...]
+    keys: tuple[str, ...] = ()
+    row_number: str | None = None
+    rank: str | None = None
+    ntile: tuple[str, int] | None = None
+    running_sum: tuple[str, str] | None = None
+
+
+def _spark_order(ks: Sequence[OrderKey]) -> list[Column]:
+    return [F.col(k.column).asc_nulls_first() if k.ascending else F.col(k.column).desc_nulls_last()
+            for k in ks]
 
-    # 2. cut points from a deterministic sample (bounded: S rows)
-    sample = (keyed.select(*names).orderBy(F.xxhash64(*names), *names).limit(S).collect())
-    sample = sorted((_sort_tuple(tuple(r)) for r in sample))
+
+def _cuts(sample: list[tuple], P: int) -> list[tuple]:
     cuts: list[tuple] = []
-    if sample:
-        for j in range(1, P):
-            c = sample[(j * len(sample)) // P]
-            if not cuts or c != cuts[-1]:
-                cuts.append(c)
-        if cuts and cuts[0] == sample[0]:
-            cuts = cuts[1:] if len(cuts) > 1 else []
-    bucketed = keyed.withColumn(_B, _bucket_expr(names, cuts) if cuts else F.lit(0))
-    nb = len(cuts) + 1
-
-    # 4. per-bucket statistics (nb rows)
-    order_struct = F.struct(*[F.col(n) for n in order_names])
-    aggs = [F.count(F.lit(1)).alias("n"), F.min(order_struct).alias("first"), F.max(order_struct).alias("last")]
-    if running_sum:
-        aggs.append(F.sum(running_sum[1]).alias("s"))
-    stats = {r[_B]: r for r in bucketed.groupBy(_B).agg(*aggs).collect()}
-    n_total = sum(r["n"] for r in stats.values())
-
-    offsets, sum_offsets, firsts, eq_before = [], [], [], []
-    run_n, run_s = 0, 0
-    sum_type = None
-    if running_sum:
-        sum_type = bucketed.select(F.sum(running_sum[1]).alias("s")).schema["s"].dataType
-    for b in range(nb):
-        offsets.append(run_n)
-        sum_offsets.append(run_s)
-        r = stats.get(b)
-        firsts.append(tuple(r["first"]) if r else None)
-        if r:
-            run_n += r["n"]
-            if running_sum and r["s"] is not None:
-                run_s = run_s + r["s"]
+    for j in range(1, P):
+        c = sample[(j * len(sample)) // P]
+        if (not cuts or c != cuts[-1]) and c != sample[0]:
+            cuts.append(c)
+    return cuts
 
-    # RANK: rows of an earlier bucket tied with this bucket's first tuple
-    if rank:
-        crossing = []  # (bucket, tuple) whose equal-tuple count is needed
-        for b in range(1, nb):
-            if stats.get(b) is None:
-                continue
-            f = tuple(stats[b]["first"])
+
+def _eq_before(stats: dict, nb: int, counts: dict) -> list[int]:
+    """Per bucket: rows of earlier buckets tied with its first tuple."""
+    out = []
+    for b in range(nb):
+        e = 0
+        if stats.get(b) is not None:
+            f = stats[b]["first"]
             p = b - 1
             while p >= 0:
                 if stats.get(p) is None:
                     p -= 1
                     continue
-                if tuple(stats[p]["last"]) != f:
+                if stats[p]["last"] != f:
                     break
-                crossing.append((p, f))
-                if tuple(stats[p]["first"]) != f:
+                e += counts.get((p, f), 0)
+                if stats[p]["first"] != f:
                     break
                 p -= 1
-        counts: dict[tuple, int] = {}
-        if crossing:
-            uniq = sorted(set(crossing))
-            cond = None
-            for p, f in uniq:
-                c = (F.col(_B) == F.lit(p)) & _eq_tuple(order_names, f)
-                cond = c if cond is None else (cond | c)
-            for r in bucketed.where(cond).groupBy(_B, *order_names).count().collect():
-                counts[(r[_B], tuple(r[n] for n in order_names))] = r["count"]
-        for b in range(nb):
-            e = 0
-            if stats.get(b) is not None:
-                f = tuple(stats[b]["first"])
-                p = b - 1
-                while p >= 0:
-                    if stats.get(p) is None:
-                        p -= 1
-                        continue
-                    if tuple(stats[p]["last"]) != f:
-                        break
-                    e += counts.get((p, f), 0)
-                    if tuple(stats[p]["first"]) != f:
-                        break
-                    p -= 1
-            eq_before.append(e)
+        out.append(e)
+    return out
+
+
+def _crossings(stats: dict, nb: int) -> list[tuple[int, tuple]]:
+    need = []
+    for b in range(1, nb):
+        if stats.get(b) is None:
+            continue
+        f = stats[b]["first"]
+        p = b - 1
+        while p >= 0:
+            if stats.get(p) is None:
+                p -= 1
+                continue
+            if stats[p]["last"] != f:
+                break
+            need.append((p, f))
+            if stats[p]["first"] != f:
+                break
+            p -= 1
+    return sorted(set(need))
+
+
+def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int | None = None,
+                   sample_size: int | None = None, materialize: bool = True) -> DataFrame:
+    """Add the outputs of several global windows to ``df``; all of them
+    share one checkpoint, one sample job and one statistics job."""
+    P = buckets or _default_buckets(df)
+    S = sample_size or min(max(64 * P, 10_000), 500_000)
+    if materialize:
+        df = df.checkpoint(eager=True)
 
-    # 5. local windows inside each bucket, plus offsets by bucket
-    def spark_order(ks: Sequence[OrderKey]) -> list[Column]:
-        return [F.col(k.column).asc_nulls_first() if k.ascending else F.col(k.column).desc_nulls_last()
-                for k in ks]
+    plans = []
+    keyed_cols = []
+    for i, spec in enumerate(specs):
+        full = list(spec.order) + [asc(k) for k in spec.keys]
+        parts = _sort_parts(df, full, prefix=f"__gw{i}_")
+        names = [n for n, _ in parts]
+        plans.append({"spec": spec, "full": full, "names": names,
+                      "order_names": names[:2 * len(spec.order)], "b": f"__gw{i}_bucket"})
+        keyed_cols += [c.alias(n) for n, c in parts]
+    keyed = df.select("*", *keyed_cols)
+    all_names = [n for pl in plans for n in pl["names"]]
+
+    # one sample job (bounded: S rows) gives every spec its cut points
+    rows = keyed.select(*all_names).orderBy(F.xxhash64(*all_names), *all_names).limit(S).collect()
+    bucketed = keyed
+    for pl in plans:
+        sample = sorted(tuple(r[n] for n in pl["names"]) for r in rows)
+        cuts = _cuts(sample, P) if sample else []
+        pl["nb"] = len(cuts) + 1
+        bucketed = bucketed.withColumn(pl["b"], _bucket_expr(pl["names"], cuts) if cuts else F.lit(0))
+
+    # one statistics job: per (spec, bucket) count, first/last tuple, sum
+    sid = F.col("__gw_sid")
+    ex = bucketed.select("*", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("sid"), F.col(pl["b"]).alias("b")) for i, pl in enumerate(plans)])).alias("__gw_sb"))
+    ex = ex.select("*", F.col("__gw_sb.sid").alias("__gw_sid"), F.col("__gw_sb.b").alias("__gw_b"))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, pl in enumerate(plans):
+        st = F.struct(*[F.col(n) for n in pl["order_names"]])
+        aggs += [F.min(F.when(sid == i, st)).alias(f"first{i}"), F.max(F.when(sid == i, st)).alias(f"last{i}")]
+        if pl["spec"].running_sum:
+            aggs.append(F.sum(F.when(sid == i, F.col(pl["spec"].running_sum[1]))).alias(f"s{i}"))
+    stats_rows = ex.groupBy("__gw_sid", "__gw_b").agg(*aggs).collect()
+    for i, pl in enumerate(plans):
+        st = {}
+        for r in stats_rows:
+            if r["__gw_sid"] == i:
+                st[r["__gw_b"]] = {"n": r["n"], "first": tuple(r[f"first{i}"]), "last": tuple(r[f"last{i}"]),
+                                   "s": r[f"s{i}"] if pl["spec"].running_sum else None}
+        pl["stats"] = st
 
-    w_full = Window.partitionBy(_B).orderBy(*spark_order(full))
-    idx = F.col(_B) + 1
     out = bucketed
-    need_rn = row_number or ntile
-    if need_rn:
-        out = out.withColumn("__gw_rn", F.row_number().over(w_full).cast("bigint")
-                             + F.element_at(F.array(*[F.lit(o) for o in offsets]), idx).cast("bigint"))
-    if rank:
-        w_rank = Window.partitionBy(_B).orderBy(*spark_order(order))
-        is_first = _eq_tuple(order_names, None, firsts_col=F.element_at(
-            F.array(*[_struct_lit(order_names, f, bucketed) for f in firsts]), idx))
-        out = out.withColumn(rank, (F.rank().over(w_rank).cast("bigint")
-                                    + F.element_at(F.array(*[F.lit(o) for o in offsets]), idx).cast("bigint")
-                                    - F.when(is_first, F.element_at(F.array(*[F.lit(e) for e in eq_before]), idx))
-                                    .otherwise(F.lit(0)).cast("bigint")))
-    if running_sum:
-        name, col = running_sum
-        lits = [F.lit(s).cast(sum_type) for s in sum_offsets]
+    for i, pl in enumerate(plans):
+        out = _apply(out, pl, bucketed)
+    drop = all_names + [pl["b"] for pl in plans]
+    return out.drop(*drop)
+
+
+def _apply(out: DataFrame, pl: dict, bucketed: DataFrame) -> DataFrame:
+    spec: GlobalSpec = pl["spec"]
+    stats, nb, b = pl["stats"], pl["nb"], pl["b"]
+    n_total = sum(v["n"] for v in stats.values())
+    offsets, sum_offsets, firsts = [], [], []
+    run_n, run_s = 0, 0
+    for k in range(nb):
+        offsets.append(run_n)
+        sum_offsets.append(run_s)
+        r = stats.get(k)
+        firsts.append(r["first"] if r else None)
+        if r:
+            run_n += r["n"]
+            if spec.running_sum and r["s"] is not None:
+                run_s = run_s + r["s"]
+    idx = F.col(b) + 1
+    off = F.element_at(F.array(*[F.lit(o) for o in offsets]), idx).cast("bigint")
+    w_full = Window.partitionBy(b).orderBy(*_spark_order(pl["full"]))
+    rn_col = f"{b}_rn"
+    if spec.row_number or spec.ntile:
+        out = out.withColumn(rn_col, F.row_number().over(w_full).cast("bigint") + off)
+    if spec.rank:
+        counts: dict[tuple, int] = {}
+        need = _crossings(stats, nb)
+        if need:  # tie groups crossing bucket boundaries: count them (rare)
+            names = pl["order_names"]
+            cond = None
+            for p, f in need:
+                c = (F.col(b) == F.lit(p)) & _eq_tuple(names, f)
+                cond = c if cond is None else (cond | c)
+            for r in bucketed.where(cond).groupBy(b, *names).count().collect():
+                counts[(r[b], tuple(r[n] for n in names))] = r["count"]
+        eq_before = _eq_before(stats, nb, counts)
+        names = pl["order_names"]
+        first_here = F.struct(*[F.col(n) for n in names]).eqNullSafe(F.element_at(
+            F.array(*[_struct_lit(names, f, bucketed) for f in firsts]), idx))
+        w_rank = Window.partitionBy(b).orderBy(*_spark_order(spec.order))
+        out = out.withColumn(spec.rank, F.rank().over(w_rank).cast("bigint") + off
+                             - F.when(first_here, F.element_at(F.array(*[F.lit(e) for e in eq_before]), idx))
+                             .otherwise(F.lit(0)).cast("bigint"))
+    if spec.running_sum:
+        name, col = spec.running_sum
+        sum_type = bucketed.select(F.sum(col).alias("s")).schema["s"].dataType
+        lits = [F.lit(v).cast(sum_type) for v in sum_offsets]
         out = out.withColumn(name, F.sum(col).over(w_full.rowsBetween(Window.unboundedPreceding, 0))
                              + F.element_at(F.array(*lits), idx))
-    if ntile:
-        name, k = ntile
+    if spec.ntile:
+        name, k = spec.ntile
         q, r = divmod(n_total, k)
-        rn = F.col("__gw_rn")
+        rn = F.col(rn_col)
         big = F.lit(r * (q + 1))
         out = out.withColumn(name, F.when(rn <= big, F.floor((rn - 1) / F.lit(q + 1)) + 1)
                              .otherwise(F.floor((rn - 1 - big) / F.lit(max(q, 1))) + F.lit(r) + 1)
                              .cast("bigint"))
-    if row_number:
-        out = out.withColumnRenamed("__gw_rn", row_number)
-    drop = [n for n in names] + [_B] + (["__gw_rn"] if need_rn and not row_number else [])
-    return out.drop(*drop)
+    if spec.row_number:
+        out = out.withColumnRenamed(rn_col, spec.row_number)
+    elif spec.ntile:
+        out = out.drop(rn_col)
+    return out
+
+
+def global_window(df: DataFrame, order: Sequence[OrderKey], keys: Sequence[str] = (), *,
+                  row_number: str | None = None, rank: str | None = None,
+                  ntile: tuple[str, int] | None = None,
+                  running_sum: tuple[str, str] | None = None,
+                  buckets: int | None = None, sample_size: int | None = None,
+                  materialize: bool = True) -> DataFrame:
+    """One global window (see ``GlobalSpec`` and the module doc)."""
+    spec = GlobalSpec(tuple(order), tuple(keys), row_number, rank, ntile, running_sum)
+    return global_windows(df, [spec], buckets=buckets, sample_size=sample_size, materialize=materialize)
 
 
-def _eq_tuple(names: Sequence[str], values, firsts_col: Column | None = None) -> Column:
-    if firsts_col is not None:
-        return F.struct(*[F.col(n) for n in names]).eqNullSafe(firsts_col)
+def _eq_tuple(names: Sequence[str], values) -> Column:
     expr = None
     for n, v in zip(names, values):
         e = F.col(n).eqNullSafe(F.lit(v))

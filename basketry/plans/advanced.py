@@ -27,7 +27,7 @@ def window_showcase(shop: Shop, customers: Sequence = tuple(SHOWCASE_CUSTOMERS),
     windows); it reaches the orders scan, and the line items join the few
     matching orders, so the work is proportional to those customers."""
     n = names or FULL_NAMES
-    o = (shop.orders.where((F.col("status") == F.lit(DELIVERED)) & F.col("customer_id").isin(list(customers)))
+    o = (shop.orders_where(DELIVERED).where(F.col("customer_id").isin(list(customers)))
          .select("order_id", "customer_id", F.date_format("order_date", "yyyy-MM").alias("month")))
     mc = (o.join(shop.order_items.select("order_id", "revenue"), "order_id")
           .groupBy("customer_id", "month").agg(F.round(F.sum("revenue"), 2).alias("monthly_spend")))
@@ -77,7 +77,7 @@ def journey_paths(shop: Shop, depth: int = 5) -> DataFrame:
     earlier dates.  Work is one shuffle by customer over (customer, date)
     rows, bounded per customer by the calendar; no row per path exists."""
     vo = valued_orders(shop, DELIVERED)
-    first = (shop.orders.where(F.col("status") == F.lit(DELIVERED))
+    first = (shop.orders_where(DELIVERED)
              .groupBy("customer_id").agg(F.min("order_date").alias("first_date")))
     cd = (vo.groupBy("customer_id", "order_date")
           .agg(F.count(F.lit(1)).alias("m"), F.sum("revenue").alias("v"))

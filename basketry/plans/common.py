@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.sources.fixture import Shop
@@ -28,15 +28,6 @@ SHOWCASE_CUSTOMERS = [1, 2, 3, 10, 20]
 SHOWCASE_CUSTOMERS_SCRIPT = [1, 2, 3]
 
 
-def status_filter(status: str | None = None, not_status: str | None = None) -> Column:
-    cond = F.lit(True)
-    if status is not None:
-        cond = cond & (F.col("status") == F.lit(status))
-    if not_status is not None:
-        cond = cond & (F.col("status") != F.lit(not_status))
-    return cond
-
-
 def order_totals(shop: Shop) -> DataFrame:
     """order_id -> revenue, profit, n_items, units (orders with items only)."""
     return (shop.order_items.groupBy("order_id")
@@ -50,12 +41,14 @@ def valued_orders(shop: Shop, status: str | None = None, not_status: str | None
                   with_city: bool = False) -> DataFrame:
     """Orders passing the status filter, inner-joined to their item totals
     (orders without items drop out, as in the reference's inner joins)."""
-    orders = shop.orders_with_city() if with_city else shop.orders
-    orders = orders.where(status_filter(status, not_status))
+    orders = shop.orders_where(status, not_status)
+    if with_city:
+        lookup = shop.city_lookup()
+        orders = orders if lookup is None else orders.join(lookup, shop.city_key, "left")
     return orders.join(order_totals(shop), "order_id", "inner")
 
 
 def delivered_lines(shop: Shop) -> DataFrame:
     """Line items of delivered orders (line grain, for product-level work)."""
-    delivered = shop.orders.where(status_filter(DELIVERED)).select("order_id")
+    delivered = shop.orders_where(DELIVERED).select("order_id")
     return shop.order_items.join(delivered, "order_id", "inner")

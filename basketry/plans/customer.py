@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.expr import big, days_between, ratio, rnd, rnd_dec
-from basketry.operators.global_window import asc, desc, global_window
+from basketry.operators.global_window import GlobalSpec, asc, desc, global_windows
 from basketry.operators.topk import topk
 from basketry.plans.common import DELIVERED, FIXTURE_AS_OF, valued_orders
 from basketry.sources.fixture import Shop
@@ -86,9 +86,10 @@ def rfm_customers(shop: Shop, as_of: dt.date = FIXTURE_AS_OF, high_is_good: bool
                     big(days_between(F.lit(as_of), "last")).alias("recency_days"),
                     big("frequency").alias("frequency"),
                     F.round("rev", 2).alias("monetary")))
-    s = global_window(base, [asc("recency_days")], ["customer_id"], ntile=("r_score", 5))
-    s = global_window(s, [desc("frequency")], ["customer_id"], ntile=("f_score", 5))
-    s = global_window(s, [desc("monetary")], ["customer_id"], ntile=("m_score", 5))
+    s = global_windows(base, [
+        GlobalSpec((asc("recency_days"),), ("customer_id",), ntile=("r_score", 5)),
+        GlobalSpec((desc("frequency"),), ("customer_id",), ntile=("f_score", 5)),
+        GlobalSpec((desc("monetary"),), ("customer_id",), ntile=("m_score", 5))])
     if high_is_good:
         for c in ("r_score", "f_score", "m_score"):
             s = s.withColumn(c, F.lit(6) - F.col(c))
@@ -156,7 +157,7 @@ def churn(shop: Shop, as_of: dt.date = FIXTURE_AS_OF, k: int = 25) -> DataFrame:
 def churn_basic(shop: Shop, as_of: dt.date = FIXTURE_AS_OF) -> DataFrame:
     """Q22 (script variant): every customer with a delivered order (items
     not required), full sort by inactivity."""
-    last = (shop.orders.where(F.col("status") == F.lit(DELIVERED))
+    last = (shop.orders_where(DELIVERED)
             .groupBy("customer_id").agg(F.max("order_date").alias("last_order_date")))
     days = big(days_between(F.lit(as_of), "last_order_date"))
     return (last.join(shop.customers.select("customer_id", "city", "segment"), "customer_id")

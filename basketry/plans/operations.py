@@ -58,7 +58,7 @@ def cohort_retention(shop: Shop, max_months: int = 6, k: int | None = 42) -> Dat
     Orders are reduced to distinct (customer, month) first; the cohort month
     is a window min over that grain, which is bounded per customer by the
     calendar, so a hot customer never loads one task."""
-    cm = (shop.orders.where(F.col("status") != F.lit(CANCELLED))
+    cm = (shop.orders_where(not_status=CANCELLED)
           .select("customer_id", F.trunc("order_date", "month").alias("m")).distinct())
     with_cohort = cm.withColumn("cohort", F.min("m").over(Window.partitionBy("customer_id")))
     diff = month_diff("m", "cohort")

@@ -14,7 +14,7 @@ from basketry.functions.draws import uniform_int, weighted_choice
 from basketry.functions.expr import (big, bucketize, days_between, dbl, month_diff, month_key,
                                      month_name, month_text, pct, ratio, rnd, rnd_dec, year_text)
 from basketry.operators.events import argmin_rows
-from basketry.operators.global_window import asc, desc, global_window
+from basketry.operators.global_window import GlobalSpec, asc, desc, global_window, global_windows
 from basketry.operators.pivot import pivot_sum
 from basketry.operators.topk import topk
 from basketry.plans import adhoc
@@ -113,7 +113,7 @@ def op_first_event(shop: Shop) -> DataFrame:
 
 
 def op_argmin_rows(shop: Shop) -> DataFrame:
-    d = shop.orders.where(F.col("status") == F.lit(DELIVERED))
+    d = shop.orders_where(DELIVERED)
     return argmin_rows(d, "customer_id", "order_date").select("order_id", "customer_id", "order_date")
 
 
@@ -216,8 +216,8 @@ def op_window_dist(shop: Shop) -> DataFrame:
     distributed global ranks (ascending, descending) and the row count."""
     pr = product_revenue(shop).select("product_id", "revenue")
     n = pr.select(F.count(F.lit(1))).scalar()
-    r = global_window(pr, [asc("revenue")], (), rank="r_asc")
-    r = global_window(r, [desc("revenue")], (), rank="r_desc")
+    r = global_windows(pr, [GlobalSpec((asc("revenue"),), rank="r_asc"),
+                            GlobalSpec((desc("revenue"),), rank="r_desc")])
     return r.withColumn("n", n).select(
         "product_id", dbl("revenue").alias("revenue"),
         rnd(ratio(F.col("r_asc") - 1, F.col("n") - 1), 6).alias("pct_rank"),
@@ -273,7 +273,7 @@ def op_scalar_numeric(shop: Shop) -> DataFrame:
 # ------------------------------------------- reachable only via ad-hoc SQL
 
 def _delivered_per_customer(shop: Shop) -> DataFrame:
-    return (shop.orders.where(F.col("status") == F.lit(DELIVERED)).groupBy("customer_id")
+    return (shop.orders_where(DELIVERED).groupBy("customer_id")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -285,25 +285,24 @@ def op_join_left(shop: Shop) -> DataFrame:
 def op_join_full(shop: Shop) -> DataFrame:
     rev = (valued_orders(shop, DELIVERED).groupBy("customer_id")
            .agg(rnd_dec(F.sum("revenue"), 2).alias("delivered_revenue")))
-    canc = (shop.orders.where(F.col("status") == F.lit("Cancelled")).groupBy("customer_id")
+    canc = (shop.orders_where("Cancelled").groupBy("customer_id")
             .agg(big(F.count(F.lit(1))).alias("cancelled_orders")))
     return rev.join(canc, "customer_id", "full").select("customer_id", "delivered_revenue", "cancelled_orders")
 
 
 def op_semi(shop: Shop) -> DataFrame:
-    ret = shop.orders.where(F.col("status") == F.lit("Returned")).select("customer_id")
+    ret = shop.orders_where("Returned").select("customer_id")
     return shop.customers.join(ret, "customer_id", "left_semi").select("customer_id", "segment")
 
 
 def op_anti(shop: Shop) -> DataFrame:
-    d = shop.orders.where(F.col("status") == F.lit(DELIVERED)).select("customer_id")
+    d = shop.orders_where(DELIVERED).select("customer_id")
     return shop.customers.join(d, "customer_id", "left_anti").select("customer_id", "city")
 
 
 def op_union_distinct(shop: Shop) -> DataFrame:
-    o = shop.orders
-    a = o.where(F.col("status") == F.lit("Returned")).select("customer_id")
-    b = o.where(F.col("status") == F.lit("Cancelled")).select("customer_id")
+    a = shop.orders_where("Returned").select("customer_id")
+    b = shop.orders_where("Cancelled").select("customer_id")
     return a.union(b).distinct()
 
 

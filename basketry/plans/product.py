@@ -47,7 +47,7 @@ def product_pareto(shop: Shop, k: int = 20) -> DataFrame:
 def customer_items(shop: Shop, item: str = "category", items: DataFrame | None = None) -> DataFrame:
     """Distinct (customer, item) over delivered lines; ``items`` maps
     product_id -> item when the item is not a products column."""
-    o = shop.orders.where(F.col("status") == F.lit(DELIVERED)).select("order_id", "customer_id")
+    o = shop.orders_where(DELIVERED).select("order_id", "customer_id")
     p = items if items is not None else shop.products.select("product_id", F.col(item).alias("item"))
     return (shop.order_items.select("order_id", "product_id").join(o, "order_id")
             .join(p, "product_id").select("customer_id", "item").distinct())

@@ -87,7 +87,7 @@ def city_payment_pivot(shop: Shop, payments: Sequence[str] = tuple(PAYMENTS)) ->
     Revenue is first summed per (customer, payment) from the order-grain
     totals, so the customer -> region lookup joins far fewer rows than there
     are orders; the pivot is a single conditional aggregate."""
-    delivered = shop.orders.where(F.col("status") == F.lit(DELIVERED))
+    delivered = shop.orders_where(DELIVERED)
     per_key = (delivered.join(order_totals(shop), "order_id")
                .groupBy(shop.city_key, "payment").agg(F.sum("revenue").alias("rev")))
     lookup = shop.city_lookup()

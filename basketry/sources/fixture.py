@@ -55,6 +55,23 @@ def status_of(orderstatus: Column, orderkey: Column) -> Column:
     return expr.otherwise(F.lit(PENDING_STATUS_REST))
 
 
+def status_is(status: str, orderstatus: Column, orderkey: Column) -> Column:
+    """``status_of(...) == status`` written on the raw columns, so the
+    delivered test reaches the Parquet scan as In(o_orderstatus, [F, O])."""
+    delivered = F.coalesce(orderstatus.isin(*DELIVERED_ORDERSTATUS), F.lit(False))
+    if status == "Delivered":
+        return delivered
+    bucket = orderkey % 28
+    lo = 0
+    for bound, label in PENDING_STATUS_CUTS:
+        if label == status:
+            return ~delivered & (bucket >= lo) & (bucket < bound)
+        lo = bound
+    if status == PENDING_STATUS_REST:
+        return ~delivered & (bucket >= lo)
+    return F.lit(False)
+
+
 def payment_of(priority: Column) -> Column:
     expr = None
     for prio, pay in PAYMENT_BY_PRIORITY:
@@ -124,6 +141,21 @@ class Shop:
     def orders_with_city(self) -> DataFrame:
         return self.orders.join(self.customer_region(), "customer_id", "left")
 
+    def orders_where(self, status: str | None = None, not_status: str | None = None) -> DataFrame:
+        """Orders with the given status (and/or without another), the test
+        written on the raw columns so Parquet gets it as a pushed filter."""
+        o = self.raw("orders")
+        k, st = F.col("o_orderkey"), F.col("o_orderstatus")
+        if status is not None:
+            o = o.where(status_is(status, st, k))
+        if not_status is not None:
+            o = o.where(~status_is(not_status, st, k))
+        return o.select(F.col("o_orderkey").alias("order_id"),
+                        F.col("o_custkey").alias("customer_id"),
+                        F.col("o_orderdate").cast("date").alias("order_date"),
+                        status_of(st, k).alias("status"),
+                        payment_of(F.col("o_orderpriority")).alias("payment"))
+
     @property
     def order_items(self) -> DataFrame:
         li = self.raw("lineitem")
@@ -181,6 +213,14 @@ class TableShop(Shop):
     def orders_with_city(self) -> DataFrame:
         return self._tables["orders"]
 
+    def orders_where(self, status: str | None = None, not_status: str | None = None) -> DataFrame:
+        o = self._tables["orders"]
+        if status is not None:
+            o = o.where(F.col("status") == F.lit(status))
+        if not_status is not None:
+            o = o.where(F.col("status") != F.lit(not_status))
+        return o
+
     @property
     def order_items(self) -> DataFrame:
         return self._tables["order_items"]

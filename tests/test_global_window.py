@@ -75,3 +75,17 @@ def test_topk_rank_and_ntile_are_global(spark):
     top = {r.id: (r.rk, r.nt) for r in topk(df, 25, [desc("d")], ["id"], rank="rk", ntile=("nt", 4)).collect()}
     ref = native(df, [desc("d")], ["id"], 4).where(F.col("rn2") <= 25)
     assert top == {r.id: (r.rk2, r.nt2) for r in ref.collect()}
+
+
+def test_several_specs_share_passes(spark):
+    from basketry.operators.global_window import GlobalSpec, global_windows
+    df = make(spark, 2000, 13, hot=True)
+    out = global_windows(df, [GlobalSpec((desc("v"),), ("id",), rank="rk", ntile=("nt", 5)),
+                              GlobalSpec((asc("d"),), ("id",), row_number="rn", running_sum=("rs", "d"))],
+                         buckets=8, sample_size=300)
+    a = native(df, [desc("v")], ["id"], 5).select("id", "rk2", "nt2")
+    b = native(df, [asc("d")], ["id"], 5).select("id", "rn2", "rs2")
+    j = out.join(a, "id").join(b, "id")
+    bad = j.where((F.col("rk") != F.col("rk2")) | (F.col("nt") != F.col("nt2")) |
+                  (F.col("rn") != F.col("rn2")) | (F.col("rs") != F.col("rs2"))).count()
+    assert j.count() == 2000 and bad == 0
