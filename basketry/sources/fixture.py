@@ -58,7 +58,7 @@ def status_of(orderstatus: Column, orderkey: Column) -> Column:
 def status_is(status: str, orderstatus: Column, orderkey: Column) -> Column:
     """``status_of(...) == status`` written on the raw columns, so the
     delivered test reaches the Parquet scan as In(o_orderstatus, [F, O])."""
-    delivered = F.coalesce(orderstatus.isin(*DELIVERED_ORDERSTATUS), F.lit(False))
+    delivered = orderstatus.isNotNull() & orderstatus.isin(*DELIVERED_ORDERSTATUS)  # never NULL
     if status == "Delivered":
         return delivered
     bucket = orderkey % 28
