@@ -33,7 +33,12 @@ def ntile_of(rn: Column, n: Column, k: int) -> Column:
 
 def topk(df: DataFrame, k: int, order: Sequence[OrderKey], keys: Sequence[str], *,
          rank: str | None = None, row_number: str | None = None,
-         ntile: tuple[str, int] | None = None) -> DataFrame:
+         ntile: tuple[str, int] | None = None, materialize: bool | None = None) -> DataFrame:
+    """Top k rows by ``order`` + ``keys`` with global RANK / ROW_NUMBER /
+    NTILE.  With NTILE the input is read twice (rows and count), so it is
+    checkpointed first unless ``materialize=False``."""
+    if materialize if materialize is not None else bool(ntile):
+        df = df.checkpoint(eager=True)
     full = list(order) + [asc(c) for c in keys]
     top = df.orderBy(*_spark_order(full)).limit(k)
     if rank:
@@ -43,7 +48,7 @@ def topk(df: DataFrame, k: int, order: Sequence[OrderKey], keys: Sequence[str],
         top = top.withColumn("__tk_rn", rn)
         if ntile:
             name, tiles = ntile
-            total = df.select(F.count(F.lit(1))).scalar()
-            top = top.withColumn(name, ntile_of(F.col("__tk_rn"), total, tiles))
+            top = top.withColumn("__tk_n", df.select(F.count(F.lit(1))).scalar())
+            top = top.withColumn(name, ntile_of(F.col("__tk_rn"), F.col("__tk_n"), tiles)).drop("__tk_n")
         top = top.withColumnRenamed("__tk_rn", row_number) if row_number else top.drop("__tk_rn")
     return top

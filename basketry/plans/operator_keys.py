@@ -14,6 +14,7 @@ from basketry.functions.draws import uniform_int, weighted_choice
 from basketry.functions.expr import (big, bucketize, days_between, dbl, month_diff, month_key,
                                      month_name, month_text, pct, ratio, rnd, rnd_dec, year_text)
 from basketry.operators.events import argmin_rows
+from basketry.operators.materialize import materialize
 from basketry.operators.global_window import GlobalSpec, asc, desc, global_window, global_windows
 from basketry.operators.pivot import pivot_sum
 from basketry.operators.topk import topk
@@ -67,11 +68,10 @@ def op_date_spread(shop: Shop) -> DataFrame:
     """Orders in key order spread evenly over 2023-01-01 .. 2024-12-31: the
     i-th of n gets day floor((i-1) * 730 / (n-1)).  i is a distributed global
     row number; n a scalar subquery."""
-    o = shop.orders.select("order_id")
-    n = o.select(F.count(F.lit(1))).scalar()
-    numbered = global_window(o, [asc("order_id")], (), row_number="rn")
+    o = materialize(shop.orders.select("order_id"))
+    numbered = global_window(o, [asc("order_id")], (), row_number="rn", materialize=False)
     day = F.expr(f"(rn - 1) * {SPREAD_DAYS} div greatest(nn - 1, 1)")
-    return (numbered.withColumn("nn", n)
+    return (numbered.withColumn("nn", o.select(F.count(F.lit(1))).scalar())
             .select("order_id", F.date_add(F.lit(SPREAD_START), day.cast("int")).alias("spread_date")))
 
 
@@ -171,17 +171,18 @@ def op_global_ntile(shop: Shop) -> DataFrame:
 
 
 def op_running_total(shop: Shop) -> DataFrame:
-    pr = product_revenue(shop).select("product_id", "revenue")
-    total = pr.select(F.sum("revenue")).scalar()
-    out = global_window(pr, [desc("revenue")], ["product_id"], running_sum=("running", "revenue"))
+    pr = materialize(product_revenue(shop).select("product_id", "revenue"))
+    out = global_window(pr, [desc("revenue")], ["product_id"], running_sum=("running", "revenue"),
+                        materialize=False)
+    out = out.withColumn("total", pr.select(F.sum("revenue")).scalar())
     return out.select("product_id", dbl("revenue").alias("revenue"), dbl("running").alias("running_revenue"),
-                      rnd(pct("running", total), 2).alias("cumulative_pct"))
+                      rnd(pct("running", "total"), 2).alias("cumulative_pct"))
 
 
 def op_share_of_total(shop: Shop) -> DataFrame:
-    pr = product_revenue(shop).select("product_id", "revenue")
-    total = pr.select(F.sum("revenue")).scalar()
-    return pr.select("product_id", dbl("revenue").alias("revenue"), rnd(pct("revenue", total), 4).alias("share_pct"))
+    pr = materialize(product_revenue(shop).select("product_id", "revenue"))
+    return (pr.withColumn("total", pr.select(F.sum("revenue")).scalar())
+            .select("product_id", dbl("revenue").alias("revenue"), rnd(pct("revenue", "total"), 4).alias("share_pct")))
 
 
 def _monthly_spend(shop: Shop) -> DataFrame:
@@ -214,11 +215,10 @@ def op_rolling_avg(shop: Shop) -> DataFrame:
 def op_window_dist(shop: Shop) -> DataFrame:
     """PERCENT_RANK and CUME_DIST over all products by revenue: two
     distributed global ranks (ascending, descending) and the row count."""
-    pr = product_revenue(shop).select("product_id", "revenue")
-    n = pr.select(F.count(F.lit(1))).scalar()
+    pr = materialize(product_revenue(shop).select("product_id", "revenue"))
     r = global_windows(pr, [GlobalSpec((asc("revenue"),), rank="r_asc"),
-                            GlobalSpec((desc("revenue"),), rank="r_desc")])
-    return r.withColumn("n", n).select(
+                            GlobalSpec((desc("revenue"),), rank="r_desc")], materialize=False)
+    return r.withColumn("n", pr.select(F.count(F.lit(1))).scalar()).select(
         "product_id", dbl("revenue").alias("revenue"),
         rnd(ratio(F.col("r_asc") - 1, F.col("n") - 1), 6).alias("pct_rank"),
         rnd(ratio(F.col("n") - F.col("r_desc") + 1, F.col("n")), 6).alias("cume_dist"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.expr import big, bucketize, pct, ratio, rnd, rnd_dec
 from basketry.operators.global_window import desc
+from basketry.operators.materialize import materialize
 from basketry.operators.pairs import item_counts, pair_counts
 from basketry.operators.topk import topk
 from basketry.plans.common import DELIVERED, delivered_lines
@@ -31,11 +32,12 @@ def product_pareto(shop: Shop, k: int = 20) -> DataFrame:
     """Q9: top-k products with global rank, share of total and cumulative
     share.  The top k hold every row before them in the order, so rank and
     running sum over the k rows are global; the total is a scalar subquery."""
-    pr = product_revenue(shop)
-    total = pr.select(F.sum("revenue")).scalar()
+    pr = materialize(product_revenue(shop))
     top = topk(pr, k, [desc("revenue")], ["product_id"], rank="revenue_rank")
+    top = top.withColumn("total", pr.select(F.sum("revenue")).scalar())
     run = F.sum("revenue").over(Window.orderBy(F.desc("revenue"), "product_id")
                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.col("total")
     return (top.select("product_id", "product_name", "category",
                        F.col("revenue").cast("double").alias("revenue"), "units_sold", "profit", "avg_discount",
                        "revenue_rank",

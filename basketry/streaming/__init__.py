@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference loads its tables once and answers every query synchronously;
+it has no stream, watermark, window-over-time or state (SURVEY §2.9), so
+nothing is built here.  New order files can be analysed by pointing a
+``Shop`` / ``TableShop`` at the refreshed tables; every analysis is a plain
+batch DataFrame.
+"""
