@@ -161,7 +161,8 @@ class Shop:
         li = self.raw("lineitem")
         ext = F.col("l_extendedprice").cast("decimal(12,2)")
         disc = F.col("l_discount").cast("decimal(4,2)")
-        net = ext * (_dec(1, "decimal(4,2)") - disc)
+        keep = _dec(1, "decimal(4,2)") - disc
+        net = ext * keep
         return li.select(F.col("l_orderkey").alias("order_id"),
                          F.col("l_partkey").alias("product_id"),
                          F.col("l_linenumber").alias("line_no"),
@@ -169,7 +170,10 @@ class Shop:
                          (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
                          disc.alias("discount"),
                          F.round(net, 2).alias("revenue"),
-                         F.round(net * margin_rate(F.col("l_partkey")), 2).alias("profit"))
+                         # (1 - discount) x margin is exact at 4 dp; keeping it
+                         # DECIMAL(5,4) keeps the product within 18 digits
+                         F.round(ext * (keep * margin_rate(F.col("l_partkey"))).cast("decimal(5,4)"), 2)
+                         .alias("profit"))
 
     def register_views(self) -> None:
         """Temp views under the reference's table names, for ad-hoc SQL."""
