@@ -198,10 +198,13 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
     all_names = [n for pl in plans for n in pl["names"]]
 
     # one sample job (bounded: S rows) gives every spec its cut points
-    rows = keyed.select(*all_names).orderBy(F.xxhash64(*all_names), *all_names).limit(S).collect()
+    rows = [tuple(r) for r in keyed.select(*all_names).orderBy(F.xxhash64(*all_names), *all_names)
+            .limit(S).collect()]
     bucketed = keyed
+    pos = {n: i for i, n in enumerate(all_names)}
     for pl in plans:
-        sample = sorted(tuple(r[n] for n in pl["names"]) for r in rows)
+        idx = [pos[n] for n in pl["names"]]
+        sample = sorted(tuple(r[i] for i in idx) for r in rows)
         cuts = _cuts(sample, P) if sample else []
         pl["nb"] = len(cuts) + 1
         bucketed = bucketed.withColumn(pl["b"], _bucket_expr(pl["names"], cuts) if cuts else F.lit(0))
@@ -213,8 +216,9 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
     ex = ex.select("*", F.col("__gw_sb.sid").alias("__gw_sid"), F.col("__gw_sb.b").alias("__gw_b"))
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, pl in enumerate(plans):
-        st = F.struct(*[F.col(n) for n in pl["order_names"]])
-        aggs += [F.min(F.when(sid == i, st)).alias(f"first{i}"), F.max(F.when(sid == i, st)).alias(f"last{i}")]
+        if pl["spec"].rank:  # first/last tuples only matter for RANK ties across buckets
+            st = F.struct(*[F.col(n) for n in pl["order_names"]])
+            aggs += [F.min(F.when(sid == i, st)).alias(f"first{i}"), F.max(F.when(sid == i, st)).alias(f"last{i}")]
         if pl["spec"].running_sum:
             aggs.append(F.sum(F.when(sid == i, F.col(pl["spec"].running_sum[1]))).alias(f"s{i}"))
     stats_rows = ex.groupBy("__gw_sid", "__gw_b").agg(*aggs).collect()
@@ -222,7 +226,10 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
         st = {}
         for r in stats_rows:
             if r["__gw_sid"] == i:
-                st[r["__gw_b"]] = {"n": r["n"], "first": tuple(r[f"first{i}"]), "last": tuple(r[f"last{i}"]),
+                ranked = pl["spec"].rank
+                st[r["__gw_b"]] = {"n": r["n"],
+                                   "first": tuple(r[f"first{i}"]) if ranked else None,
+                                   "last": tuple(r[f"last{i}"]) if ranked else None,
                                    "s": r[f"s{i}"] if pl["spec"].running_sum else None}
         pl["stats"] = st
 
