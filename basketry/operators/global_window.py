@@ -6,10 +6,10 @@ input is cut into P contiguous, balanced buckets instead:
 
 1. the input is materialised once with ``checkpoint()`` (into the cluster's
    checkpoint folder), as it is read by three small jobs and one big one;
-2. a deterministic hash sample of at most ``sample_size`` sort keys comes to
-   the driver and gives P-1 cut points on the *full* sort key (order columns
-   plus the tie-break keys), so even one value holding a third of all rows is
-   spread over many buckets;
+2. a deterministic hash sample of about ``sample_size`` sort keys (a hash
+   threshold set from the row count) comes to the driver and gives P-1 cut
+   points on the *full* sort key (order columns plus the tie-break keys), so
+   even one value holding a third of all rows is spread over many buckets;
 3. a row's bucket is a pure function of its sort key (binary search written
    as nested CASE over the cut points), so recomputation after a lost
    executor yields the same bucket;
@@ -197,9 +197,15 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
     keyed = df.select("*", *keyed_cols)
     all_names = [n for pl in plans for n in pl["names"]]
 
-    # one sample job (bounded: S rows) gives every spec its cut points
-    rows = [tuple(r) for r in keyed.select(*all_names).orderBy(F.xxhash64(*all_names), *all_names)
-            .limit(S).collect()]
+    # one sample job gives every spec its cut points: a hash threshold keeps
+    # about S rows whatever the partitioning (deterministic, so a retried
+    # task keeps the same rows), from the row count of the checkpoint
+    n_rows = df.count()
+    keep = min(1.0, S / max(n_rows, 1))
+    threshold = int(keep * (1 << 31))
+    h = F.pmod(F.xxhash64(*all_names), F.lit(1 << 31))
+    picked = keyed.select(*all_names) if keep >= 1.0 else keyed.where(h < F.lit(threshold)).select(*all_names)
+    rows = [tuple(r) for r in picked.collect()]
     bucketed = keyed
     pos = {n: i for i, n in enumerate(all_names)}
     for pl in plans:
