@@ -34,15 +34,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder: the cluster's ``spark.checkpoint.dir``
-    if set, else (tests, local runs) a fresh folder under /tmp."""
-    sc = spark.sparkContext
+    if set.  Only a local session (tests, bench) gets a fresh folder under
+    /tmp; on a cluster a machine-local folder would be wrong, so a missing
+    setting is an error there."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # e.g. a Spark Connect session: the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store): "
+                               "global windows and top-k checkpoint their inputs there")
         configured = tempfile.mkdtemp(prefix="basketry-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc._jsc.sc().getCheckpointDir().get()
