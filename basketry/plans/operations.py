@@ -34,17 +34,18 @@ def order_funnel(shop: Shop, k: int = 20) -> DataFrame:
     return out.orderBy(F.desc("total_orders"), "city", "payment").limit(k)
 
 
-def monthly_seasonality(shop: Shop) -> DataFrame:
+def monthly_seasonality(shop: Shop, share_within_year: bool = False) -> DataFrame:
     """Q13 ('Peak Sales Hours'): orders by year and month, all statuses, with
-    the month's share of *all* orders (quirk 3).  The share is a window over
-    the aggregated months, a calendar-bounded handful of rows."""
+    the month's share of *all* orders (quirk 3; ``share_within_year=True``
+    gives the share of the month's own year instead).  The share is a window
+    over the aggregated months, a calendar-bounded handful of rows."""
     o = shop.orders
     agg = (o.groupBy(F.date_format("order_date", "yyyy").alias("year"),
                      F.date_format("order_date", "MM").alias("month"))
            .agg(F.count(F.lit(1)).alias("total_orders"),
                 count_if(F.col("status") == F.lit("Delivered")).alias("delivered_orders"),
                 F.min("order_date").alias("any_day")))
-    total = F.sum("total_orders").over(Window.partitionBy())
+    total = F.sum("total_orders").over(Window.partitionBy("year") if share_within_year else Window.partitionBy())
     return (agg.select("year", "month", month_name("any_day").alias("month_name"),
                        big("total_orders").alias("total_orders"), big("delivered_orders").alias("delivered_orders"),
                        rnd(pct("total_orders", total), 2).alias("pct_of_annual_orders"))

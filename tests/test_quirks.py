@@ -94,3 +94,16 @@ def test_city_payment_pivot_on_order_city(tiny):
     rows = {r.city: r for r in revenue.city_payment_pivot(tiny).collect()}
     assert rows["Mumbai"].card_revenue == 29.0  # 28.50 rounds half up and rows["Mumbai"].cod_revenue == 100.0
     assert rows["Bengaluru"].upi_revenue == 190.0 and rows["Bengaluru"].total_revenue == 190.0
+
+
+def test_true_aov_option(tiny):
+    rows = {r.customer_id: r for r in customer.clv_ranking(tiny, 20, true_aov=True).collect()}
+    assert rows["C0001"].avg_order_value == pytest.approx(72.83)   # per line (3 lines)
+    assert rows["C0001"].true_aov == pytest.approx(109.25)         # per order (2 orders)
+    assert "true_aov" not in customer.clv_ranking(tiny, 20).columns
+
+
+def test_seasonality_share_within_year(tiny):
+    from basketry.plans import operations
+    rows = operations.monthly_seasonality(tiny, share_within_year=True).collect()
+    assert abs(sum(r.pct_of_annual_orders for r in rows) - 100.0) < 0.05
