@@ -75,31 +75,36 @@ def _sort_parts(df: DataFrame, order: Sequence[OrderKey], prefix: str = "__gw_")
     return parts
 
 
-def _lt(names: Sequence[str], values: Sequence[object]) -> Column:
-    """Lexicographic row < literal tuple, with NULL = NULL for equality."""
-    expr = None
-    for name, value in reversed(list(zip(names, values))):
-        col = F.col(name)
-        lit = F.lit(value)
-        less = F.coalesce(col < lit, F.lit(False)) if value is not None else F.lit(False)
-        eq = col.eqNullSafe(lit)
-        expr = less if expr is None else (less | (eq & expr))
-    return expr
-
-
-def _bucket_expr(names: Sequence[str], cuts: Sequence[tuple]) -> Column:
-    """Number of cut points <= row key, by binary search (depth log2 P)."""
+def _key_lit(names: Sequence[str], types: dict, values: Sequence[object]) -> Column:
+    """A cut point as a struct literal typed like the key struct column."""
+    return F.struct(*[F.lit(v).cast(types[n]).alias(n) for n, v in zip(names, values)])
+
+
+def _bucket_expr(key: str, names: Sequence[str], types: dict, cuts: Sequence[tuple]) -> Column:
+    """Number of cut points <= the row's key, by binary search (depth
+    log2 P).  Each step is one struct comparison against a struct literal
+    (Spark orders structs field by field, NULL first), so the expression
+    stays small for any number of buckets."""
+    k = F.col(key)
+
     def build(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi + 1) // 2
-        return F.when(_lt(names, cuts[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
+        return F.when(k < _key_lit(names, types, cuts[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
     return build(0, len(cuts))
 
 
-def _default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(n, 512))
+ROWS_PER_BUCKET = 2_000_000   # one sorted window partition per task
+MAX_BUCKETS = 256     # binary search over at most 255 struct literals
+
+
+def _bucket_count(n_rows: int, buckets: int | None) -> int:
+    """Explicit ``buckets``, else enough buckets for ~ROWS_PER_BUCKET rows
+    each (one for small inputs: then no sample job runs)."""
+    if buckets:
+        return max(1, min(MAX_BUCKETS, buckets))
+    return max(1, min(MAX_BUCKETS, -(-n_rows // ROWS_PER_BUCKET)))
 
 
 @dataclass(frozen=True)
@@ -180,10 +185,11 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
                    sample_size: int | None = None, materialize: bool = True) -> DataFrame:
     """Add the outputs of several global windows to ``df``; all of them
     share one checkpoint, one sample job and one statistics job."""
-    P = buckets or _default_buckets(df)
-    S = sample_size or min(max(64 * P, 10_000), 500_000)
     if materialize:
         df = df.checkpoint(eager=True)
+    n_rows = df.count()
+    P = _bucket_count(n_rows, buckets)
+    S = sample_size or min(max(64 * P, 10_000), 500_000)
 
     plans = []
     keyed_cols = []
@@ -191,21 +197,23 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
         full = list(spec.order) + [asc(k) for k in spec.keys]
         parts = _sort_parts(df, full, prefix=f"__gw{i}_")
         names = [n for n, _ in parts]
-        plans.append({"spec": spec, "full": full, "names": names,
+        plans.append({"spec": spec, "full": full, "names": names, "key": f"__gw{i}_key",
                       "order_names": names[:2 * len(spec.order)], "b": f"__gw{i}_bucket"})
         keyed_cols += [c.alias(n) for n, c in parts]
     keyed = df.select("*", *keyed_cols)
+    keyed = keyed.select("*", *[F.struct(*pl["names"]).alias(pl["key"]) for pl in plans])
+    types = {f.name: f.dataType for f in keyed.schema.fields}
     all_names = [n for pl in plans for n in pl["names"]]
 
     # one sample job gives every spec its cut points: a hash threshold keeps
     # about S rows whatever the partitioning (deterministic, so a retried
-    # task keeps the same rows), from the row count of the checkpoint
-    n_rows = df.count()
-    keep = min(1.0, S / max(n_rows, 1))
-    threshold = int(keep * (1 << 31))
-    h = F.pmod(F.xxhash64(*all_names), F.lit(1 << 31))
-    picked = keyed.select(*all_names) if keep >= 1.0 else keyed.where(h < F.lit(threshold)).select(*all_names)
-    rows = [tuple(r) for r in picked.collect()]
+    # task keeps the same rows), sized from the row count of the checkpoint
+    rows: list[tuple] = []
+    if P > 1:
+        keep = min(1.0, S / max(n_rows, 1))
+        h = F.pmod(F.xxhash64(*all_names), F.lit(1 << 31))
+        picked = keyed if keep >= 1.0 else keyed.where(h < F.lit(int(keep * (1 << 31))))
+        rows = [tuple(r) for r in picked.select(*all_names).collect()]
     bucketed = keyed
     pos = {n: i for i, n in enumerate(all_names)}
     for pl in plans:
@@ -213,7 +221,8 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
         sample = sorted(tuple(r[i] for i in idx) for r in rows)
         cuts = _cuts(sample, P) if sample else []
         pl["nb"] = len(cuts) + 1
-        bucketed = bucketed.withColumn(pl["b"], _bucket_expr(pl["names"], cuts) if cuts else F.lit(0))
+        bucketed = bucketed.withColumn(
+            pl["b"], _bucket_expr(pl["key"], pl["names"], types, cuts) if cuts else F.lit(0))
 
     # one statistics job: per (spec, bucket) count, first/last tuple, sum
     sid = F.col("__gw_sid")
@@ -242,7 +251,7 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
     out = bucketed
     for i, pl in enumerate(plans):
         out = _apply(out, pl, bucketed)
-    drop = all_names + [pl["b"] for pl in plans]
+    drop = all_names + [pl["b"] for pl in plans] + [pl["key"] for pl in plans]
     return out.drop(*drop)
 
 
@@ -272,11 +281,16 @@ def _apply(out: DataFrame, pl: dict, bucketed: DataFrame) -> DataFrame:
         need = _crossings(stats, nb)
         if need:  # tie groups crossing bucket boundaries: count them (rare)
             names = pl["order_names"]
-            cond = None
-            for p, f in need:
-                c = (F.col(b) == F.lit(p)) & _eq_tuple(names, f)
-                cond = c if cond is None else (cond | c)
-            for r in bucketed.where(cond).groupBy(b, *names).count().collect():
+            fields = [f for f in bucketed.schema.fields if f.name in names]
+            schema = T.StructType([T.StructField("__gw_nb", T.IntegerType())] +
+                                  [T.StructField(f"__gw_n{j}", f.dataType) for j, f in enumerate(fields)])
+            # at most one row per bucket boundary: a bounded broadcast
+            need_df = bucketed.sparkSession.createDataFrame([(p, *f) for p, f in need], schema)
+            cond = F.col(b) == F.col("__gw_nb")
+            for j, n in enumerate(names):
+                cond = cond & F.col(n).eqNullSafe(F.col(f"__gw_n{j}"))
+            hit = bucketed.join(F.broadcast(need_df), cond, "left_semi")
+            for r in hit.groupBy(b, *names).count().collect():
                 counts[(r[b], tuple(r[n] for n in names))] = r["count"]
         eq_before = _eq_before(stats, nb, counts)
         names = pl["order_names"]
@@ -318,14 +332,6 @@ def global_window(df: DataFrame, order: Sequence[OrderKey], keys: Sequence[str]
     return global_windows(df, [spec], buckets=buckets, sample_size=sample_size, materialize=materialize)
 
 
-def _eq_tuple(names: Sequence[str], values) -> Column:
-    expr = None
-    for n, v in zip(names, values):
-        e = F.col(n).eqNullSafe(F.lit(v))
-        expr = e if expr is None else (expr & e)
-    return expr
-
-
 def _struct_lit(names: Sequence[str], values, df: DataFrame) -> Column:
     types = {f.name: f.dataType for f in df.schema.fields}
     if values is None:

@@ -48,9 +48,11 @@ def test_hot_value_is_split_over_buckets(spark):
     parts = gw._sort_parts(df, [desc("v"), asc("id")])
     names = [n for n, _ in parts]
     keyed = df.select("*", *[c.alias(n) for n, c in parts])
+    keyed = keyed.withColumn("k", F.struct(*names))
+    types = {f.name: f.dataType for f in keyed.schema.fields}
     sample = sorted(tuple(r) for r in keyed.select(*names).collect())
     cuts = [sample[(j * len(sample)) // 8] for j in range(1, 8)]
-    sizes = (keyed.withColumn("b", gw._bucket_expr(names, cuts)).groupBy("b").count()
+    sizes = (keyed.withColumn("b", gw._bucket_expr("k", names, types, cuts)).groupBy("b").count()
              .agg(F.max("count")).first()[0])
     assert sizes < 3000 * 0.2  # no bucket holds the whole hot value (~34%)
 
