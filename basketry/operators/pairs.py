@@ -1,11 +1,12 @@
 """Co-occurrence pairs: for each unordered pair (a < b) of items, how many
 entities hold both; plus how many entities hold each item.
 
-Entities are first reduced to their sorted *set* of distinct items, and the
-sets are counted (map-side combined), so pairs are expanded once per
-distinct set instead of once per entity: with C categories there are at most
-min(entities, 2^C) sets and C*(C-1)/2 pairs per set.  This is meant for a
-small item domain (categories, brands), as in the reference's cross-sell.
+Entities are first reduced to their sorted *set* of distinct items (a hash
+distinct with map-side combine, so a hot entity sends at most one row per
+item per task), and the sets are counted, so pairs are expanded
+once per distinct set instead of once per entity: with C items there are at
+most min(entities, 2^C) sets and C*(C-1)/2 pairs per set.  This is meant for
+a small item domain (categories, brands), as in the reference's cross-sell.
 """
 
 from __future__ import annotations
@@ -15,25 +16,34 @@ from pyspark.sql import functions as F
 
 
 def item_sets(df: DataFrame, entity: str, item: str) -> DataFrame:
-    """Distinct item set per entity, counted: (items array<sorted>, n)."""
+    """Distinct item set per entity, counted: (items array<sorted>, n).
+    The (entity, item) pairs are deduplicated by a hash aggregate first
+    (map-side combine), so the list collected per entity is at most the item
+    domain."""
     distinct = df.select(entity, item).where(F.col(item).isNotNull()).distinct()
     per_entity = distinct.groupBy(entity).agg(F.array_sort(F.collect_list(item)).alias("items"))
     return per_entity.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
 
 
-def pair_counts(df: DataFrame, entity: str, item: str, a: str = "item_a", b: str = "item_b",
-                both: str = "both") -> DataFrame:
-    sets = item_sets(df, entity, item)
+def pairs_from_sets(sets: DataFrame, a: str = "item_a", b: str = "item_b", both: str = "both") -> DataFrame:
     pairs = sets.select(
         F.explode(F.flatten(F.transform(
             "items",
             lambda x, i: F.transform(F.slice("items", i + 2, F.greatest(F.size("items") - i - 1, F.lit(0))),
                                      lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"),
         "n")
-    return (pairs.groupBy(F.col("p.a").alias(a), F.col("p.b").alias(b))
-            .agg(F.sum("n").alias(both)))
+    return pairs.groupBy(F.col("p.a").alias(a), F.col("p.b").alias(b)).agg(F.sum("n").alias(both))
+
+
+def holders_from_sets(sets: DataFrame, item: str = "item", name: str = "holders") -> DataFrame:
+    return (sets.select(F.explode("items").alias(item), "n")
+            .groupBy(item).agg(F.sum("n").alias(name)))
+
+
+def pair_counts(df: DataFrame, entity: str, item: str, a: str = "item_a", b: str = "item_b",
+                both: str = "both") -> DataFrame:
+    return pairs_from_sets(item_sets(df, entity, item), a, b, both)
 
 
 def item_counts(df: DataFrame, entity: str, item: str, name: str = "holders") -> DataFrame:
-    return (df.select(entity, item).where(F.col(item).isNotNull()).distinct()
-            .groupBy(item).agg(F.count(F.lit(1)).alias(name)))
+    return holders_from_sets(item_sets(df, entity, item), item, name)

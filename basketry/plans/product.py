@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from basketry.functions.expr import big, bucketize, pct, ratio, rnd, rnd_dec
 from basketry.operators.global_window import desc
 from basketry.operators.materialize import materialize
-from basketry.operators.pairs import item_counts, pair_counts
+from basketry.operators.pairs import holders_from_sets, item_sets, pairs_from_sets
 from basketry.operators.topk import topk
 from basketry.plans.common import DELIVERED, delivered_lines
 from basketry.sources.fixture import Shop
@@ -47,21 +47,22 @@ def product_pareto(shop: Shop, k: int = 20) -> DataFrame:
 
 
 def customer_items(shop: Shop, item: str = "category", items: DataFrame | None = None) -> DataFrame:
-    """Distinct (customer, item) over delivered lines; ``items`` maps
+    """(customer, item) of delivered lines (duplicates kept; the item-set
+    aggregate removes them map-side); ``items`` maps
     product_id -> item when the item is not a products column."""
     o = shop.orders_where(DELIVERED).select("order_id", "customer_id")
     p = items if items is not None else shop.products.select("product_id", F.col(item).alias("item"))
     return (shop.order_items.select("order_id", "product_id").join(o, "order_id")
-            .join(p, "product_id").select("customer_id", "item").distinct())
+            .join(p, "product_id").select("customer_id", "item"))
 
 
 def cross_sell(shop: Shop, item: str = "category", a: str = "category_a", b: str = "category_b",
                items: DataFrame | None = None) -> DataFrame:
     """Q10: customers who bought both items of a pair (a < b), and that as a
     share of item a's customers (directional base, quirk 9)."""
-    ci = customer_items(shop, item, items)
-    pairs = pair_counts(ci, "customer_id", "item", a, b, "both")
-    base = item_counts(ci, "customer_id", "item", "holders").withColumnRenamed("item", a)
+    sets = item_sets(customer_items(shop, item, items), "customer_id", "item")
+    pairs = pairs_from_sets(sets, a, b, "both")
+    base = holders_from_sets(sets, a, "holders")
     return (pairs.join(base, a)
             .select(a, b, big("both").alias("customers_bought_both"),
                     rnd(pct("both", "holders"), 1).alias("cross_sell_rate_pct"))
