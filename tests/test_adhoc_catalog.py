@@ -24,3 +24,11 @@ def test_catalogue(spark):
     assert len(cats["Revenue & Sales"]) == 4 and len(cats["Customer Analytics"]) == 5
     assert lookup("rfm").difficulty == "hard"
     assert as_dataframe(spark).count() == len(ENTRIES)
+
+
+def test_eager_surfaces_runtime_errors(spark, shop):
+    prepare(shop)
+    df, err = run_sql(spark, "SELECT 1 / 0 AS x", eager=True)
+    assert df is None and "DIVIDE_BY_ZERO" in err
+    df, err = run_sql(spark, "SELECT 1 / 0 AS x")   # lazy: analysis passes, the action would fail
+    assert err is None
