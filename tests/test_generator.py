@@ -41,3 +41,20 @@ def test_write_read_round_trip_and_analysis(spark, tmp_path):
     shop = TableShop(spark, t["customers"], t["products"], t["orders"], t["order_items"])
     out = revenue_by_category(shop).collect()
     assert {r.category for r in out} <= {"Electronics", "Fashion", "Home", "Beauty", "Grocery"}
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    from basketry.plans.common import order_totals
+    from basketry.sources.io import save_bucketed
+    g = generate(spark, 40, 300, seed=3)
+    names = save_bucketed(g.tables(), str(tmp_path), 4, prefix="t_bucketed_")
+    t = {k: spark.table(v) for k, v in names.items()}
+    shop = TableShop(spark, t["customers"], t["products"], t["orders"], t["order_items"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = shop.orders.join(order_totals(shop), "order_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+        assert joined.count() == g.orders.join(g.order_items.select("order_id").distinct(), "order_id").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
