@@ -11,10 +11,12 @@ lineitem columns scans three columns.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
@@ -80,6 +82,26 @@ def payment_of(priority: Column) -> Column:
     return expr
 
 
+_SCHEMAS: dict[tuple, T.StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Read parquet with the file's schema remembered from its first read
+    (keyed by path, size and modification time), so later reads skip the
+    footer-inference job."""
+    try:
+        st = os.stat(path)
+        key = (path, st.st_size, st.st_mtime_ns)
+    except OSError:  # not a local path (object store, HDFS): key by path
+        key = (path,)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
+
+
 @dataclass
 class Shop:
     """The four shop tables over one driver scale-factor directory."""
@@ -97,7 +119,7 @@ class Shop:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._cache[name] = read_parquet(self.spark, f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
     # -- dimensions -------------------------------------------------------
