@@ -189,7 +189,7 @@ class Shop:
                          F.col("l_partkey").alias("product_id"),
                          F.col("l_linenumber").alias("line_no"),
                          F.col("l_quantity").cast("int").alias("quantity"),
-                         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+                         F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("unit_price"),
                          disc.alias("discount"),
                          F.round(net, 2).alias("revenue"),
                          # (1 - discount) x margin is exact at 4 dp; keeping it
