@@ -112,8 +112,3 @@ def bucketize(x: ColumnOrName, rules: Sequence[tuple[str, object, str]],
 def count_if(cond: Column) -> Column:
     """SUM(CASE WHEN cond THEN 1 ELSE 0 END) as BIGINT (0 on no match)."""
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
-
-
-def sum_if(cond: Column, value: ColumnOrName) -> Column:
-    """SUM(CASE WHEN cond THEN value ELSE 0 END)."""
-    return F.sum(F.when(cond, _c(value)).otherwise(F.lit(0)))
