@@ -39,3 +39,27 @@ def test_discount_bucket_edges(spark):
     got = [r[0] for r in df.select(E.bucketize("d", DISCOUNT_BUCKETS, DISCOUNT_OTHER)).collect()]
     assert got == ["0% — No Discount", "1-5% — Minimal", "6-10% — Moderate", "6-10% — Moderate",
                    "11-15% — Significant", "16-20% — Heavy"]
+
+
+def test_rounding_rule_matches_duckdb(spark):
+    """rnd / ratio (Spark) and R / RATIO (oracle text) agree on random
+    doubles, decimal ties (x.xx5) and negatives."""
+    import random
+
+    import duckdb
+
+    from basketry.plans.oracle import R, RATIO
+    rng = random.Random(5)
+    vals = [rng.uniform(-1e6, 1e6) for _ in range(1500)]
+    vals += [int(rng.uniform(-1e7, 1e7)) / 1000 + 0.0005 for _ in range(500)]  # ties at 3 dp
+    vals += [75301.885, 1.005, -2.5, 0.125, 2.675]
+    pairs = [(v, rng.choice([3.0, 7.0, 0.0, -11.0])) for v in vals]
+    df = spark.createDataFrame(pairs, "a double, b double")
+    got = sorted((r.a, r.b, r.x2, r.x0, r.q) for r in df.select(
+        "a", "b", E.rnd("a", 2).alias("x2"), E.rnd("a", 0).alias("x0"),
+        E.rnd(E.ratio("a", "b"), 3).alias("q")).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (a DOUBLE, b DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", pairs)
+    exp = sorted(con.sql(f"SELECT a, b, {R('a', 2)}, {R('a', 0)}, {R(RATIO('a', 'b'), 3)} FROM t").fetchall())
+    assert got == exp
