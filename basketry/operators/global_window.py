@@ -5,25 +5,28 @@ PARTITION BY makes Spark move every row into one task.  Here the ordered
 input is cut into P contiguous, balanced buckets instead:
 
 1. the input is materialised once with ``checkpoint()`` (into the cluster's
-   checkpoint folder), as it is read by three small jobs and one big one;
+   checkpoint folder) and counted, as several small jobs and one big one
+   read it; P follows the row count (``ROWS_PER_BUCKET`` rows per bucket, at
+   most ``MAX_BUCKETS``), so a small input is one sorted partition;
 2. a deterministic hash sample of about ``sample_size`` sort keys (a hash
    threshold set from the row count) comes to the driver and gives P-1 cut
    points on the *full* sort key (order columns plus the tie-break keys), so
    even one value holding a third of all rows is spread over many buckets;
-3. a row's bucket is a pure function of its sort key (binary search written
-   as nested CASE over the cut points), so recomputation after a lost
-   executor yields the same bucket;
-4. per-bucket counts, sums and first/last tuples (P rows) come to the driver
-   and give each bucket its offsets;
+3. a row's bucket is a pure function of its sort key (binary search of one
+   struct key column against struct literals), so recomputation after a
+   lost executor yields the same bucket;
+4. per-bucket counts, sums and (for RANK) first/last tuples, P rows, come
+   to the driver and give each bucket its offsets;
 5. one hash shuffle on the bucket id; inside each bucket Spark's own window
    computes the local row_number / rank / running sum, and the offsets are
    added from literal arrays indexed by bucket (no join).
 
 RANK needs care only where a tie group crosses a bucket boundary: those
-boundary tuples are counted in one extra filtered pass, run only when such a
-crossing exists.  NTILE uses the closed form from the global row number and
-the row count.  Ties in NTILE/ROW_NUMBER are broken by the given keys (the
-reference leaves them undefined; SURVEY D12).
+boundary tuples are counted in one extra pass (a semi join against at most
+P boundary rows), run only when such a crossing exists.  NTILE uses the
+closed form from the global row number and the row count.  Ties in
+NTILE/ROW_NUMBER are broken by the given keys (the reference leaves them
+undefined; SURVEY D12).
 """
 
 from __future__ import annotations
@@ -36,7 +39,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 @dataclass(frozen=True)
 class OrderKey:
     column: str
