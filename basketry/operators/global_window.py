@@ -226,20 +226,37 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
         bucketed = bucketed.withColumn(
             pl["b"], _bucket_expr(pl["key"], pl["names"], types, cuts) if cuts else F.lit(0))
 
-    # one statistics job: per (spec, bucket) count, first/last tuple, sum
+    # one statistics job: per (spec, bucket) count, first/last tuple, sum;
+    # a spec with a single bucket needs none (offsets 0, count known)
+    for pl in plans:
+        if pl["nb"] == 1:
+            pl["stats"] = {0: {"n": n_rows, "first": None, "last": None, "s": None}}
+    multi = [(i, pl) for i, pl in enumerate(plans) if pl["nb"] > 1]
+    if multi:
+        _bucket_stats(bucketed, multi)
+
+    out = bucketed
+    for i, pl in enumerate(plans):
+        out = _apply(out, pl, bucketed)
+    drop = all_names + [pl["b"] for pl in plans] + [pl["key"] for pl in plans]
+    return out.drop(*drop)
+
+
+def _bucket_stats(bucketed: DataFrame, multi: list[tuple[int, dict]]) -> None:
     sid = F.col("__gw_sid")
+    plans = dict(multi)
     ex = bucketed.select("*", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("sid"), F.col(pl["b"]).alias("b")) for i, pl in enumerate(plans)])).alias("__gw_sb"))
+        F.struct(F.lit(i).alias("sid"), F.col(pl["b"]).alias("b")) for i, pl in multi])).alias("__gw_sb"))
     ex = ex.select("*", F.col("__gw_sb.sid").alias("__gw_sid"), F.col("__gw_sb.b").alias("__gw_b"))
     aggs = [F.count(F.lit(1)).alias("n")]
-    for i, pl in enumerate(plans):
+    for i, pl in multi:
         if pl["spec"].rank:  # first/last tuples only matter for RANK ties across buckets
             st = F.struct(*[F.col(n) for n in pl["order_names"]])
             aggs += [F.min(F.when(sid == i, st)).alias(f"first{i}"), F.max(F.when(sid == i, st)).alias(f"last{i}")]
         if pl["spec"].running_sum:
             aggs.append(F.sum(F.when(sid == i, F.col(pl["spec"].running_sum[1]))).alias(f"s{i}"))
     stats_rows = ex.groupBy("__gw_sid", "__gw_b").agg(*aggs).collect()
-    for i, pl in enumerate(plans):
+    for i, pl in plans.items():
         st = {}
         for r in stats_rows:
             if r["__gw_sid"] == i:
@@ -250,12 +267,6 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
                                    "s": r[f"s{i}"] if pl["spec"].running_sum else None}
         pl["stats"] = st
 
-    out = bucketed
-    for i, pl in enumerate(plans):
-        out = _apply(out, pl, bucketed)
-    drop = all_names + [pl["b"] for pl in plans] + [pl["key"] for pl in plans]
-    return out.drop(*drop)
-
 
 def _apply(out: DataFrame, pl: dict, bucketed: DataFrame) -> DataFrame:
     spec: GlobalSpec = pl["spec"]
