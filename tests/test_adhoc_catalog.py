@@ -32,3 +32,10 @@ def test_eager_surfaces_runtime_errors(spark, shop):
     assert df is None and "DIVIDE_BY_ZERO" in err
     df, err = run_sql(spark, "SELECT 1 / 0 AS x")   # lazy: analysis passes, the action would fail
     assert err is None
+
+
+def test_cli_list(capsys):
+    from basketry.__main__ import main
+    assert main(["list"]) == 0
+    out = capsys.readouterr().out
+    assert "revenue_by_category" in out and "62 queries" in out
