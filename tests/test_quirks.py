@@ -107,3 +107,14 @@ def test_seasonality_share_within_year(tiny):
     from basketry.plans import operations
     rows = operations.monthly_seasonality(tiny, share_within_year=True).collect()
     assert abs(sum(r.pct_of_annual_orders for r in rows) - 100.0) < 0.05
+
+
+def test_rfm_high_is_good_flips_scores(tiny):
+    lit = {r.customer_id: r for r in customer.rfm_customers(tiny, AS_OF).collect()}
+    conv = {r.customer_id: r for r in customer.rfm_customers(tiny, AS_OF, high_is_good=True).collect()}
+    assert set(lit) == set(conv) == {"C0001", "C0002"}
+    for c in lit:
+        assert (conv[c].r_score, conv[c].f_score, conv[c].m_score) == \
+            (6 - lit[c].r_score, 6 - lit[c].f_score, 6 - lit[c].m_score)
+    # literal rule: NTILE 1 goes to the most recent customer (C0001, last order 2023-04-10)
+    assert lit["C0001"].r_score == 1 and lit["C0002"].r_score == 2
