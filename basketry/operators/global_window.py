@@ -97,6 +97,7 @@ def _bucket_expr(key: str, names: Sequence[str], types: dict, cuts: Sequence[tup
     return build(0, len(cuts))
 
 
+_TIE = "__gw_tiebreak"
 ROWS_PER_BUCKET = 2_000_000   # one sorted window partition per task
 MAX_BUCKETS = 256     # binary search over at most 255 struct literals
 
@@ -195,8 +196,13 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
 
     plans = []
     keyed_cols = []
+    if any(not spec.keys for spec in specs):
+        # no tie-break given: a hash of the row breaks ties, so a hot value
+        # still spreads over buckets (RANK ignores it; ROW_NUMBER / NTILE
+        # become deterministic for rows that differ at all)
+        df = df.withColumn(_TIE, F.xxhash64(*df.columns))
     for i, spec in enumerate(specs):
-        full = list(spec.order) + [asc(k) for k in spec.keys]
+        full = list(spec.order) + [asc(k) for k in (spec.keys or (_TIE,))]
         parts = _sort_parts(df, full, prefix=f"__gw{i}_")
         names = [n for n, _ in parts]
         plans.append({"spec": spec, "full": full, "names": names, "key": f"__gw{i}_key",
@@ -238,7 +244,7 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
     out = bucketed
     for i, pl in enumerate(plans):
         out = _apply(out, pl, bucketed)
-    drop = all_names + [pl["b"] for pl in plans] + [pl["key"] for pl in plans]
+    drop = all_names + [pl["b"] for pl in plans] + [pl["key"] for pl in plans] + [_TIE]
     return out.drop(*drop)
 
 

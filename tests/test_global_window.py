@@ -91,3 +91,15 @@ def test_several_specs_share_passes(spark):
     bad = j.where((F.col("rk") != F.col("rk2")) | (F.col("nt") != F.col("nt2")) |
                   (F.col("rn") != F.col("rn2")) | (F.col("rs") != F.col("rs2"))).count()
     assert j.count() == 2000 and bad == 0
+
+
+def test_rank_without_keys_splits_hot_value(spark):
+    """No tie-break keys: an internal row hash still spreads a value that
+    holds a third of all rows over several buckets, and RANK stays exact."""
+    from basketry.operators.global_window import GlobalSpec, global_windows
+    df = make(spark, 3000, 21, hot=True)
+    out = global_windows(df, [GlobalSpec((desc("v"),), rank="rk")], buckets=12, sample_size=600)
+    ref = df.withColumn("rk2", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())))
+    j = out.join(ref.select("id", "rk2"), "id")
+    assert j.count() == 3000 and j.where(F.col("rk") != F.col("rk2")).count() == 0
+    assert set(out.columns) == set(df.columns) | {"rk"}
