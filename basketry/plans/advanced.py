@@ -86,11 +86,14 @@ def journey_paths(shop: Shop, depth: int = 5) -> DataFrame:
     # date); the day's m orders each extend them, so n_k = m * c_k paths of
     # length k end here, worth c_k * (sum of the day's order values).
     earlier = Window.partitionBy("customer_id").orderBy("order_date").rowsBetween(Window.unboundedPreceding, -1)
+    # chain counts grow combinatorially with a customer's days and orders:
+    # count them exactly in DECIMAL(38,0) (an overflow raises, never wraps)
+    count_t = "decimal(38,0)"
     cd = cd.withColumn("c1", F.when(F.col("order_date") == F.col("first_date"), F.lit(1)).otherwise(F.lit(0))
-                       .cast("bigint"))
+                       .cast(count_t))
     for k in range(2, depth + 1):
-        cd = cd.withColumn(f"c{k}", F.coalesce(F.sum(F.col("m") * F.col(f"c{k - 1}")).over(earlier),
-                                               F.lit(0)).cast("bigint"))
+        cd = cd.withColumn(f"c{k}", F.coalesce(F.sum(F.col("m").cast(count_t) * F.col(f"c{k - 1}")).over(earlier),
+                                               F.lit(0).cast(count_t)).cast(count_t))
     levels = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c")) for k in range(1, depth + 1)])
     per_level = (cd.select("customer_id", "m", "v", F.explode(levels).alias("l"))
                  .where(F.col("l.c") > 0)
