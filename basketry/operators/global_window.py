@@ -99,7 +99,8 @@ def _bucket_expr(key: str, names: Sequence[str], types: dict, cuts: Sequence[tup
 
 _TIE = "__gw_tiebreak"
 ROWS_PER_BUCKET = 2_000_000   # one sorted window partition per task
-MAX_BUCKETS = 256     # binary search over at most 255 struct literals
+MAX_CASE_BUCKETS = 256        # binary search over at most 255 struct literals
+MAX_BUCKETS = 16_384          # beyond 256: range-partitioned, checkpointed ids
 
 
 def _bucket_count(n_rows: int, buckets: int | None) -> int:
@@ -216,6 +217,9 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
     # one sample job gives every spec its cut points: a hash threshold keeps
     # about S rows whatever the partitioning (deterministic, so a retried
     # task keeps the same rows), sized from the row count of the checkpoint
+    if P > MAX_CASE_BUCKETS:
+        return _apply_all(_range_buckets(keyed, plans, P), plans, n_rows, all_names)
+
     rows: list[tuple] = []
     if P > 1:
         keep = min(1.0, S / max(n_rows, 1))
@@ -232,6 +236,25 @@ def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int |
         bucketed = bucketed.withColumn(
             pl["b"], _bucket_expr(pl["key"], pl["names"], types, cuts) if cuts else F.lit(0))
 
+    return _apply_all(bucketed, plans, n_rows, all_names)
+
+
+def _range_buckets(keyed: DataFrame, plans: list[dict], P: int) -> DataFrame:
+    """More buckets than a CASE search should hold: Spark's range
+    partitioner (its own sample, balanced on the full key) assigns them, and
+    the partition id is frozen by a checkpoint right away, so every later
+    read and any recomputation sees the same buckets (ids are monotone in
+    the key; AQE coalescing only merges neighbours)."""
+    out = keyed
+    for pl in plans:
+        out = (out.repartitionByRange(P, F.col(pl["key"]))
+               .withColumn(pl["b"], F.spark_partition_id())
+               .checkpoint(eager=True))
+        pl["nb"] = P
+    return out
+
+
+def _apply_all(bucketed: DataFrame, plans: list[dict], n_rows: int, all_names: list[str]) -> DataFrame:
     # one statistics job: per (spec, bucket) count, first/last tuple, sum;
     # a spec with a single bucket needs none (offsets 0, count known)
     for pl in plans:

@@ -103,3 +103,22 @@ def test_rank_without_keys_splits_hot_value(spark):
     j = out.join(ref.select("id", "rk2"), "id")
     assert j.count() == 3000 and j.where(F.col("rk") != F.col("rk2")).count() == 0
     assert set(out.columns) == set(df.columns) | {"rk"}
+
+
+def test_range_partitioned_buckets_match_native(spark, monkeypatch):
+    """More buckets than the CASE search holds: range-partitioned ids frozen
+    by a checkpoint; every output still equals the native window."""
+    from basketry.operators import global_window as gw
+    monkeypatch.setattr(gw, "MAX_CASE_BUCKETS", 4)
+    monkeypatch.setattr(gw, "ROWS_PER_BUCKET", 100)
+    df = make(spark, 3000, 17, hot=True)
+    out = gw.global_windows(df, [
+        gw.GlobalSpec((desc("v"),), ("id",), rank="rk", ntile=("nt", 7), running_sum=("rs", "d")),
+        gw.GlobalSpec((asc("d"),), ("id",), row_number="rn"),
+        gw.GlobalSpec((desc("v"),), rank="rk_nokey")])
+    a = native(df, [desc("v")], ["id"], 7).select("id", "rk2", "nt2", "rs2")
+    b = native(df, [asc("d")], ["id"], 7).select("id", "rn2")
+    j = out.join(a, "id").join(b, "id")
+    bad = j.where((F.col("rk") != F.col("rk2")) | (F.col("nt") != F.col("nt2")) | (F.col("rs") != F.col("rs2"))
+                  | (F.col("rn") != F.col("rn2")) | (F.col("rk_nokey") != F.col("rk2"))).count()
+    assert j.count() == 3000 and bad == 0
