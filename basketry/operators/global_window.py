@@ -14,7 +14,9 @@ input is cut into P contiguous, balanced buckets instead:
    even one value holding a third of all rows is spread over many buckets;
 3. a row's bucket is a pure function of its sort key (binary search of one
    struct key column against struct literals), so recomputation after a
-   lost executor yields the same bucket;
+   lost executor yields the same bucket; past ``MAX_CASE_BUCKETS`` the ids
+   come from Spark's range partitioner instead and are frozen by a
+   checkpoint;
 4. per-bucket counts, sums and (for RANK) first/last tuples, P rows, come
    to the driver and give each bucket its offsets;
 5. one hash shuffle on the bucket id; inside each bucket Spark's own window
