@@ -123,8 +123,17 @@ class Shop:
         return self._cache[name]
 
     # -- dimensions -------------------------------------------------------
+    def _memo(self, key, build):
+        """Mapped tables are lazy plans; build (and analyse) each once."""
+        if key not in self._cache:
+            self._cache[key] = build()
+        return self._cache[key]
+
     @property
     def customers(self) -> DataFrame:
+        return self._memo(("customers",), self._customers)
+
+    def _customers(self) -> DataFrame:
         c, n = self.raw("customer"), self.raw("nation")
         return (c.join(n, c.c_nationkey == n.n_nationkey, "inner")
                 .select(F.col("c_custkey").alias("customer_id"),
@@ -134,6 +143,9 @@ class Shop:
 
     @property
     def products(self) -> DataFrame:
+        return self._memo(("products",), self._products)
+
+    def _products(self) -> DataFrame:
         p = self.raw("part")
         price = F.col("p_retailprice").cast("decimal(12,2)")
         return p.select(F.col("p_partkey").alias("product_id"),
@@ -143,6 +155,9 @@ class Shop:
                         F.round(price * cost_rate(F.col("p_partkey")), 2).alias("cost"))
 
     def customer_region(self) -> DataFrame:
+        return self._memo(("customer_region",), self._customer_region)
+
+    def _customer_region(self) -> DataFrame:
         """customer_id -> region name, the ``city`` of an order.
 
         Grouped by the key, so Spark knows it is unique: a LEFT JOIN to it
@@ -158,6 +173,9 @@ class Shop:
     @property
     def orders(self) -> DataFrame:
         """orders without ``city``; see ``orders_with_city``."""
+        return self._memo(("orders",), self._orders)
+
+    def _orders(self) -> DataFrame:
         o = self.raw("orders")
         return o.select(F.col("o_orderkey").alias("order_id"),
                         F.col("o_custkey").alias("customer_id"),
@@ -171,6 +189,9 @@ class Shop:
     def orders_where(self, status: str | None = None, not_status: str | None = None) -> DataFrame:
         """Orders with the given status (and/or without another), the test
         written on the raw columns so Parquet gets it as a pushed filter."""
+        return self._memo(("orders_where", status, not_status), lambda: self._orders_where(status, not_status))
+
+    def _orders_where(self, status: str | None, not_status: str | None) -> DataFrame:
         o = self.raw("orders")
         k, st = F.col("o_orderkey"), F.col("o_orderstatus")
         if status is not None:
@@ -185,6 +206,9 @@ class Shop:
 
     @property
     def order_items(self) -> DataFrame:
+        return self._memo(("order_items",), self._order_items)
+
+    def _order_items(self) -> DataFrame:
         li = self.raw("lineitem")
         ext = F.col("l_extendedprice").cast("decimal(12,2)")
         disc = F.col("l_discount").cast("decimal(4,2)")
@@ -261,5 +285,14 @@ class TableShop(Shop):
             df.createOrReplaceTempView(name)
 
 
+_SHOPS: dict[str, Shop] = {}
+
+
 def load(spark: SparkSession, sf_dir: str) -> Shop:
-    return Shop(spark, sf_dir.rstrip("/"))
+    """The shop over ``sf_dir``; reused for the same session and folder, so
+    its mapped tables (lazy plans, no data) are analysed once."""
+    key = sf_dir.rstrip("/")
+    shop = _SHOPS.get(key)
+    if shop is None or shop.spark is not spark:
+        shop = _SHOPS[key] = Shop(spark, key)
+    return shop
