@@ -7,6 +7,11 @@ item per task), and the sets are counted, so pairs are expanded
 once per distinct set instead of once per entity: with C items there are at
 most min(entities, 2^C) sets and C*(C-1)/2 pairs per set.  This is meant for
 a small item domain (categories, brands), as in the reference's cross-sell.
+
+When the item dimension has at most 63 values (``item_domain`` reads at
+most 64 of them), an entity's set is one BIGINT mask built by ``bit_or``, a
+plain hash aggregate, instead of a collected list; distinct masks are turned
+back into sorted item arrays for the same pair expansion.
 """
 
 from __future__ import annotations
@@ -47,3 +52,31 @@ def pair_counts(df: DataFrame, entity: str, item: str, a: str = "item_a", b: str
 
 def item_counts(df: DataFrame, entity: str, item: str, name: str = "holders") -> DataFrame:
     return holders_from_sets(item_sets(df, entity, item), item, name)
+
+
+MAX_MASK_ITEMS = 63   # items of a set held as bits of one BIGINT
+
+
+def item_domain(items: DataFrame, item: str, limit: int = MAX_MASK_ITEMS) -> list | None:
+    """The distinct values of a small item dimension, sorted, or None when
+    there are more than ``limit`` (at most limit + 1 values are read)."""
+    vals = [r[0] for r in items.select(item).where(F.col(item).isNotNull()).distinct().limit(limit + 1).collect()]
+    return None if len(vals) > limit else sorted(vals)
+
+
+def mask_sets(df: DataFrame, entity: str, item: str, domain: list) -> DataFrame:
+    """Item set per entity as a bit mask over ``domain`` (``bit_or`` is a
+    plain hash aggregate: 8 bytes per entity), counted per distinct mask."""
+    bit_of = F.create_map(*[x for i, v in enumerate(domain) for x in (F.lit(v), F.lit(1 << i).cast("bigint"))])
+    bits = F.element_at(bit_of, F.col(item))
+    per_entity = df.where(F.col(item).isNotNull()).groupBy(entity).agg(F.bit_or(bits).alias("mask"))
+    return per_entity.groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+
+
+def masks_to_sets(sets: DataFrame, domain: list) -> DataFrame:
+    """(mask, n) -> (items, n): the set bits as the sorted item array, so
+    pairs expand per distinct set as in ``pairs_from_sets``."""
+    singles = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(1 << i).cast("bigint").alias("bit"))
+                        for i, v in enumerate(domain)])
+    held = F.filter(singles, lambda s: F.col("mask").bitwiseAND(s["bit"]) != 0)
+    return sets.select(F.transform(held, lambda s: s["v"]).alias("items"), "n")

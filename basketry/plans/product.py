@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from basketry.functions.expr import big, bucketize, pct, ratio, rnd, rnd_dec
 from basketry.operators.global_window import desc
 from basketry.operators.materialize import materialize
-from basketry.operators.pairs import holders_from_sets, item_sets, pairs_from_sets
+from basketry.operators.pairs import (holders_from_sets, item_domain, item_sets, mask_sets, masks_to_sets,
+                                      pairs_from_sets)
 from basketry.operators.topk import topk
 from basketry.plans.common import DELIVERED, delivered_lines
 from basketry.sources.fixture import Shop
@@ -60,7 +61,13 @@ def cross_sell(shop: Shop, item: str = "category", a: str = "category_a", b: str
                items: DataFrame | None = None) -> DataFrame:
     """Q10: customers who bought both items of a pair (a < b), and that as a
     share of item a's customers (directional base, quirk 9)."""
-    sets = item_sets(customer_items(shop, item, items), "customer_id", "item")
+    mapping = items if items is not None else shop.products.select("product_id", F.col(item).alias("item"))
+    ci = customer_items(shop, item, mapping)
+    domain = item_domain(mapping, "item")  # read from the small item dimension
+    if domain is not None:   # small domain: one BIGINT mask per customer
+        sets = masks_to_sets(mask_sets(ci, "customer_id", "item", domain), domain)
+    else:
+        sets = item_sets(ci, "customer_id", "item")
     pairs = pairs_from_sets(sets, a, b, "both")
     base = holders_from_sets(sets, a, "holders")
     return (pairs.join(base, a)

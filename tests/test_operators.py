@@ -40,3 +40,19 @@ def test_audits_find_planted_faults(spark):
     dup = duplicate_keys(orders, "orders", ["order_id"]).first()
     assert (dup.rows, dup.distinct_keys, dup.duplicated_keys) == (3, 2, 1)
     assert orphans(orders, "customer_id", customers, "customer_id", "orders", "customers").first().orphan_rows == 1
+
+
+def test_mask_sets_equal_list_sets(spark):
+    from basketry.operators.pairs import (holders_from_sets, item_domain, item_sets, mask_sets, masks_to_sets,
+                                          pairs_from_sets)
+    rows = [(c, i) for c in range(80) for i in ["x", "y", "z", "w", "v"] if (c * 5 + ord(i)) % 4 != 0]
+    rows += [(1, "x"), (3, None)]
+    df = spark.createDataFrame(rows, "c int, i string")
+    domain = item_domain(df, "i")
+    assert domain == ["v", "w", "x", "y", "z"]
+    a = mask_sets(df, "c", "i", domain)
+    via_mask, via_list = masks_to_sets(a, domain), item_sets(df, "c", "i")
+    assert {tuple(r) for r in pairs_from_sets(via_mask).collect()} == {tuple(r) for r in pairs_from_sets(via_list).collect()}
+    assert {tuple(r) for r in holders_from_sets(via_mask).collect()} == \
+        {tuple(r) for r in holders_from_sets(via_list).collect()}
+    assert item_domain(df, "i", limit=3) is None
