@@ -46,3 +46,16 @@ def test_status_filter_reaches_parquet(spark, queries):
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
+
+
+def test_lineitem_scan_is_pruned(spark, queries):
+    """Only the columns an analysis uses reach the parquet reader."""
+    import re
+    df = queries["revenue_by_category"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    cols = re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*lineitem\.parquet", plan)
+    assert cols, plan
+    for c in cols:
+        names = {x.split("#")[0] for x in c.split(",")}
+        assert names <= {"l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"}, names
