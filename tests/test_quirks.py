@@ -118,3 +118,54 @@ def test_rfm_high_is_good_flips_scores(tiny):
             (6 - lit[c].r_score, 6 - lit[c].f_score, 6 - lit[c].m_score)
     # literal rule: NTILE 1 goes to the most recent customer (C0001, last order 2023-04-10)
     assert lit["C0001"].r_score == 1 and lit["C0002"].r_score == 2
+
+
+def test_journey_paths_equal_brute_force(spark):
+    """Random tiny shop: every date-increasing chain from the first
+    delivered day (orders with items only), enumerated in Python."""
+    import random
+    from collections import defaultdict
+    rng = random.Random(9)
+    d0 = dt.date(2023, 1, 1)
+    orders, items = [], []
+    for c in range(6):
+        for o in range(rng.randint(1, 7)):
+            oid = f"O{c}-{o}"
+            day = d0 + dt.timedelta(days=rng.randint(0, 5))
+            status = rng.choice(["Delivered", "Delivered", "Delivered", "Shipped"])
+            orders.append((oid, f"C{c}", day, status, "UPI", "Pune"))
+            for i in range(rng.choice([0, 1, 1, 2])):
+                v = D(rng.randint(1, 500)) / 4
+                items.append((f"I{oid}-{i}", oid, "P001", 1, v, D("0.00"), v, v))
+    spark_orders = spark.createDataFrame(orders, orders_schema())
+    spark_items = spark.createDataFrame(items, order_items_schema())
+    empty_c = spark.createDataFrame([], customers_schema())
+    empty_p = spark.createDataFrame([], products_schema())
+    shop = TableShop(spark, empty_c, empty_p, spark_orders, spark_items)
+    got = {r.order_number: (r.customers, r.total_revenue, r.avg_order_value)
+           for r in advanced.journey_paths(shop, 5).collect()}
+
+    value = defaultdict(lambda: D(0))
+    for _, oid, *_rest, rev, _p in items:
+        value[oid] += rev
+    by_cust = defaultdict(list)
+    for oid, c, day, status, *_ in orders:
+        if status == "Delivered":
+            by_cust[c].append((day, oid))
+    level = defaultdict(list)  # depth -> [(customer, value)]
+    for c, rows in by_cust.items():
+        first = min(day for day, _ in rows)
+        valued = [(day, oid) for day, oid in rows if oid in value]
+
+        def walk(day, depth):
+            for d2, o2 in valued:
+                if d2 > day and depth < 5:
+                    level[depth + 1].append((c, value[o2]))
+                    walk(d2, depth + 1)
+        for day, oid in valued:
+            if day == first:
+                level[1].append((c, value[oid]))
+                walk(day, 1)
+    exp = {k: (len({c for c, _ in v}), float(round(sum(x for _, x in v), 2)),
+               float(round(sum(x for _, x in v) / len(v), 2))) for k, v in level.items()}
+    assert len(exp) >= 3 and got == exp
