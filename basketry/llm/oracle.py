@@ -3,6 +3,19 @@ definitions, without the operators' own methods."""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+OP2 = r"""
+WITH doc AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)),
+first AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (g) WHERE d < doc_id),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
+
 OP4 = rf"""
 WITH doc AS (
   SELECT doc_id, row_number() OVER () AS r,
@@ -73,4 +86,4 @@ SELECT doc_id, size, source_size, target::DOUBLE AS target, ((floor(u + r * (k +
 FROM o
 """
 
-ORACLES = {"op4_decontaminate": OP4, "op5_warc": OP5, "op7_url_filter": OP7, "op9_mix": OP9}
+ORACLES = {"op2_substring": OP2, "op4_decontaminate": OP4, "op5_warc": OP5, "op7_url_filter": OP7, "op9_mix": OP9}

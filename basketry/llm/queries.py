@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, mixing, url_filter, warc
+from basketry.llm import decontam, mixing, simhash, sketch, substring, url_filter, warc
 from basketry.llm.oracle import ORACLES  # noqa: F401
 from basketry.llm.store import shared_folder
 
@@ -15,6 +15,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components_of(_table(spark, sf_dir, "documents"))
+
+
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = substring.remove_repeats(docs)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_hits(docs, _table(spark, sf_dir, "benchmark"))
@@ -41,4 +51,9 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op5_warc, op7_url_filter, op9_mix)}
+def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.against_next(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_substring, op4_decontaminate, op5_warc, op7_url_filter, op9_mix, op10_sketch)}

@@ -45,8 +45,10 @@ class Ranges:
 
     def _nested(self) -> tuple[str, str]:
         groups = [self.cuts[i:i + self.stride] for i in range(0, len(self.cuts), self.stride)]
-        lists = ["array(" + ",".join(f"{c}L" if c > -(1 << 63) else "(-9223372036854775807L - 1L)" for c in g) + ")" for g in groups]
-        return f"array({','.join(lists)})", f"transform(array({','.join(lists)}), g -> g[0])"
+
+        def listed(values):
+            return "array(" + ",".join(f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) + ")"
+        return f"array({','.join(map(listed, groups))})", listed(g[0] for g in groups)
 
     def range_of(self, key: str) -> Column:
         """0-based range of a key that is not null."""
