@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, mixing, simhash, sketch, substring, url_filter, warc
+from basketry.llm import decontam, langid, mixing, quality, simhash, sketch, substring, tokens, url_filter, warc
 from basketry.llm.oracle import ORACLES  # noqa: F401
-from basketry.llm.store import shared_folder
+from basketry.llm.store import shared_folder, ship_package
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +26,23 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_output(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Token files of ``docs``, read back: a row per document."""
+    folder = shared_folder(spark, "tokens")
+    tokens.write_tokens(docs, folder, tokenizer_path())
+    return tokens.with_starts(tokens.read_tokens(spark, folder)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_hits(docs, _table(spark, sf_dir, "benchmark"))
@@ -41,11 +59,25 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    found = langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, url_filter.CONTRACT_RULES).drop("url")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.scores(docs, _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "score",
+                        (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.with_copies(_table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -56,4 +88,5 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_substring, op4_decontaminate, op5_warc, op7_url_filter, op9_mix, op10_sketch)}
+    op1_simhash, op2_substring, op3_tokens, op4_decontaminate, op5_warc,
+    op6_langid, op7_url_filter, op8_quality, op9_mix, op10_sketch)}

@@ -10,7 +10,10 @@ last byte of each blob.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,3 +33,18 @@ def write_blobs(blobs: DataFrame, column: str, folder: str) -> None:
 def read_blobs(spark: SparkSession, folder: str) -> DataFrame:
     """One row per file: path, content."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that its
+    functions can be loaded there whatever their Python path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_basketry_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="basketry-")) / "basketry.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._basketry_shipped = True
