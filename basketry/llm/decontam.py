@@ -123,21 +123,22 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> list[Da
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-              item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with ``hits``: n_words; starts and ends (word positions of
-    the maximal hit spans of each block of items, end exclusive); items."""
+              item_text: str = "text", width: int = WIDTH, block_words: int = BLOCK_WORDS, name: str = "hits") -> DataFrame:
+    """``docs`` with a column ``name``: n_words; starts and ends (word
+    positions of the maximal hit spans of each block of items, end
+    exclusive); items.  An input column of that name is replaced."""
     spark = docs.sparkSession
     out = None
     for block in _blocks(benchmark, item_id, item_text, block_words):
         grams = spark.sparkContext.broadcast(Ngrams([tuple(r) for r in block.collect()], width))
         scan = _scanner(grams)(F.col(text))
         if out is None:
-            out = docs.withColumn("hits", scan)
+            out = docs.withColumn(name, scan)
         else:
-            both = {x: F.concat(f"hits.{x}", f"__more.{x}") for x in ("starts", "ends")}
-            both["items"] = F.array_distinct(F.concat("hits.items", "__more.items"))
+            both = {x: F.concat(f"{name}.{x}", f"__more.{x}") for x in ("starts", "ends")}
+            both["items"] = F.array_distinct(F.concat(f"{name}.items", "__more.items"))
             out = out.withColumn("__more", scan).withColumn(
-                "hits", F.struct(F.col("hits.n_words").alias("n_words"), *[c.alias(k) for k, c in both.items()])).drop("__more")
+                name, F.struct(F.col(f"{name}.n_words").alias("n_words"), *[c.alias(k) for k, c in both.items()])).drop("__more")
     return out
 
 
@@ -151,8 +152,8 @@ def n_hit(hits: str = "hits") -> str:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit, with the columns of ``docs``."""
-    found = find_hits(docs, benchmark, **options)
-    return found.where(F.size("hits.starts") == 0).select(*docs.columns)
+    found = find_hits(docs, benchmark, name="__hits", **options)
+    return found.where(F.size("__hits.starts") == 0).select(*docs.columns)
 
 
 def _cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
@@ -172,6 +173,6 @@ def _cut(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """All documents; the text from the first to the last word of each hit
     span is cut out."""
-    found = find_hits(docs, benchmark, text=text, **options)
-    cut = F.arrow_udf(_cut, "string")(F.col(text), F.col("hits.starts"), F.col("hits.ends"))
+    found = find_hits(docs, benchmark, text=text, name="__hits", **options)
+    cut = F.arrow_udf(_cut, "string")(F.col(text), F.col("__hits.starts"), F.col("__hits.ends"))
     return found.withColumn(text, cut).select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: No target above this many times its source's size.
 MOST = 3
 #: Expected rows of the largest cell.
-CELL_ROWS = 50_000
+CELL_ROWS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 

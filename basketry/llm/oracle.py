@@ -31,7 +31,7 @@ win AS (
   FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lengths WHERE len(w) >= n)),
 hit AS (SELECT r, i, win.n, item_id FROM win JOIN gram ON win.g = gram.g AND win.n = gram.n),
 pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
-its AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit) GROUP BY r)
+its AS (SELECT r, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
@@ -41,8 +41,8 @@ OP5 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 q AS (SELECT page_id, strlen(body) AS n, sha256(body) AS d, min(page_id) OVER (PARTITION BY body) AS f FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
-       CASE WHEN n >= 100 AND f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND f <> page_id THEN f END AS refers_to
+       CASE WHEN n >= 100 AND f IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND f IS DISTINCT FROM page_id THEN f END AS refers_to
 FROM q
 """
 
