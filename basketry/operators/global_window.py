@@ -1,34 +1,28 @@
 """Global ordinal windows without a single-partition sort.
 
 ``RANK() / ROW_NUMBER() / NTILE(k) / SUM(x) OVER (ORDER BY ...)`` with no
-PARTITION BY makes Spark move every row into one task.  Here the ordered
-input is cut into P contiguous, balanced buckets instead:
-
-1. the input is materialised once with ``checkpoint()`` (into the cluster's
-   checkpoint folder) and counted, as several small jobs and one big one
-   read it; P follows the row count (``ROWS_PER_BUCKET`` rows per bucket, at
-   most ``MAX_BUCKETS``), so a small input is one sorted partition;
-2. a deterministic hash sample of about ``sample_size`` sort keys (a hash
-   threshold set from the row count) comes to the driver and gives P-1 cut
-   points on the *full* sort key (order columns plus the tie-break keys), so
-   even one value holding a third of all rows is spread over many buckets;
-3. a row's bucket is a pure function of its sort key (binary search of one
-   struct key column against struct literals), so recomputation after a
-   lost executor yields the same bucket; past ``MAX_CASE_BUCKETS`` the ids
-   come from Spark's range partitioner instead and are frozen by a
-   checkpoint;
-4. per-bucket counts, sums and (for RANK) first/last tuples, P rows, come
-   to the driver and give each bucket its offsets;
-5. one hash shuffle on the bucket id; inside each bucket Spark's own window
-   computes the local row_number / rank / running sum, and the offsets are
-   added from literal arrays indexed by bucket (no join).
-
-RANK needs care only where a tie group crosses a bucket boundary: those
-boundary tuples are counted in one extra pass (a semi join against at most
-P boundary rows), run only when such a crossing exists.  NTILE uses the
-closed form from the global row number and the row count.  Ties in
-NTILE/ROW_NUMBER are broken by the given keys (the reference leaves them
-undefined; SURVEY D12).
+PARTITION BY makes Spark move every row into one task.  Here, at every size:
+
+1. Spark's range partitioner cuts the rows into ``buckets`` contiguous
+   buckets by the *full* sort key (order columns, then the tie-break keys),
+   so even one value that holds a third of all rows is spread over many;
+2. Spark's own windows number the rows inside each bucket; a checkpoint
+   freezes the bucket ids together with those numbers, so a lost executor
+   cannot move a row to another bucket;
+3. one row of totals per bucket (count, sum, first and last tuple) is
+   aggregated, and windows over these ``buckets`` rows turn the totals into
+   offsets;
+4. the offsets are joined back on the bucket.  That table has one row per
+   bucket, so its broadcast is bounded by the ``buckets`` parameter (default:
+   ``spark.sql.shuffle.partitions``), whatever the data.
+
+RANK: the rows tied with the first tuple of a bucket may begin in an earlier
+bucket; the position where each bucket's last tie group begins is carried
+from bucket to bucket in step 3.  NTILE uses the closed form from the global
+row number and the row count.  A running SUM is NULL until the first value
+that is not NULL, as in SQL.  Ties in NTILE/ROW_NUMBER are broken by the
+given keys, else by a hash of the row (the reference leaves them undefined;
+SURVEY D12).
 """
 
 from __future__ import annotations
@@ -38,7 +32,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -55,64 +48,6 @@ def desc(c: str) -> OrderKey:
     return OrderKey(c, False)
 
 
-def _sort_parts(df: DataFrame, order: Sequence[OrderKey], prefix: str = "__gw_") -> list[tuple[str, Column]]:
-    """Ascending-comparable parts for each order key: a null flag that puts
-    NULLs where Spark does (first for ASC, last for DESC), then the value,
-    negated for DESC."""
-    parts = []
-    types = {f.name: f.dataType for f in df.schema.fields}
-    for i, k in enumerate(order):
-        c = F.col(k.column)
-        if k.ascending:
-            parts.append((f"{prefix}f{i}", F.when(c.isNull(), 0).otherwise(1)))
-            parts.append((f"{prefix}v{i}", c))
-        else:
-            dt = types[k.column]
-            if isinstance(dt, (T.DateType,)):
-                v = -F.unix_date(c)
-            elif isinstance(dt, T.NumericType):
-                v = -(c.cast("bigint") if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType)) else c)
-            else:
-                raise TypeError(f"descending global order needs a numeric or date column: {k.column}")
-            parts.append((f"{prefix}f{i}", F.when(c.isNull(), 1).otherwise(0)))
-            parts.append((f"{prefix}v{i}", v))
-    return parts
-
-
-def _key_lit(names: Sequence[str], types: dict, values: Sequence[object]) -> Column:
-    """A cut point as a struct literal typed like the key struct column."""
-    return F.struct(*[F.lit(v).cast(types[n]).alias(n) for n, v in zip(names, values)])
-
-
-def _bucket_expr(key: str, names: Sequence[str], types: dict, cuts: Sequence[tuple]) -> Column:
-    """Number of cut points <= the row's key, by binary search (depth
-    log2 P).  Each step is one struct comparison against a struct literal
-    (Spark orders structs field by field, NULL first), so the expression
-    stays small for any number of buckets."""
-    k = F.col(key)
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(k < _key_lit(names, types, cuts[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
-    return build(0, len(cuts))
-
-
-_TIE = "__gw_tiebreak"
-ROWS_PER_BUCKET = 2_000_000   # one sorted window partition per task
-MAX_CASE_BUCKETS = 256        # binary search over at most 255 struct literals
-MAX_BUCKETS = 16_384          # beyond 256: range-partitioned, checkpointed ids
-
-
-def _bucket_count(n_rows: int, buckets: int | None) -> int:
-    """Explicit ``buckets``, else enough buckets for ~ROWS_PER_BUCKET rows
-    each (one for small inputs: then no sample job runs)."""
-    if buckets:
-        return max(1, min(MAX_BUCKETS, buckets))
-    return max(1, min(MAX_BUCKETS, -(-n_rows // ROWS_PER_BUCKET)))
-
-
 @dataclass(frozen=True)
 class GlobalSpec:
     """One global window: its ORDER BY, tie-break keys and outputs.
@@ -131,256 +66,106 @@ class GlobalSpec:
     running_sum: tuple[str, str] | None = None
 
 
+_B, _TIE, _RN, _RANK, _SUM = "__gw_bucket", "__gw_tie", "__gw_rn", "__gw_rank", "__gw_sum"
+
+
 def _spark_order(ks: Sequence[OrderKey]) -> list[Column]:
     return [F.col(k.column).asc_nulls_first() if k.ascending else F.col(k.column).desc_nulls_last()
             for k in ks]
 
 
-def _cuts(sample: list[tuple], P: int) -> list[tuple]:
-    cuts: list[tuple] = []
-    for j in range(1, P):
-        c = sample[(j * len(sample)) // P]
-        if (not cuts or c != cuts[-1]) and c != sample[0]:
-            cuts.append(c)
-    return cuts
-
-
-def _eq_before(stats: dict, nb: int, counts: dict) -> list[int]:
-    """Per bucket: rows of earlier buckets tied with its first tuple."""
-    out = []
-    for b in range(nb):
-        e = 0
-        if stats.get(b) is not None:
-            f = stats[b]["first"]
-            p = b - 1
-            while p >= 0:
-                if stats.get(p) is None:
-                    p -= 1
-                    continue
-                if stats[p]["last"] != f:
-                    break
-                e += counts.get((p, f), 0)
-                if stats[p]["first"] != f:
-                    break
-                p -= 1
-        out.append(e)
-    return out
-
-
-def _crossings(stats: dict, nb: int) -> list[tuple[int, tuple]]:
-    need = []
-    for b in range(1, nb):
-        if stats.get(b) is None:
-            continue
-        f = stats[b]["first"]
-        p = b - 1
-        while p >= 0:
-            if stats.get(p) is None:
-                p -= 1
-                continue
-            if stats[p]["last"] != f:
-                break
-            need.append((p, f))
-            if stats[p]["first"] != f:
-                break
-            p -= 1
-    return sorted(set(need))
+def bucketed(df: DataFrame, order: Sequence[OrderKey], buckets: int) -> DataFrame:
+    """``df`` with its range bucket in the given order (ids ascend with it)."""
+    return df.repartitionByRange(buckets, *_spark_order(order)).withColumn(_B, F.spark_partition_id())
 
 
-def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int | None = None,
-                   sample_size: int | None = None, materialize: bool = True) -> DataFrame:
-    """Add the outputs of several global windows to ``df``; all of them
-    share one checkpoint, one sample job and one statistics job."""
-    if materialize:
-        df = df.checkpoint(eager=True)
-    n_rows = df.count()
-    P = _bucket_count(n_rows, buckets)
-    S = sample_size or min(max(64 * P, 10_000), 500_000)
-
-    plans = []
-    keyed_cols = []
-    if any(not spec.keys for spec in specs):
-        # no tie-break given: a hash of the row breaks ties, so a hot value
-        # still spreads over buckets (RANK ignores it; ROW_NUMBER / NTILE
-        # become deterministic for rows that differ at all)
-        df = df.withColumn(_TIE, F.xxhash64(*df.columns))
-    for i, spec in enumerate(specs):
-        full = list(spec.order) + [asc(k) for k in (spec.keys or (_TIE,))]
-        parts = _sort_parts(df, full, prefix=f"__gw{i}_")
-        names = [n for n, _ in parts]
-        plans.append({"spec": spec, "full": full, "names": names, "key": f"__gw{i}_key",
-                      "order_names": names[:2 * len(spec.order)], "b": f"__gw{i}_bucket"})
-        keyed_cols += [c.alias(n) for n, c in parts]
-    keyed = df.select("*", *keyed_cols)
-    keyed = keyed.select("*", *[F.struct(*pl["names"]).alias(pl["key"]) for pl in plans])
-    types = {f.name: f.dataType for f in keyed.schema.fields}
-    all_names = [n for pl in plans for n in pl["names"]]
-
-    # one sample job gives every spec its cut points: a hash threshold keeps
-    # about S rows whatever the partitioning (deterministic, so a retried
-    # task keeps the same rows), sized from the row count of the checkpoint
-    if P > MAX_CASE_BUCKETS:
-        return _apply_all(_range_buckets(keyed, plans, P), plans, n_rows, all_names)
-
-    rows: list[tuple] = []
-    if P > 1:
-        keep = min(1.0, S / max(n_rows, 1))
-        h = F.pmod(F.xxhash64(*all_names), F.lit(1 << 31))
-        picked = keyed if keep >= 1.0 else keyed.where(h < F.lit(int(keep * (1 << 31))))
-        rows = [tuple(r) for r in picked.select(*all_names).collect()]
-    bucketed = keyed
-    pos = {n: i for i, n in enumerate(all_names)}
-    for pl in plans:
-        idx = [pos[n] for n in pl["names"]]
-        sample = sorted(tuple(r[i] for i in idx) for r in rows)
-        cuts = _cuts(sample, P) if sample else []
-        pl["nb"] = len(cuts) + 1
-        bucketed = bucketed.withColumn(
-            pl["b"], _bucket_expr(pl["key"], pl["names"], types, cuts) if cuts else F.lit(0))
-
-    return _apply_all(bucketed, plans, n_rows, all_names)
-
-
-def _range_buckets(keyed: DataFrame, plans: list[dict], P: int) -> DataFrame:
-    """More buckets than a CASE search should hold: Spark's range
-    partitioner (its own sample, balanced on the full key) assigns them, and
-    the partition id is frozen by a checkpoint right away, so every later
-    read and any recomputation sees the same buckets (ids are monotone in
-    the key; AQE coalescing only merges neighbours)."""
-    out = keyed
-    for pl in plans:
-        out = (out.repartitionByRange(P, F.col(pl["key"]))
-               .withColumn(pl["b"], F.spark_partition_id())
-               .checkpoint(eager=True))
-        pl["nb"] = P
-    return out
-
-
-def _apply_all(bucketed: DataFrame, plans: list[dict], n_rows: int, all_names: list[str]) -> DataFrame:
-    # one statistics job: per (spec, bucket) count, first/last tuple, sum;
-    # a spec with a single bucket needs none (offsets 0, count known)
-    for pl in plans:
-        if pl["nb"] == 1:
-            pl["stats"] = {0: {"n": n_rows, "first": None, "last": None, "s": None}}
-    multi = [(i, pl) for i, pl in enumerate(plans) if pl["nb"] > 1]
-    if multi:
-        _bucket_stats(bucketed, multi)
-
-    out = bucketed
-    for i, pl in enumerate(plans):
-        out = _apply(out, pl, bucketed)
-    drop = all_names + [pl["b"] for pl in plans] + [pl["key"] for pl in plans] + [_TIE]
-    return out.drop(*drop)
-
-
-def _bucket_stats(bucketed: DataFrame, multi: list[tuple[int, dict]]) -> None:
-    sid = F.col("__gw_sid")
-    plans = dict(multi)
-    ex = bucketed.select("*", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("sid"), F.col(pl["b"]).alias("b")) for i, pl in multi])).alias("__gw_sb"))
-    ex = ex.select("*", F.col("__gw_sb.sid").alias("__gw_sid"), F.col("__gw_sb.b").alias("__gw_b"))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, pl in multi:
-        if pl["spec"].rank:  # first/last tuples only matter for RANK ties across buckets
-            st = F.struct(*[F.col(n) for n in pl["order_names"]])
-            aggs += [F.min(F.when(sid == i, st)).alias(f"first{i}"), F.max(F.when(sid == i, st)).alias(f"last{i}")]
-        if pl["spec"].running_sum:
-            aggs.append(F.sum(F.when(sid == i, F.col(pl["spec"].running_sum[1]))).alias(f"s{i}"))
-    stats_rows = ex.groupBy("__gw_sid", "__gw_b").agg(*aggs).collect()
-    for i, pl in plans.items():
-        st = {}
-        for r in stats_rows:
-            if r["__gw_sid"] == i:
-                ranked = pl["spec"].rank
-                st[r["__gw_b"]] = {"n": r["n"],
-                                   "first": tuple(r[f"first{i}"]) if ranked else None,
-                                   "last": tuple(r[f"last{i}"]) if ranked else None,
-                                   "s": r[f"s{i}"] if pl["spec"].running_sum else None}
-        pl["stats"] = st
-
-
-def _apply(out: DataFrame, pl: dict, bucketed: DataFrame) -> DataFrame:
-    spec: GlobalSpec = pl["spec"]
-    stats, nb, b = pl["stats"], pl["nb"], pl["b"]
-    n_total = sum(v["n"] for v in stats.values())
-    offsets, sum_offsets, firsts = [], [], []
-    run_n, run_s = 0, 0
-    for k in range(nb):
-        offsets.append(run_n)
-        sum_offsets.append(run_s)
-        r = stats.get(k)
-        firsts.append(r["first"] if r else None)
-        if r:
-            run_n += r["n"]
-            if spec.running_sum and r["s"] is not None:
-                run_s = run_s + r["s"]
-    idx = F.col(b) + 1
-    off = F.element_at(F.array(*[F.lit(o) for o in offsets]), idx).cast("bigint")
-    w_full = Window.partitionBy(b).orderBy(*_spark_order(pl["full"]))
-    rn_col = f"{b}_rn"
-    if spec.row_number or spec.ntile:
-        out = out.withColumn(rn_col, F.row_number().over(w_full).cast("bigint") + off)
+def _offsets(numbered: DataFrame, spec: GlobalSpec) -> DataFrame:
+    """One row per bucket: rows before it, rows in all, sum before it, and
+    the global position where its first tie group begins."""
+    tuple_ = F.struct(*[F.col(k.column) for k in spec.order])
+    last = F.max(F.struct(F.col(_RN), F.col(_RANK), tuple_.alias("t")))
+    totals = [F.count(F.lit(1)).alias("n"), last.alias("last"),
+              F.min(F.when(F.col(_RN) == 1, tuple_)).alias("first")]
+    if spec.running_sum:
+        totals.append(F.sum(spec.running_sum[1]).alias("s"))
+    per = numbered.groupBy(_B).agg(*totals)
+    w = Window.orderBy(_B)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cols = [F.col(_B), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__gw_off"),
+            F.sum("n").over(Window.partitionBy()).alias("__gw_n"), F.col("first"), F.col("last")]
+    if spec.running_sum:
+        cols.append(F.sum("s").over(before).alias("__gw_carry"))
+    per = per.select(*cols, F.lag("last.t").over(w).alias("t_before"))
+    goes_on = F.coalesce(F.col("first").eqNullSafe(F.col("t_before")) & (F.col("__gw_off") > 0), F.lit(False))
+    # where the bucket's last tie group begins; unknown here (NULL) if the
+    # whole bucket is one group that began earlier
+    begins = F.when(F.col("last.__gw_rank") > 1, F.col("__gw_off") + F.col("last.__gw_rank")).otherwise(
+        F.when(~goes_on, F.col("__gw_off") + 1))
+    per = per.withColumn("goes_on", goes_on).withColumn("begins", begins)
+    begins = F.last("begins", ignorenulls=True).over(so_far)
+    per = per.withColumn("begins", begins)
+    first_begins = F.when(F.col("goes_on"), F.lag("begins").over(w)).otherwise(F.col("__gw_off") + 1)
+    out = per.withColumn("__gw_first", first_begins)
+    return out.select(_B, "__gw_off", "__gw_n", "__gw_first", *(["__gw_carry"] if spec.running_sum else []))
+
+
+def _apply(df: DataFrame, spec: GlobalSpec, buckets: int) -> DataFrame:
+    columns = df.columns
+    full = [*spec.order, *[asc(k) for k in (spec.keys or (_TIE,))]]
+    if not spec.keys:  # a hash of the row breaks ties, so a hot value still spreads over buckets
+        df = df.withColumn(_TIE, F.xxhash64(*columns))
+    in_order = Window.partitionBy(_B).orderBy(*_spark_order(full))
+    numbered = (bucketed(df, full, buckets)
+                .withColumn(_RN, F.row_number().over(in_order).cast("bigint"))
+                .withColumn(_RANK, F.rank().over(Window.partitionBy(_B).orderBy(*_spark_order(spec.order))).cast("bigint")))
+    if spec.running_sum:
+        numbered = numbered.withColumn(
+            _SUM, F.sum(spec.running_sum[1]).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    numbered = numbered.checkpoint(eager=True)
+    # one row per bucket: bounded by ``buckets``
+    out = numbered.join(F.broadcast(_offsets(numbered, spec)), _B)
+    rn = F.col(_RN) + F.col("__gw_off")
+    added = {}
+    if spec.row_number:
+        added[spec.row_number] = rn
     if spec.rank:
-        counts: dict[tuple, int] = {}
-        need = _crossings(stats, nb)
-        if need:  # tie groups crossing bucket boundaries: count them (rare)
-            names = pl["order_names"]
-            fields = [f for f in bucketed.schema.fields if f.name in names]
-            schema = T.StructType([T.StructField("__gw_nb", T.IntegerType())] +
-                                  [T.StructField(f"__gw_n{j}", f.dataType) for j, f in enumerate(fields)])
-            # at most one row per bucket boundary: a bounded broadcast
-            need_df = bucketed.sparkSession.createDataFrame([(p, *f) for p, f in need], schema)
-            cond = F.col(b) == F.col("__gw_nb")
-            for j, n in enumerate(names):
-                cond = cond & F.col(n).eqNullSafe(F.col(f"__gw_n{j}"))
-            hit = bucketed.join(F.broadcast(need_df), cond, "left_semi")
-            for r in hit.groupBy(b, *names).count().collect():
-                counts[(r[b], tuple(r[n] for n in names))] = r["count"]
-        eq_before = _eq_before(stats, nb, counts)
-        names = pl["order_names"]
-        first_here = F.struct(*[F.col(n) for n in names]).eqNullSafe(F.element_at(
-            F.array(*[_struct_lit(names, f, bucketed) for f in firsts]), idx))
-        w_rank = Window.partitionBy(b).orderBy(*_spark_order(spec.order))
-        out = out.withColumn(spec.rank, F.rank().over(w_rank).cast("bigint") + off
-                             - F.when(first_here, F.element_at(F.array(*[F.lit(e) for e in eq_before]), idx))
-                             .otherwise(F.lit(0)).cast("bigint"))
+        added[spec.rank] = F.when(F.col(_RANK) == 1, F.col("__gw_first")).otherwise(F.col(_RANK) + F.col("__gw_off"))
     if spec.running_sum:
-        name, col = spec.running_sum
-        sum_type = bucketed.select(F.sum(col).alias("s")).schema["s"].dataType
-        lits = [F.lit(v).cast(sum_type) for v in sum_offsets]
-        out = out.withColumn(name, F.sum(col).over(w_full.rowsBetween(Window.unboundedPreceding, 0))
-                             + F.element_at(F.array(*lits), idx))
+        zero = F.lit(0).cast(numbered.schema[_SUM].dataType)
+        total = F.coalesce(F.col(_SUM), zero) + F.coalesce(F.col("__gw_carry"), zero)
+        added[spec.running_sum[0]] = F.when(F.col(_SUM).isNotNull() | F.col("__gw_carry").isNotNull(), total)
     if spec.ntile:
         name, k = spec.ntile
-        q, r = divmod(n_total, k)
-        rn = F.col(rn_col)
-        big = F.lit(r * (q + 1))
-        out = out.withColumn(name, F.when(rn <= big, F.floor((rn - 1) / F.lit(q + 1)) + 1)
-                             .otherwise(F.floor((rn - 1 - big) / F.lit(max(q, 1))) + F.lit(r) + 1)
-                             .cast("bigint"))
-    if spec.row_number:
-        out = out.withColumnRenamed(rn_col, spec.row_number)
-    elif spec.ntile:
-        out = out.drop(rn_col)
-    return out
+        q = F.floor(F.col("__gw_n") / k)
+        r = F.col("__gw_n") - q * k
+        big = r * (q + 1)
+        added[name] = (F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1)
+                       .otherwise(F.floor((rn - 1 - big) / F.greatest(q, F.lit(1))) + r + 1).cast("bigint"))
+    return out.select(*[F.col(c) for c in columns if c not in added], *[c.alias(name) for name, c in added.items()])
+
+
+def global_windows(df: DataFrame, specs: Sequence[GlobalSpec], *, buckets: int | None = None,
+                   materialize: bool = True) -> DataFrame:
+    """Add the outputs of several global windows to ``df``.  The input is
+    checkpointed first (``materialize``), as the range partitioner samples it
+    before it is shuffled."""
+    if materialize:
+        df = df.checkpoint(eager=True)
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for spec in specs:
+        df = _apply(df, spec, buckets)
+    return df
 
 
 def global_window(df: DataFrame, order: Sequence[OrderKey], keys: Sequence[str] = (), *,
                   row_number: str | None = None, rank: str | None = None,
                   ntile: tuple[str, int] | None = None,
                   running_sum: tuple[str, str] | None = None,
-                  buckets: int | None = None, sample_size: int | None = None,
-                  materialize: bool = True) -> DataFrame:
+                  buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """One global window (see ``GlobalSpec`` and the module doc)."""
     spec = GlobalSpec(tuple(order), tuple(keys), row_number, rank, ntile, running_sum)
-    return global_windows(df, [spec], buckets=buckets, sample_size=sample_size, materialize=materialize)
-
-
-def _struct_lit(names: Sequence[str], values, df: DataFrame) -> Column:
-    types = {f.name: f.dataType for f in df.schema.fields}
-    if values is None:
-        values = [None] * len(names)
-    return F.struct(*[F.lit(v).cast(types[n]).alias(n) for n, v in zip(names, values)])
+    return global_windows(df, [spec], buckets=buckets, materialize=materialize)
 
 
 def global_rank(df: DataFrame, order: Sequence[OrderKey], name: str = "rank", **kw) -> DataFrame:

@@ -35,7 +35,7 @@ def make(spark, n, seed, hot=False):
 def test_matches_native_windows(spark, order, hot):
     df = make(spark, 3000, 7, hot)
     out = global_window(df, order, ["id"], row_number="rn", rank="rk", ntile=("nt", 7),
-                        running_sum=("rs", "d"), buckets=16, sample_size=400)
+                        running_sum=("rs", "d"), buckets=16)
     j = out.join(native(df, order, ["id"], 7), "id")
     bad = j.where((F.col("rn") != F.col("rn2")) | (F.col("rk") != F.col("rk2")) |
                   (F.col("nt") != F.col("nt2")) | (F.col("rs") != F.col("rs2"))).count()
@@ -43,18 +43,32 @@ def test_matches_native_windows(spark, order, hot):
 
 
 def test_hot_value_is_split_over_buckets(spark):
-    df = make(spark, 3000, 3, hot=True)
-    from basketry.operators import global_window as gw
-    parts = gw._sort_parts(df, [desc("v"), asc("id")])
-    names = [n for n, _ in parts]
-    keyed = df.select("*", *[c.alias(n) for n, c in parts])
-    keyed = keyed.withColumn("k", F.struct(*names))
-    types = {f.name: f.dataType for f in keyed.schema.fields}
-    sample = sorted(tuple(r) for r in keyed.select(*names).collect())
-    cuts = [sample[(j * len(sample)) // 8] for j in range(1, 8)]
-    sizes = (keyed.withColumn("b", gw._bucket_expr("k", names, types, cuts)).groupBy("b").count()
-             .agg(F.max("count")).first()[0])
-    assert sizes < 3000 * 0.2  # no bucket holds the whole hot value (~34%)
+    from basketry.operators.global_window import _B, bucketed
+    sizes = bucketed(make(spark, 3000, 3, hot=True), [desc("v"), asc("id")], 8).groupBy(_B).count()
+    assert sizes.agg(F.max("count")).first()[0] < 3000 * 0.25  # no bucket holds the whole hot value (~34%)
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("double", [NAN, -NAN, INF, -INF, 0.0, -0.0, 1.5, None]),
+    ("bigint", [-(1 << 63), (1 << 63) - 1, 0, 7, None]),
+    ("string", ["", "a", "B", "é", "zz", None]),
+    ("timestamp_ntz", ["2020-01-01 00:00:00", "2020-01-01 00:00:01", "1970-01-01 00:00:00", None]),
+    ("int", [3]),
+])
+@pytest.mark.parametrize("buckets", [1, 4, 20])
+def test_equals_native_for_odd_values(spark, kind, values, buckets):
+    rnd = random.Random(kind)
+    rows = [(i, rnd.choice(values), rnd.choice([None, Decimal("1.25"), Decimal(-3)]) if i > 40 or kind == "int" else None) for i in range(200)]
+    source = kind if kind in ("double", "bigint", "int") else "string"
+    df = spark.createDataFrame(rows, f"id long, v {source}, d decimal(10,2)").withColumn("v", F.col("v").cast(kind))
+    for order in ([desc("v")], [asc("v")], [desc("v"), asc("d")]):
+        out = global_window(df, order, ["id"], row_number="rn", rank="rk", ntile=("nt", 7), running_sum=("rs", "d"), buckets=buckets)
+        j = out.join(native(df, order, ["id"], 7).select("id", "rn2", "rk2", "nt2", "rs2"), "id")
+        same = [F.col(f"{c}").eqNullSafe(F.col(f"{c}2")) for c in ("rn", "rk", "nt", "rs")]
+        assert j.count() == 200 and j.where(~(same[0] & same[1] & same[2] & same[3])).count() == 0
 
 
 def test_small_and_empty_inputs(spark):
@@ -84,7 +98,7 @@ def test_several_specs_share_passes(spark):
     df = make(spark, 2000, 13, hot=True)
     out = global_windows(df, [GlobalSpec((desc("v"),), ("id",), rank="rk", ntile=("nt", 5)),
                               GlobalSpec((asc("d"),), ("id",), row_number="rn", running_sum=("rs", "d"))],
-                         buckets=8, sample_size=300)
+                         buckets=8)
     a = native(df, [desc("v")], ["id"], 5).select("id", "rk2", "nt2")
     b = native(df, [asc("d")], ["id"], 5).select("id", "rn2", "rs2")
     j = out.join(a, "id").join(b, "id")
@@ -98,27 +112,8 @@ def test_rank_without_keys_splits_hot_value(spark):
     holds a third of all rows over several buckets, and RANK stays exact."""
     from basketry.operators.global_window import GlobalSpec, global_windows
     df = make(spark, 3000, 21, hot=True)
-    out = global_windows(df, [GlobalSpec((desc("v"),), rank="rk")], buckets=12, sample_size=600)
+    out = global_windows(df, [GlobalSpec((desc("v"),), rank="rk")], buckets=12)
     ref = df.withColumn("rk2", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())))
     j = out.join(ref.select("id", "rk2"), "id")
     assert j.count() == 3000 and j.where(F.col("rk") != F.col("rk2")).count() == 0
     assert set(out.columns) == set(df.columns) | {"rk"}
-
-
-def test_range_partitioned_buckets_match_native(spark, monkeypatch):
-    """More buckets than the CASE search holds: range-partitioned ids frozen
-    by a checkpoint; every output still equals the native window."""
-    from basketry.operators import global_window as gw
-    monkeypatch.setattr(gw, "MAX_CASE_BUCKETS", 4)
-    monkeypatch.setattr(gw, "ROWS_PER_BUCKET", 100)
-    df = make(spark, 3000, 17, hot=True)
-    out = gw.global_windows(df, [
-        gw.GlobalSpec((desc("v"),), ("id",), rank="rk", ntile=("nt", 7), running_sum=("rs", "d")),
-        gw.GlobalSpec((asc("d"),), ("id",), row_number="rn"),
-        gw.GlobalSpec((desc("v"),), rank="rk_nokey")])
-    a = native(df, [desc("v")], ["id"], 7).select("id", "rk2", "nt2", "rs2")
-    b = native(df, [asc("d")], ["id"], 7).select("id", "rn2")
-    j = out.join(a, "id").join(b, "id")
-    bad = j.where((F.col("rk") != F.col("rk2")) | (F.col("nt") != F.col("nt2")) | (F.col("rs") != F.col("rs2"))
-                  | (F.col("rn") != F.col("rn2")) | (F.col("rk_nokey") != F.col("rk2"))).count()
-    assert j.count() == 3000 and bad == 0
