@@ -8,7 +8,6 @@ Layout
               pairs, first-event / argmin rows, audits
   plans/      the named analyses, operator keys, ad-hoc SQL, catalogue and
               the DuckDB oracle texts
-  streaming/  empty (the reference has no streaming)
 """
 
 from basketry.session import configure, local_session  # noqa: F401

@@ -33,10 +33,11 @@ def duplicate_keys(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
 
 def orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str,
             child_name: str, parent_name: str) -> DataFrame:
-    """One row: child rows whose non-NULL key has no parent (left anti join)."""
+    """One row: child rows whose non-NULL key has no parent.  Rows are counted
+    per key first, so the left anti join meets each key once."""
     p = parent.select(F.col(parent_col).alias("__parent_key"))
-    missing = (child.where(F.col(child_col).isNotNull())
-               .join(p, F.col(child_col) == F.col("__parent_key"), "left_anti"))
-    return missing.agg(F.count(F.lit(1)).cast("bigint").alias("orphan_rows")).select(
+    keys = child.where(F.col(child_col).isNotNull()).groupBy(child_col).agg(F.count(F.lit(1)).alias("n"))
+    missing = keys.join(p, F.col(child_col) == F.col("__parent_key"), "left_anti")
+    return missing.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orphan_rows")).select(
         F.lit(child_name).alias("child"), F.lit(child_col).alias("column"),
         F.lit(parent_name).alias("parent"), "orphan_rows")

@@ -1,17 +1,12 @@
 """Co-occurrence pairs: for each unordered pair (a < b) of items, how many
 entities hold both; plus how many entities hold each item.
 
-Entities are first reduced to their sorted *set* of distinct items (a hash
-distinct with map-side combine, so a hot entity sends at most one row per
-item per task), and the sets are counted, so pairs are expanded
-once per distinct set instead of once per entity: with C items there are at
-most min(entities, 2^C) sets and C*(C-1)/2 pairs per set.  This is meant for
-a small item domain (categories, brands), as in the reference's cross-sell.
-
-When the item dimension has at most 63 values (``item_domain`` reads at
-most 64 of them), an entity's set is one BIGINT mask built by ``bit_or``, a
-plain hash aggregate, instead of a collected list; distinct masks are turned
-back into sorted item arrays for the same pair expansion.
+The input is the distinct (entity, item) table.  Pairs are an equi self join
+on the entity with ``a < b``, counted per task before they are shuffled, so
+no array of pairs and no list of an entity's items is ever built.  Its rows
+are those of the question itself: every pair that an entity holds.  This is
+meant for items that an entity holds few of (categories, brands), as in the
+reference's cross-sell.
 """
 
 from __future__ import annotations
@@ -20,63 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def item_sets(df: DataFrame, entity: str, item: str) -> DataFrame:
-    """Distinct item set per entity, counted: (items array<sorted>, n).
-    The (entity, item) pairs are deduplicated by a hash aggregate first
-    (map-side combine), so the list collected per entity is at most the item
-    domain."""
-    distinct = df.select(entity, item).where(F.col(item).isNotNull()).distinct()
-    per_entity = distinct.groupBy(entity).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return per_entity.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
-
-
-def pairs_from_sets(sets: DataFrame, a: str = "item_a", b: str = "item_b", both: str = "both") -> DataFrame:
-    pairs = sets.select(
-        F.explode(F.flatten(F.transform(
-            "items",
-            lambda x, i: F.transform(F.slice("items", i + 2, F.greatest(F.size("items") - i - 1, F.lit(0))),
-                                     lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"),
-        "n")
-    return pairs.groupBy(F.col("p.a").alias(a), F.col("p.b").alias(b)).agg(F.sum("n").alias(both))
-
-
-def holders_from_sets(sets: DataFrame, item: str = "item", name: str = "holders") -> DataFrame:
-    return (sets.select(F.explode("items").alias(item), "n")
-            .groupBy(item).agg(F.sum("n").alias(name)))
-
-
-def pair_counts(df: DataFrame, entity: str, item: str, a: str = "item_a", b: str = "item_b",
+def pair_counts(held: DataFrame, entity: str, item: str, a: str = "item_a", b: str = "item_b",
                 both: str = "both") -> DataFrame:
-    return pairs_from_sets(item_sets(df, entity, item), a, b, both)
-
-
-def item_counts(df: DataFrame, entity: str, item: str, name: str = "holders") -> DataFrame:
-    return holders_from_sets(item_sets(df, entity, item), item, name)
-
-
-MAX_MASK_ITEMS = 63   # items of a set held as bits of one BIGINT
-
-
-def item_domain(items: DataFrame, item: str, limit: int = MAX_MASK_ITEMS) -> list | None:
-    """The distinct values of a small item dimension, sorted, or None when
-    there are more than ``limit`` (at most limit + 1 values are read)."""
-    vals = [r[0] for r in items.select(item).where(F.col(item).isNotNull()).distinct().limit(limit + 1).collect()]
-    return None if len(vals) > limit else sorted(vals)
-
-
-def mask_sets(df: DataFrame, entity: str, item: str, domain: list) -> DataFrame:
-    """Item set per entity as a bit mask over ``domain`` (``bit_or`` is a
-    plain hash aggregate: 8 bytes per entity), counted per distinct mask."""
-    bit_of = F.create_map(*[x for i, v in enumerate(domain) for x in (F.lit(v), F.lit(1 << i).cast("bigint"))])
-    bits = F.element_at(bit_of, F.col(item))
-    per_entity = df.where(F.col(item).isNotNull()).groupBy(entity).agg(F.bit_or(bits).alias("mask"))
-    return per_entity.groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
+    """(a, b, both) from distinct (entity, item); null items pair with none."""
+    left = held.select(entity, F.col(item).alias(a))
+    right = held.select(entity, F.col(item).alias(b))
+    return left.join(right, entity).where(F.col(a) < F.col(b)).groupBy(a, b).agg(F.count(F.lit(1)).alias(both))
 
 
-def masks_to_sets(sets: DataFrame, domain: list) -> DataFrame:
-    """(mask, n) -> (items, n): the set bits as the sorted item array, so
-    pairs expand per distinct set as in ``pairs_from_sets``."""
-    singles = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(1 << i).cast("bigint").alias("bit"))
-                        for i, v in enumerate(domain)])
-    held = F.filter(singles, lambda s: F.col("mask").bitwiseAND(s["bit"]) != 0)
-    return sets.select(F.transform(held, lambda s: s["v"]).alias("items"), "n")
+def item_counts(held: DataFrame, item: str, name: str = "item", holders: str = "holders") -> DataFrame:
+    """(item, holders) from distinct (entity, item)."""
+    held = held.where(F.col(item).isNotNull())
+    return held.groupBy(F.col(item).alias(name)).agg(F.count(F.lit(1)).alias(holders))

@@ -3,40 +3,67 @@
 ``run_sql`` hands the text to ``spark.sql`` over temp views named as in the
 reference (customers, products, orders, order_items) and returns
 ``(DataFrame, None)`` or ``(None, message)``: failure is data, as in the
-reference.  Only read statements are accepted; writing tables is
+reference.  Only read statements are accepted: the text is parsed first and
+refused if a command or write stands anywhere in its plan; writing tables is
 ``basketry.sources.io``'s job.  Spark is lazy, so analysis errors surface at
 once but runtime errors (e.g. ANSI overflow) only on an action; pass
-``eager=True`` to run a cheap action inside the guard.
-
-Two SQLite date functions the reference's queries use are registered as SQL
-functions (JVM-side expressions, no Python): ``strftime(fmt, d)`` for the
-%Y/%m/%d codes and ``julianday(d)``.  Note LIKE is case-sensitive in Spark
+``eager=True`` to run the whole statement (into Spark's ``noop`` sink) inside
+the guard.
+
+``prepare`` creates the views in the shop's session; give it a shop over
+``spark.newSession()`` to leave the caller's views alone.  Two SQLite date
+functions the reference's queries use are registered as SQL functions
+(JVM-side expressions, no Python): ``strftime(fmt, t)`` for the codes %Y %m
+%d %H %M %S %j %w %% (any other code is an error) and ``julianday(t)``.  Note LIKE is case-sensitive in Spark
 (SQLite's is not for ASCII): use ILIKE for the SQLite behaviour.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.sources.fixture import Shop
 
-READ_STATEMENT = re.compile(r"^\s*(\(\s*)*(select|with|values|table|from|show|describe|desc|explain)\b",
-                            re.IGNORECASE)
+_CODES = {"%Y": "date_format(t, 'yyyy')", "%m": "date_format(t, 'MM')", "%d": "date_format(t, 'dd')",
+          "%H": "date_format(t, 'HH')", "%M": "date_format(t, 'mm')", "%S": "date_format(t, 'ss')",
+          "%j": "date_format(t, 'DDD')", "%w": "CAST(dayofweek(t) - 1 AS STRING)", "%%": "'%'"}
+
+
+def _strftime() -> str:
+    out = "fmt"
+    for code, value in _CODES.items():
+        out = f"replace({out}, '{code}', {value})"
+    return f"""CREATE OR REPLACE TEMPORARY FUNCTION strftime(fmt STRING, t TIMESTAMP) RETURNS STRING
+       RETURN CASE WHEN instr(regexp_replace(fmt, '%[YmdHMSjw%]', ''), '%') > 0
+                   THEN raise_error(concat('strftime: unknown code in ', fmt)) ELSE {out} END"""
+
 
 SQL_FUNCTIONS = [
-    """CREATE OR REPLACE TEMPORARY FUNCTION strftime(fmt STRING, d DATE) RETURNS STRING
-       RETURN date_format(d, replace(replace(replace(fmt, '%Y', 'yyyy'), '%m', 'MM'), '%d', 'dd'))""",
-    """CREATE OR REPLACE TEMPORARY FUNCTION julianday(d DATE) RETURNS DOUBLE
-       RETURN unix_date(d) + 2440587.5""",
+    _strftime(),
+    """CREATE OR REPLACE TEMPORARY FUNCTION julianday(t TIMESTAMP) RETURNS DOUBLE
+       RETURN unix_micros(t) / 86400000000.0D + 2440587.5D""",
 ]
 
+#: Commands that only look.
+_LOOKS = ("Show", "Describe", "Explain")
+
+
+def _nodes(plan):
+    yield plan
+    for inner in (plan.children(), plan.innerChildren()):
+        for i in range(inner.size()):
+            yield from _nodes(inner.apply(i))
+
 
-def _strip_comments(text: str) -> str:
-    text = re.sub(r"/\*.*?\*/", " ", text, flags=re.DOTALL)
-    return re.sub(r"--[^\n]*", " ", text)
+def _writes(spark: SparkSession, text: str) -> bool:
+    """Whether the parsed statement holds a command or a write."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    if plan.getClass().getSimpleName().startswith(_LOOKS):
+        return False
+    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{name}")
+             for name in ("Command", "ParsedStatement", "InsertIntoDir")]
+    return any(kind.isInstance(node) for node in _nodes(plan) for kind in kinds)
 
 
 def register_sql_functions(spark: SparkSession) -> None:
@@ -52,12 +79,12 @@ def prepare(shop: Shop) -> None:
 def run_sql(spark: SparkSession, text: str, eager: bool = False) -> tuple[DataFrame | None, str | None]:
     if not text or not text.strip():
         return None, "empty statement"
-    if not READ_STATEMENT.match(_strip_comments(text)):
-        return None, "only read statements (SELECT / WITH ...) are accepted"
     try:
+        if _writes(spark, text):
+            return None, "only read statements (SELECT / WITH ...) are accepted"
         df = spark.sql(text)
         if eager:
-            df.limit(1).collect()
+            df.write.format("noop").mode("overwrite").save()
         return df, None
     except PySparkException as e:
         return None, str(e)

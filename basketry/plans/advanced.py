@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.expr import big, ratio, rnd, rnd_dec
-from basketry.plans.common import DELIVERED, SHOWCASE_CUSTOMERS, valued_orders
+from basketry.plans.common import DELIVERED, SHOWCASE_CUSTOMERS, order_totals, valued_orders
 from basketry.sources.fixture import Shop
 
 FULL_NAMES = {"row_num": "row_num", "rank": "rank_with_gaps", "dense_rank": "dense_rank_no_gaps",
@@ -75,28 +75,25 @@ def journey_paths(shop: Shop, depth: int = 5) -> DataFrame:
     (customer, date) carries the number of chains of length k ending there:
     n1 = orders on the first date, n(k+1) = orders that day x sum of nk over
     earlier dates.  Work is one shuffle by customer over (customer, date)
-    rows, bounded per customer by the calendar; no row per path exists."""
-    vo = valued_orders(shop, DELIVERED)
-    first = (shop.orders_where(DELIVERED)
-             .groupBy("customer_id").agg(F.min("order_date").alias("first_date")))
-    cd = (vo.groupBy("customer_id", "order_date")
-          .agg(F.count(F.lit(1)).alias("m"), F.sum("revenue").alias("v"))
-          .join(first, "customer_id"))
+    rows, bounded per customer by the calendar; no row per path exists.
+
+    Chains multiply with a customer's days and orders beyond any DECIMAL, so
+    counts and values are DOUBLE."""
+    orders = shop.orders_where(DELIVERED).join(order_totals(shop), "order_id", "left")
+    # every delivered order counts for the first date, those with items as steps
+    cd = (orders.groupBy("customer_id", "order_date")
+          .agg(F.count("revenue").cast("double").alias("m"), F.sum("revenue").cast("double").alias("v"))
+          .withColumn("first_date", F.min("order_date").over(Window.partitionBy("customer_id"))))
     # c_k: chains of length k-1 ending before this date (c_1: 1 on the first
     # date); the day's m orders each extend them, so n_k = m * c_k paths of
     # length k end here, worth c_k * (sum of the day's order values).
     earlier = Window.partitionBy("customer_id").orderBy("order_date").rowsBetween(Window.unboundedPreceding, -1)
-    # chain counts grow combinatorially with a customer's days and orders:
-    # count them exactly in DECIMAL(38,0) (an overflow raises, never wraps)
-    count_t = "decimal(38,0)"
-    cd = cd.withColumn("c1", F.when(F.col("order_date") == F.col("first_date"), F.lit(1)).otherwise(F.lit(0))
-                       .cast(count_t))
+    cd = cd.withColumn("c1", (F.col("order_date") == F.col("first_date")).cast("double"))
     for k in range(2, depth + 1):
-        cd = cd.withColumn(f"c{k}", F.coalesce(F.sum(F.col("m").cast(count_t) * F.col(f"c{k - 1}")).over(earlier),
-                                               F.lit(0).cast(count_t)).cast(count_t))
+        cd = cd.withColumn(f"c{k}", F.coalesce(F.sum(F.col("m") * F.col(f"c{k - 1}")).over(earlier), F.lit(0.0)))
     levels = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c")) for k in range(1, depth + 1)])
     per_level = (cd.select("customer_id", "m", "v", F.explode(levels).alias("l"))
-                 .where(F.col("l.c") > 0)
+                 .where((F.col("l.c") > 0) & (F.col("m") > 0))
                  .select("customer_id", F.col("l.k").alias("k"), (F.col("m") * F.col("l.c")).alias("n"),
                          (F.col("l.c") * F.col("v")).alias("value")))
     per_cust = (per_level.groupBy("customer_id", "k")
@@ -104,6 +101,6 @@ def journey_paths(shop: Shop, depth: int = 5) -> DataFrame:
     return (per_cust.groupBy("k")
             .agg(big(F.count(F.lit(1))).alias("customers"),
                  rnd(ratio(F.sum("value"), F.sum("paths")), 2).alias("avg_order_value"),
-                 rnd_dec(F.sum("value"), 2).alias("total_revenue"))
+                 F.round(F.sum("value"), 2).alias("total_revenue"))
             .select(big("k").alias("order_number"), "customers", "avg_order_value", "total_revenue")
             .orderBy("order_number"))

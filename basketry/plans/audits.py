@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from basketry.operators.audit import domain_violations, duplicate_keys, orphans
 from basketry.sources.fixture import Shop
-from basketry.sources.schemas import SEGMENTS, STATUSES
+from basketry.sources.schemas import DOMAINS, FOREIGN_KEYS, PRIMARY_KEYS
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -16,20 +16,16 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def audit_domain(shop: Shop) -> DataFrame:
-    return _union([domain_violations(shop.customers, "customers", "segment", SEGMENTS),
-                   domain_violations(shop.orders, "orders", "status", STATUSES)])
+    return _union([domain_violations(getattr(shop, table), table, column, values) for table, column, values in DOMAINS])
 
 
 def audit_unique(shop: Shop) -> DataFrame:
     """Primary keys; order_items has no item_id on the fixture, so its
     natural key (order_id, line_no) is audited."""
-    return _union([duplicate_keys(shop.customers, "customers", ["customer_id"]),
-                   duplicate_keys(shop.products, "products", ["product_id"]),
-                   duplicate_keys(shop.orders, "orders", ["order_id"]),
-                   duplicate_keys(shop.order_items, "order_items", ["order_id", "line_no"])])
+    keys = PRIMARY_KEYS | {"order_items": ["order_id", "line_no"]}
+    return _union([duplicate_keys(getattr(shop, table), table, columns) for table, columns in keys.items()])
 
 
 def audit_fk(shop: Shop) -> DataFrame:
-    return _union([orphans(shop.orders, "customer_id", shop.customers, "customer_id", "orders", "customers"),
-                   orphans(shop.order_items, "order_id", shop.orders, "order_id", "order_items", "orders"),
-                   orphans(shop.order_items, "product_id", shop.products, "product_id", "order_items", "products")])
+    return _union([orphans(getattr(shop, child), column, getattr(shop, parent), key, child, parent)
+                   for child, column, parent, key in FOREIGN_KEYS])

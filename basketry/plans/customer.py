@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.expr import big, days_between, ratio, rnd, rnd_dec
 from basketry.operators.global_window import GlobalSpec, asc, desc, global_windows
 from basketry.operators.topk import topk
-from basketry.plans.common import DELIVERED, FIXTURE_AS_OF, valued_orders
+from basketry.plans.common import DELIVERED, FIXTURE_AS_OF, order_totals, valued_orders
 from basketry.sources.fixture import Shop
 
 
@@ -122,13 +122,16 @@ def new_vs_returning(shop: Shop) -> DataFrame:
     """Q7: delivered revenue by month, split by whether the order fell on the
     customer's first order date (taken over all statuses, quirk 4).
 
-    Delivered orders are first reduced to (customer, date) grain, which is
-    bounded per customer by the calendar, before the first-date join."""
-    cd = (valued_orders(shop, DELIVERED).groupBy("customer_id", "order_date")
-          .agg(F.count(F.lit(1)).alias("n_orders"), F.sum("revenue").alias("rev"),
-               F.sum("n_items").alias("n_items")))
-    first = shop.orders.groupBy("customer_id").agg(F.min("order_date").alias("first_date"))
-    typed = (cd.join(first, "customer_id")
+    One pass over all orders: each (customer, date), bounded per customer by
+    the calendar, carries its delivered measures, and the customer's first
+    date is a window minimum over these rows."""
+    delivered = F.col("status") == DELIVERED
+    cd = (shop.orders.join(order_totals(shop), "order_id", "left").groupBy("customer_id", "order_date")
+          .agg(F.count(F.when(delivered, F.col("revenue"))).alias("n_orders"),
+               F.sum(F.when(delivered, F.col("revenue"))).alias("rev"),
+               F.sum(F.when(delivered, F.col("n_items"))).alias("n_items")))
+    first = F.min("order_date").over(Window.partitionBy("customer_id"))
+    typed = (cd.withColumn("first_date", first).where(F.col("n_orders") > 0)
              .withColumn("customer_type", F.when(F.col("order_date") == F.col("first_date"), "New Customer")
                          .otherwise("Returning Customer"))
              .withColumn("month", F.date_format("order_date", "yyyy-MM")))

@@ -10,7 +10,6 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.draws import uniform_int, weighted_choice
 from basketry.functions.expr import (big, bucketize, days_between, dbl, month_diff, month_key,
                                      month_name, month_text, pct, ratio, rnd, rnd_dec, year_text)
 from basketry.operators.events import argmin_rows
@@ -21,21 +20,10 @@ from basketry.operators.topk import topk
 from basketry.plans import adhoc
 from basketry.plans.common import DELIVERED, FIXTURE_AS_OF, valued_orders
 from basketry.plans.product import cross_sell, product_revenue
+from basketry.session import configure
 from basketry.sources.fixture import Shop
 from basketry.sources.schemas import STATUSES
 
-SEED = 42
-# Weights of the reference generator (fixed values).
-STATUS_WEIGHTS = [0.72, 0.15, 0.08, 0.05]
-PAYMENT_VALUES = ["UPI", "Card", "NetBanking", "COD", "Wallet"]
-PAYMENT_WEIGHTS = [0.45, 0.25, 0.12, 0.12, 0.06]
-ITEMS_PER_ORDER = [1, 2, 3, 4]
-ITEMS_PER_ORDER_WEIGHTS = [0.50, 0.30, 0.15, 0.05]
-DISCOUNTS = ["0.00", "0.05", "0.10", "0.15", "0.20"]
-DISCOUNT_WEIGHTS = [0.40, 0.20, 0.20, 0.12, 0.08]
-SPREAD_START = dt.date(2023, 1, 1)
-SPREAD_DAYS = 730  # 2023-01-01 .. 2024-12-31
-
 ORDER_SIZE_BUCKETS = [("<", Decimal("10000"), "small"), ("<", Decimal("100000"), "medium"),
                       ("<", Decimal("250000"), "large")]
 
@@ -48,7 +36,7 @@ def op_scan(shop: Shop) -> DataFrame:
 
 def op_line_measures(shop: Shop) -> DataFrame:
     return shop.order_items.select("order_id", big("line_no").alias("line_no"), "product_id",
-                                   big("quantity").alias("quantity"), "unit_price", dbl("discount").alias("discount"),
+                                   big("quantity").alias("quantity"), dbl("unit_price").alias("unit_price"), dbl("discount").alias("discount"),
                                    dbl("revenue").alias("revenue"), dbl("profit").alias("profit"))
 
 
@@ -56,39 +44,6 @@ def op_preview(shop: Shop, n: int = 5) -> DataFrame:
     return shop.customers.orderBy("customer_id").limit(n)
 
 
-def op_weighted_choice(shop: Shop) -> DataFrame:
-    k = F.col("order_id")
-    return shop.orders.select(
-        "order_id",
-        weighted_choice(SEED, "status", k, STATUSES, STATUS_WEIGHTS).alias("drawn_status"),
-        weighted_choice(SEED, "payment", k, PAYMENT_VALUES, PAYMENT_WEIGHTS).alias("drawn_payment"))
-
-
-def op_date_spread(shop: Shop) -> DataFrame:
-    """Orders in key order spread evenly over 2023-01-01 .. 2024-12-31: the
-    i-th of n gets day floor((i-1) * 730 / (n-1)).  i is a distributed global
-    row number; n a scalar subquery."""
-    o = materialize(shop.orders.select("order_id"))
-    numbered = global_window(o, [asc("order_id")], (), row_number="rn", materialize=False)
-    day = F.expr(f"(rn - 1) * {SPREAD_DAYS} div greatest(nn - 1, 1)")
-    return (numbered.withColumn("nn", o.select(F.count(F.lit(1))).scalar())
-            .select("order_id", F.date_add(F.lit(SPREAD_START), day.cast("int")).alias("spread_date")))
-
-
-def op_fanout(shop: Shop) -> DataFrame:
-    """Each order fans out to 1-4 lines (weighted), each with a uniform
-    quantity 1-3 and a weighted discount: the generator's item rule applied
-    to the given orders."""
-    o = shop.orders.select("order_id")
-    n_items = weighted_choice(SEED, "n_items", F.col("order_id"), ITEMS_PER_ORDER, ITEMS_PER_ORDER_WEIGHTS)
-    lines = o.select("order_id", F.explode(F.sequence(F.lit(1), n_items)).alias("line_no"))
-    key = F.concat(F.col("order_id").cast("string"), F.lit("-"), F.col("line_no").cast("string"))
-    return lines.select("order_id", big("line_no").alias("line_no"),
-                        big(uniform_int(SEED, "qty", key, 1, 3)).alias("quantity"),
-                        weighted_choice(SEED, "discount", key, [Decimal(d) for d in DISCOUNTS], DISCOUNT_WEIGHTS)
-                        .cast("double").alias("discount"))
-
-
 # ------------------------------------------------------- projection / CASE
 
 def op_bucketize(shop: Shop) -> DataFrame:
@@ -135,9 +90,10 @@ def op_agg_basic(shop: Shop) -> DataFrame:
 
 def op_count_distinct(shop: Shop) -> DataFrame:
     """Two COUNT(DISTINCT) of different columns per payment, as two
-    (payment, x) pre-aggregates joined on the payment (no Expand)."""
-    lines = shop.order_items.select("order_id", "product_id").join(
-        shop.orders.select("order_id", "customer_id", "payment"), "order_id")
+    (payment, x) pre-aggregates joined on the payment (no Expand).  The join
+    of the facts behind both runs once, into a checkpoint."""
+    lines = materialize(shop.order_items.select("order_id", "product_id").join(
+        shop.orders.select("order_id", "customer_id", "payment"), "order_id").select("payment", "customer_id", "product_id"))
     cust = (lines.select("payment", "customer_id").distinct().groupBy("payment")
             .agg(big(F.count(F.lit(1))).alias("customers")))
     prod = (lines.select("payment", "product_id").distinct().groupBy("payment")
@@ -242,10 +198,13 @@ def op_topk(shop: Shop, k: int = 10) -> DataFrame:
 
 
 def op_union_all(shop: Shop) -> DataFrame:
+    """Months by status are summed once, into a checkpoint of a few rows;
+    each branch takes its status."""
+    months = materialize(valued_orders(shop).groupBy("status", month_key("order_date").alias("month"))
+                         .agg(rnd_dec(F.sum("revenue"), 2).alias("revenue"), big(F.count(F.lit(1))).alias("orders")))
+
     def branch(status: str, kind: str) -> DataFrame:
-        return (valued_orders(shop, status).groupBy(month_key("order_date").alias("month"))
-                .agg(rnd_dec(F.sum("revenue"), 2).alias("revenue"), big(F.count(F.lit(1))).alias("orders"))
-                .select(F.lit(kind).alias("kind"), "month", "revenue", "orders"))
+        return months.where(F.col("status") == status).select(F.lit(kind).alias("kind"), "month", "revenue", "orders")
     return branch("Delivered", "delivered").unionByName(branch("Returned", "returned"))
 
 
@@ -255,7 +214,8 @@ def op_scalar_dates(shop: Shop, as_of: dt.date = FIXTURE_AS_OF) -> DataFrame:
         "order_id", month_key(d).alias("month_key"), year_text(d).alias("year"), month_text(d).alias("month"),
         month_name(d).alias("month_name"), big(days_between(F.lit(as_of), d)).alias("days_to_as_of"),
         big(month_diff(d, F.lit(dt.date(1995, 1, 1)))).alias("months_from_start"),
-        (d > F.lit(dt.date(2000, 1, 1))).alias("after_2000"))
+        (d > F.lit(dt.date(2000, 1, 1))).alias("after_2000"),
+        F.to_date(F.concat(month_key(d), F.lit("-01"))).alias("month_start"))
 
 
 def op_scalar_numeric(shop: Shop) -> DataFrame:
@@ -282,6 +242,12 @@ def op_join_left(shop: Shop) -> DataFrame:
             .select("customer_id", big(F.coalesce("n", F.lit(0))).alias("delivered_orders")))
 
 
+def op_join_right(shop: Shop) -> DataFrame:
+    last = shop.orders_where("Returned").groupBy("customer_id").agg(F.max("order_date").alias("last_returned"))
+    return (last.join(shop.customers.select("customer_id", "segment"), "customer_id", "right")
+            .select("customer_id", "segment", "last_returned"))
+
+
 def op_join_full(shop: Shop) -> DataFrame:
     rev = (valued_orders(shop, DELIVERED).groupBy("customer_id")
            .agg(rnd_dec(F.sum("revenue"), 2).alias("delivered_revenue")))
@@ -291,12 +257,13 @@ def op_join_full(shop: Shop) -> DataFrame:
 
 
 def op_semi(shop: Shop) -> DataFrame:
-    ret = shop.orders_where("Returned").select("customer_id")
+    # distinct first: a customer with a third of all orders is one row here
+    ret = shop.orders_where("Returned").select("customer_id").distinct()
     return shop.customers.join(ret, "customer_id", "left_semi").select("customer_id", "segment")
 
 
 def op_anti(shop: Shop) -> DataFrame:
-    d = shop.orders_where(DELIVERED).select("customer_id")
+    d = shop.orders_where(DELIVERED).select("customer_id").distinct()
     return shop.customers.join(d, "customer_id", "left_anti").select("customer_id", "city")
 
 
@@ -328,8 +295,10 @@ GROUP BY 1, 2"""
 
 
 def op_adhoc_sql(shop: Shop) -> DataFrame:
-    adhoc.prepare(shop)
-    df, err = adhoc.run_sql(shop.spark, ADHOC_TEXT)
+    """In a session of its own, so the caller's views and functions stay."""
+    session = configure(shop.spark.newSession())
+    adhoc.prepare(Shop(session, shop.sf_dir))
+    df, err = adhoc.run_sql(session, ADHOC_TEXT)
     if err:
         raise RuntimeError(err)
     return df

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from basketry.functions.expr import big, bucketize, pct, ratio, rnd, rnd_dec
 from basketry.operators.global_window import desc
 from basketry.operators.materialize import materialize
-from basketry.operators.pairs import (holders_from_sets, item_domain, item_sets, mask_sets, masks_to_sets,
-                                      pairs_from_sets)
+from basketry.operators.pairs import item_counts, pair_counts
+from basketry.operators.salted import salted_join
 from basketry.operators.topk import topk
 from basketry.plans.common import DELIVERED, delivered_lines
 from basketry.sources.fixture import Shop
@@ -48,28 +48,24 @@ def product_pareto(shop: Shop, k: int = 20) -> DataFrame:
 
 
 def customer_items(shop: Shop, item: str = "category", items: DataFrame | None = None) -> DataFrame:
-    """(customer, item) of delivered lines (duplicates kept; the item-set
-    aggregate removes them map-side); ``items`` maps
-    product_id -> item when the item is not a products column."""
+    """Distinct (customer, item) of delivered lines; ``items`` maps
+    product_id -> item when the item is not a products column.  Lines become
+    distinct (customer, product) first, so a product on a third of all lines
+    meets the mapping once per customer."""
     o = shop.orders_where(DELIVERED).select("order_id", "customer_id")
     p = items if items is not None else shop.products.select("product_id", F.col(item).alias("item"))
-    return (shop.order_items.select("order_id", "product_id").join(o, "order_id")
-            .join(p, "product_id").select("customer_id", "item"))
+    bought = (shop.order_items.select("order_id", "product_id").join(o, "order_id")
+              .select("customer_id", "product_id").distinct())
+    return salted_join(bought, p, "product_id", "customer_id").select("customer_id", "item").distinct()
 
 
 def cross_sell(shop: Shop, item: str = "category", a: str = "category_a", b: str = "category_b",
                items: DataFrame | None = None) -> DataFrame:
     """Q10: customers who bought both items of a pair (a < b), and that as a
     share of item a's customers (directional base, quirk 9)."""
-    mapping = items if items is not None else shop.products.select("product_id", F.col(item).alias("item"))
-    ci = customer_items(shop, item, mapping)
-    domain = item_domain(mapping, "item")  # read from the small item dimension
-    if domain is not None:   # small domain: one BIGINT mask per customer
-        sets = masks_to_sets(mask_sets(ci, "customer_id", "item", domain), domain)
-    else:
-        sets = item_sets(ci, "customer_id", "item")
-    pairs = pairs_from_sets(sets, a, b, "both")
-    base = holders_from_sets(sets, a, "holders")
+    held = materialize(customer_items(shop, item, items))
+    pairs = pair_counts(held, "customer_id", "item", a, b, "both")
+    base = item_counts(held, "item", a, "holders")
     return (pairs.join(base, a)
             .select(a, b, big("both").alias("customers_bought_both"),
                     rnd(pct("both", "holders"), 1).alias("cross_sell_rate_pct"))
@@ -95,7 +91,7 @@ def discount_impact(shop: Shop) -> DataFrame:
     per_order = (lines.groupBy("discount_bucket", "order_id")
                  .agg(F.count(F.lit(1)).alias("n"), F.sum("unit_price").alias("price_sum"),
                       F.sum("revenue").alias("rev"), F.sum("profit").alias("prof"),
-                      F.sum(ratio("profit", "revenue")).alias("margin_sum"),
+                      F.sum(ratio("profit", "revenue").cast("decimal(18,8)")).alias("margin_sum"),
                       F.min("discount").alias("min_disc")))
     agg = (per_order.groupBy("discount_bucket")
            .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("orders"),

@@ -7,6 +7,8 @@ from basketry.plans import advanced, audits, customer, operations, operator_keys
 from basketry.plans.common import SHOWCASE_CUSTOMERS_SCRIPT
 from basketry.plans.catalog import register
 
+# Category names, titles, difficulties and tags of the library
+# (S9) are what its lookup is keyed by and lists.
 REV = "Revenue & Sales"
 CUST = "Customer Analytics"
 PROD = "Product Intelligence"
@@ -74,8 +76,7 @@ register("window_showcase3", SCRIPT, "All major window functions in one query",
 # Generic operator keys and audits (C1-C3).
 OPERATOR_KEYS = [
     ("op_scan", ("SELECT",)), ("op_line_measures", ("arithmetic", "ROUND")), ("op_preview", ("LIMIT",)),
-    ("op_weighted_choice", ("generator",)), ("op_date_spread", ("generator", "ROW_NUMBER")),
-    ("op_fanout", ("generator", "explode")), ("op_bucketize", ("CASE",)), ("op_join_inner", ("JOIN",)),
+    ("op_bucketize", ("CASE",)), ("op_join_inner", ("JOIN",)),
     ("op_first_event", ("MIN", "JOIN")), ("op_argmin_rows", ("Subquery", "MIN")), ("op_pairs", ("Self JOIN",)),
     ("op_agg_basic", ("SUM", "COUNT", "AVG", "MIN", "MAX")), ("op_count_distinct", ("COUNT DISTINCT",)),
     ("op_pivot", ("CASE", "PIVOT-style")), ("op_global_rank", ("RANK", "ROW_NUMBER")),
@@ -84,7 +85,7 @@ OPERATOR_KEYS = [
     ("op_window_dist", ("PERCENT_RANK", "CUME_DIST")), ("op_window_first_last", ("FIRST_VALUE", "LAST_VALUE")),
     ("op_topk", ("ORDER BY", "LIMIT")), ("op_union_all", ("UNION ALL",)), ("op_scalar_dates", ("STRFTIME",)),
     ("op_scalar_numeric", ("ROUND", "CAST", "NULLIF")), ("op_join_left", ("LEFT JOIN",)),
-    ("op_join_full", ("OUTER JOIN",)), ("op_semi", ("EXISTS",)), ("op_anti", ("NOT EXISTS",)),
+    ("op_join_right", ("RIGHT JOIN",)), ("op_join_full", ("OUTER JOIN",)), ("op_semi", ("EXISTS",)), ("op_anti", ("NOT EXISTS",)),
     ("op_union_distinct", ("UNION",)), ("op_having", ("HAVING",)), ("op_predicates", ("LIKE", "COALESCE")),
     ("op_adhoc_sql", ("ad-hoc SQL",)),
 ]

@@ -48,7 +48,7 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store): "
                                "global windows and top-k checkpoint their inputs there")
         configured = tempfile.mkdtemp(prefix="basketry-ckpt-", dir="/tmp")

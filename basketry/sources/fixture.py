@@ -11,12 +11,10 @@ lineitem columns scans three columns.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
@@ -82,26 +80,6 @@ def payment_of(priority: Column) -> Column:
     return expr
 
 
-_SCHEMAS: dict[tuple, T.StructType] = {}
-
-
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Read parquet with the file's schema remembered from its first read
-    (keyed by path, size and modification time), so later reads skip the
-    footer-inference job."""
-    try:
-        st = os.stat(path)
-        key = (path, st.st_size, st.st_mtime_ns)
-    except OSError:  # not a local path (object store, HDFS): key by path
-        key = (path,)
-    schema = _SCHEMAS.get(key)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
-
-
 @dataclass
 class Shop:
     """The four shop tables over one driver scale-factor directory."""
@@ -119,7 +97,7 @@ class Shop:
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = read_parquet(self.spark, f"{self.sf_dir}/{name}.parquet")
+            self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
     # -- dimensions -------------------------------------------------------
@@ -135,7 +113,7 @@ class Shop:
 
     def _customers(self) -> DataFrame:
         c, n = self.raw("customer"), self.raw("nation")
-        return (c.join(n, c.c_nationkey == n.n_nationkey, "inner")
+        return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
                 .select(F.col("c_custkey").alias("customer_id"),
                         F.col("c_name").alias("name"),
                         F.col("n_name").alias("city"),
@@ -218,7 +196,7 @@ class Shop:
                          F.col("l_partkey").alias("product_id"),
                          F.col("l_linenumber").alias("line_no"),
                          F.col("l_quantity").cast("int").alias("quantity"),
-                         F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("unit_price"),
+                         F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).cast("decimal(18,8)").alias("unit_price"),
                          disc.alias("discount"),
                          F.round(net, 2).alias("revenue"),
                          # (1 - discount) x margin is exact at 4 dp; keeping it
@@ -285,14 +263,7 @@ class TableShop(Shop):
             df.createOrReplaceTempView(name)
 
 
-_SHOPS: dict[str, Shop] = {}
-
-
 def load(spark: SparkSession, sf_dir: str) -> Shop:
-    """The shop over ``sf_dir``; reused for the same session and folder, so
-    its mapped tables (lazy plans, no data) are analysed once."""
-    key = sf_dir.rstrip("/")
-    shop = _SHOPS.get(key)
-    if shop is None or shop.spark is not spark:
-        shop = _SHOPS[key] = Shop(spark, key)
-    return shop
+    """The shop over ``sf_dir`` as its files are now.  A shop remembers its
+    plans, so take a new one for each query that shall see new files."""
+    return Shop(spark, sf_dir.rstrip("/"))

@@ -63,16 +63,12 @@ def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
 def test_weighted_draws_follow_the_weights(spark):
     from pyspark.sql import functions as F
 
-    from basketry.plans import operator_keys
-    from basketry.sources.fixture import load
-    shop = load(spark, "/root/testdata/sf0.01")
-    fan = operator_keys.op_fanout(shop).groupBy("order_id").agg(F.max("line_no").alias("k"))
-    n = fan.count()
-    share = {r.k: r["count"] / n for r in fan.groupBy("k").count().collect()}
-    for k, w in zip([1, 2, 3, 4], [0.50, 0.30, 0.15, 0.05]):
-        assert abs(share[k] - w) < 0.02, (k, share)
-    st = operator_keys.op_weighted_choice(shop).groupBy("drawn_status").count().collect()
-    total = sum(r["count"] for r in st)
-    got = {r.drawn_status: r["count"] / total for r in st}
-    for s, w in zip(["Delivered", "Shipped", "Cancelled", "Returned"], [0.72, 0.15, 0.08, 0.05]):
-        assert abs(got[s] - w) < 0.02, (s, got)
+    from basketry.functions.draws import weighted_choice
+    keys = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey")
+    n = keys.count()
+    for salt, values, weights in [("n_items", [1, 2, 3, 4], [0.50, 0.30, 0.15, 0.05]),
+                                  ("status", ["Delivered", "Shipped", "Cancelled", "Returned"], [0.72, 0.15, 0.08, 0.05])]:
+        drawn = keys.select(weighted_choice(42, salt, F.col("o_orderkey"), values, weights).alias("v"))
+        share = {r.v: r["count"] / n for r in drawn.groupBy("v").count().collect()}
+        for v, w in zip(values, weights):
+            assert abs(share[v] - w) < 0.02, (v, share)

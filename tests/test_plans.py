@@ -3,6 +3,7 @@ customer-grain data in the global-window analyses; filters reach the scan."""
 import pytest
 
 import __spark_entry__ as entry
+from basketry.plans.catalog import ENTRIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def plan_of(df):
 
 @pytest.fixture(scope="module")
 def queries():
-    return entry.queries()
+    return {k: q for k, q in entry.queries().items() if k in {e.key for e in ENTRIES}}
 
 
 def test_no_python_udf(spark, queries):
@@ -23,17 +24,28 @@ def test_no_python_udf(spark, queries):
 
 
 @pytest.mark.parametrize("key", ["rfm_customers", "op_global_rank", "op_global_ntile", "op_running_total"])
-def test_global_windows_avoid_single_partition(spark, queries, key, monkeypatch):
-    """With more rows than one bucket holds, a SinglePartition exchange may
-    only feed a global aggregate's final step (a scalar total over partial
-    sums), never a window or sort.  (Below ROWS_PER_BUCKET rows one sorted
-    partition is the intended plan.)"""
-    from basketry.operators import global_window
-    monkeypatch.setattr(global_window, "ROWS_PER_BUCKET", 40)
+def test_global_windows_avoid_single_partition(spark, queries, key):
+    """A SinglePartition exchange may only carry partial totals or the one
+    row per bucket that the offsets are made of."""
     lines = plan_of(queries[key](spark, SF)).splitlines()
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
-            assert "partial_" in lines[i + 1], (key, lines[i:i + 2])
+            below = next(x for x in lines[i + 1:] if "Aggregate" in x or "Scan" in x or "Exchange" in x)
+            assert "partial_" in below or "keys=[__gw_bucket" in below, (key, lines[i:i + 4])
+
+
+@pytest.mark.parametrize("key, facts", [("new_vs_returning", 2), ("journey_paths", 2), ("monthly_trend_script", 2)])
+def test_facts_are_read_once(spark, queries, key, facts):
+    plan = plan_of(queries[key](spark, SF))
+    assert sum("FileScan" in x and ("lineitem" in x or "orders.parquet" in x) for x in plan.splitlines()) == facts, plan
+
+
+def test_hot_keys_meet_aggregated_or_salted(spark, queries):
+    assert "__salt" in plan_of(queries["revenue_by_category"](spark, SF))
+    for key in ("op_semi", "op_anti"):
+        lines = plan_of(queries[key](spark, SF)).splitlines()
+        orders = next(i for i, x in enumerate(lines) if "orders.parquet" in x)
+        assert any("HashAggregate" in x for x in lines[max(0, orders - 6):orders]), key
 
 
 def test_status_filter_reaches_parquet(spark, queries):
