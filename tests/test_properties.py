@@ -42,7 +42,7 @@ def test_global_windows_equal_native(spark, values, buckets):
     df = spark.createDataFrame([(i, v, Decimal(i % 7)) for i, v in enumerate(values)], "id long, v long, d decimal(10,2)")
     out = global_windows(df, [GlobalSpec((desc("v"),), ("id",), rank="rk", ntile=("nt", 3), running_sum=("rs", "d")),
                               GlobalSpec((asc("v"),), ("id",), row_number="rn")],
-                         buckets=buckets, sample_size=50, materialize=False)
+                         buckets=buckets, materialize=False)
     w = Window.orderBy(F.col("v").desc_nulls_last(), "id")
     ref = (df.withColumn("rk2", F.rank().over(Window.orderBy(F.col("v").desc_nulls_last())))
            .withColumn("nt2", F.ntile(3).over(w))
