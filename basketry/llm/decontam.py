@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.text import LOWER_ALNUM, WordCodes, as_bytes, covered, window_hashes, words
+from basketry.llm.text import LOWER_ALNUM, WordCodes, as_bytes, covered, release_memory, window_hashes, words
 
 #: Words in an item window.
 WIDTH = 10
@@ -104,6 +104,7 @@ def _scanner(block):
                 out.append((len(tokens), edges[::2].tolist(), edges[1::2].tolist(), items))
             else:
                 out.append((len(tokens), [], [], items))
+        release_memory()
         return pa.array(
             [dict(zip(("n_words", "starts", "ends", "items"), x)) for x in out],
             pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))]),

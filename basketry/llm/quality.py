@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.langid import bounded_sample, held_out
-from basketry.llm.text import as_bytes
+from basketry.llm.text import as_bytes, release_memory
 
 #: Expected number of labelled documents in the fit.
 FIT_DOCS = 10_000
@@ -122,6 +122,7 @@ def learn(x: np.ndarray, y: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: flo
 def _raw_score(ranking: Ranking, text: str) -> Column:
     def found(column: pa.Array) -> pa.Array:
         x = np.array([features(raw) for raw in as_bytes(column)], dtype=np.float64).reshape(-1, len(FEATURES))
+        release_memory()
         return pa.array(ranking.raw(x))
     return F.arrow_udf(found, "double")(F.col(text))
 

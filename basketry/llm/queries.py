@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from basketry.llm import decontam, langid, mixing, quality, simhash, sketch, substring, tokens, url_filter, warc
 from basketry.llm.oracle import ORACLES  # noqa: F401
-from basketry.llm.store import shared_folder, ship_package
+from basketry.llm.store import prepare_session, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare_session(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

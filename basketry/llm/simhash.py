@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.components import components
-from basketry.llm.text import LOWER, as_bytes, words
+from basketry.llm.text import LOWER, as_bytes, release_memory, words
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -75,6 +75,7 @@ def fingerprint_column(text: str, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a (signed) long."""
     def prints(column: pa.Array) -> pa.Array:
         found = np.fromiter((fingerprint(raw, shingle) for raw in as_bytes(column)), dtype=np.uint64, count=len(column))
+        release_memory()
         return pa.array(found.view(np.int64))
     return F.arrow_udf(prints, "bigint")(F.col(text))
 

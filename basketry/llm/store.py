@@ -35,9 +35,19 @@ def read_blobs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that its
-    functions can be loaded there whatever their Python path."""
+#: Bytes of rows that Spark hands to a Python worker at once, unless the
+#: session says otherwise: long texts would else fill its memory, as Spark
+#: counts rows only.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare_session(spark: SparkSession) -> None:
+    """Bound the batches sent to Python workers, and send this package to the
+    executors once per application, so that its functions can be loaded
+    there whatever their Python path."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_basketry_shipped", False):
         return

@@ -4,6 +4,8 @@ codes and polynomial window hashes (all per document, inside Arrow batches).
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +34,15 @@ def words(raw: bytes) -> list[bytes]:
     return raw.split()
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system.  Python workers outlive their
+    tasks; what their allocators keep would count against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 class WordCodes(dict):
     """word -> XXH64, remembered for the words met most recently.
 

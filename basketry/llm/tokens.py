@@ -29,6 +29,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,15 @@ from pyspark.sql import functions as F
 
 from basketry.llm.ranges import ranges_for
 from basketry.llm.store import read_blobs, write_blobs
+from basketry.llm.text import release_memory
 
 END_ID = 2
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 1 << 20
 #: Text bytes of a range, that is of a file (about 0.8 file bytes a text byte).
 FILE_BYTES = 16 << 20
-#: Text bytes encoded at once.
+#: Text bytes encoded at once, and texts or parts given to the library at once.
 STEP_BYTES = 4 << 20
+BATCH_TEXTS = 2000
 MAGIC = b"WVLT0001"
 _HEAD = struct.Struct("<8sQIIQIB")
 _BLOCK = 1 << 16  # bytes of bits
@@ -78,8 +81,15 @@ class Encoder:
         self.ids = np.empty(0, dtype=np.uint32)
         self.starts = np.zeros(1, dtype=np.int64)  # of each part's ids, and their end
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, each by itself, and the number of each; a few
+        at a time, as the library's results are many times their ids."""
+        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in range(0, len(texts), BATCH_TEXTS):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i:i + BATCH_TEXTS], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(counts[-1].sum())))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _known(self, distinct: pa.Array) -> np.ndarray:
         """Numbers of the parts, new ones being encoded first."""
@@ -89,10 +99,9 @@ class Encoder:
             if len(self.parts) + len(new) > self.limit and len(self.parts):
                 self.parts, self.ids, self.starts = self.parts[:0], self.ids[:0], self.starts[:1]
                 return self._known(distinct)
-            found = self._whole(new.to_pylist())
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            ids, lengths = self._whole(new.to_pylist())
             self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
-            self.ids = np.concatenate((self.ids, *found))
+            self.ids = np.concatenate((self.ids, ids))
             fresh = np.cumsum(np.asarray(pc.is_null(at))) - 1 + len(self.parts)
             self.parts = pa.concat_arrays([self.parts, new])
             return np.where(np.asarray(pc.is_null(at)), fresh, np.asarray(pc.fill_null(at, 0)))
@@ -122,8 +131,8 @@ class Encoder:
             for i, part in zip(np.flatnonzero(plain).tolist(), np.split(ids, np.cumsum(counts)[:-1])):
                 found[i] = part
         odd = np.flatnonzero(~plain).tolist()
-        for i, part in zip(odd, self._whole([texts[i].as_py() for i in odd])):
-            found[i] = part
+        for i in odd:
+            found[i] = self._whole([texts[i].as_py()])[0]
         return np.concatenate([np.empty(0, np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64)
 
 
@@ -325,8 +334,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
             if size >= shard_tokens:
                 yield blob()
                 ids, doc_ids, counts, size, number = [], [], [], 0, number + 1
+                release_memory()
         if doc_ids:
             yield blob()
+        release_memory()
 
     write_blobs(rows.mapInArrow(write, "blob binary"), "blob", folder)
 
@@ -346,6 +357,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         pa.array([s.owner] * k, pa.int32()), pa.array([s.number] * k, pa.int32()), pa.array(ends - s.counts, pa.int64()),
                         pa.array(s.doc_ids, pa.int64()), pa.array(s.counts, pa.int64()), pa.array(crc, pa.int64())], names)
+                    release_memory()
 
     return read_blobs(spark, folder).mapInArrow(read, "range int, shard int, place long, doc_id long, n_tokens long, ids_crc32 long")
 

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm import decontam, mixing, quality, simhash
 from basketry.llm.queries import token_output
-from basketry.llm.store import shared_folder, ship_package
+from basketry.llm.store import prepare_session, shared_folder
 from basketry.session import configure
 
 
 def _started(spark: SparkSession) -> SparkSession:
     configure(spark)
-    ship_package(spark)
+    prepare_session(spark)
     return spark
 
 
