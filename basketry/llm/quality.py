@@ -38,6 +38,9 @@ PAIRS_EACH = 24
 RIDGE = 1e-3
 #: Score of the threshold.
 KEEP = 0.7
+#: Words added to a text's length where repeats are counted, so that one
+#: repeat in a text of four words says little.
+FEW = 10
 
 FEATURES = ("log_words", "distinct_words", "repeats_of_the_word_before", "most_frequent_word", "word_length", "capitals",
             "capitalised_words", "punctuation", "doubled_punctuation", "words_without_letters", "digits", "sentence_ends",
@@ -62,9 +65,9 @@ def features(raw: bytes | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if x]
     return [
         float(np.log1p(n)),
-        len(counts) / n,
-        sum(map(bytes.__eq__, words, words[1:])) / n,
-        max(counts.values()) / n,
+        1 - (n - len(counts)) / (n + FEW),
+        sum(map(bytes.__eq__, words, words[1:])) / (n + FEW),
+        (max(counts.values()) - 1) / (n + FEW),
         min(size / n, 40.0) / 10,
         upper / max(upper + lower, 1),
         len(re.findall(rb"(?<![^\s])[A-Z]", raw)) / n,
