@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.llm.text import release_memory
+
 #: Expected number of documents in the fit.
 FIT_DOCS = 10_000
 #: Words, and n-grams of each length, in the model.
@@ -80,17 +83,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     langs: list[str]
-    #: For kind 0 (words) and each n-gram length: text -> log frequency by language.
-    known: list[dict[str, np.ndarray]]
+    #: For kind 0 (words) and each n-gram length: text -> row of ``rows``.
+    known: list[dict[str, int]]
+    #: Log frequencies by language.
+    rows: np.ndarray
 
     def vector(self, word: str) -> np.ndarray:
         found = self.known[0].get(word)
         if found is not None:
-            return found
+            return self.rows[found]
         for n in range(LONGEST, 0, -1):
-            parts = [v for g in grams(word, n) if (v := self.known[n].get(g)) is not None]
+            of_length = self.known[n]
+            parts = [i for g in grams(word, n) if (i := of_length.get(g)) is not None]
             if parts:
-                return np.mean(parts, axis=0)
+                return self.rows.take(parts, axis=0).sum(axis=0) / np.float32(len(parts))
         return np.zeros(len(self.langs), dtype=np.float32)
 
 
@@ -117,13 +123,16 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         low = np.array([math.log(size.get((kind, name), 0) + SMOOTHING * (len(by_gram) + 1)) for name in langs], dtype=np.float32)
         for g, n in by_gram.items():
             by_gram[g] = np.log(n + np.float32(SMOOTHING)) - low
-    return Model(langs, counts)
+    rows = [v for by_gram in counts for v in by_gram.values()]
+    number = iter(range(len(rows)))
+    numbered = [{g: next(number) for g in by_gram} for by_gram in counts]
+    return Model(langs, numbered, np.array(rows, dtype=np.float32).reshape(-1, len(langs)))
 
 
 class _Scorer:
     """Word vectors met so far, as rows of one array; emptied at ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 150_000):
+    def __init__(self, model: Model, limit: int = 300_000):
         self.model, self.limit = model, limit
         self.clear()
 
@@ -155,16 +164,28 @@ class _Scorer:
         return self.model.langs[i], float(share[i])
 
 
+#: The scorer of the model in use, by the model's name: a worker process
+#: keeps it, and the words it has met, between tasks.
+_SCORERS: dict[str, _Scorer] = {}
+
+
+def _scorer(name: str, model) -> _Scorer:
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = _Scorer(model.value)
+    return _SCORERS[name]
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (input columns of these names are
     replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scorer: _Scorer | None = None
+    name = uuid.uuid4().hex
 
     def judge(column: pa.Array) -> pa.Array:
-        nonlocal scorer
-        scorer = scorer if scorer is not None else _Scorer(shared.value)
+        scorer = _scorer(name, shared)
         found = [scorer.predict(t) for t in column.to_pylist()]
+        release_memory()
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                                           ["lang_pred", "score"])
 
