@@ -62,6 +62,23 @@ _BLOCK = 1 << 16  # bytes of bits
 _NOT_PLAIN = r" ([\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f]|$)|\x01|<\|"
 
 
+#: Marks that may follow a word, each a piece by itself there.
+_MARKS = (".", ",", "!", "?", ";", ":")
+#: Letters up to here have been letters in every version of Unicode that counts.
+_LAST_LATIN = "\u024f"
+
+
+def _byte_level() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the
+    other bytes, in order, for the characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
 class Encoder:
     """Ids of texts by the tokenizers library.  A byte-level tokenizer with
     its standard pattern cuts before every single space, so a text's ids are
@@ -76,6 +93,7 @@ class Encoder:
         pre = self.tokenizer.pre_tokenizer
         self.by_parts = (isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
                          and self.tokenizer.normalizer is None)
+        self.model = self.tokenizer.model
         self.limit = limit
         self.parts = pa.array([], pa.string())
         self.ids = np.empty(0, dtype=np.uint32)
@@ -91,6 +109,27 @@ class Encoder:
             ids.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(counts[-1].sum())))
         return np.concatenate(ids), np.concatenate(counts)
 
+    def _new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts.  A part that is one word of Latin letters, with
+        at most one mark after it, is one or two pieces to the tokenizer's
+        pattern, so its merges can be asked for directly; the others go
+        through the whole library call."""
+        tokenize, found, odd = self.model.tokenize, [None] * len(parts), []
+        for i, part in enumerate(parts):
+            word, mark = (part[:-1], part[-1]) if part[-1:] in _MARKS else (part, "")
+            body = word[1:] if word[:1] == " " else word
+            if body.isalpha() and max(body) <= _LAST_LATIN:
+                found[i] = [t.id for t in tokenize(word.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+                if mark:
+                    found[i] += [t.id for t in tokenize(mark)]
+            else:
+                odd.append(i)
+        ids, counts = self._whole([parts[i] for i in odd])
+        for i, own in zip(odd, np.split(ids, np.cumsum(counts)[:-1])):
+            found[i] = own.tolist()
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(counts.sum())), counts
+
     def _known(self, distinct: pa.Array) -> np.ndarray:
         """Numbers of the parts, new ones being encoded first."""
         at = pc.index_in(distinct, value_set=self.parts)
@@ -99,7 +138,7 @@ class Encoder:
             if len(self.parts) + len(new) > self.limit and len(self.parts):
                 self.parts, self.ids, self.starts = self.parts[:0], self.ids[:0], self.starts[:1]
                 return self._known(distinct)
-            ids, lengths = self._whole(new.to_pylist())
+            ids, lengths = self._new(new.to_pylist())
             self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
             self.ids = np.concatenate((self.ids, ids))
             fresh = np.cumsum(np.asarray(pc.is_null(at))) - 1 + len(self.parts)
