@@ -8,22 +8,25 @@ document merge into maximal intervals of words.  Windows are judged on the
 input, not on what is left.
 
 Documents are cut into ranges of doc_id, in ascending order, so "an earlier
-range has the hash" needs no ids.  Three steps, all keyed:
+range has the hash" needs no ids.  The cuts follow the bytes of the rows.  A
+doc_id whose rows exceed a range is a range by itself, dealt into pieces row
+by row: its rows don't remove each other's windows, so they need not meet.
+Every other range is one piece.  Three steps, all keyed:
 
-1. range: the distinct hashes of a range, sorted, are cut by value into
+1. piece: the distinct hashes of a piece, sorted, are cut by value into
    buckets and sent as packed differences (about six bytes a window).
-2. bucket: the hashes of all ranges meet; one bit says for each whether an
+2. bucket: the hashes of all pieces meet; one bit says for each whether an
    earlier range has it.  A passage in a third of all documents is one entry
-   a range here, however often it repeats.
-3. range: the bits come back to the range's documents (dealt as in step 1,
+   a piece here, however often it repeats.
+3. piece: the bits come back to the piece's documents (dealt as in step 1,
    so Spark shuffles the texts once), which are judged and cut.
 
 Two different windows share a hash with probability 2**-64: over n windows
 about n*n / 2**65 pairs may be wrong (1e-4 at 1e8 windows).
 
 Ranges and buckets grow in number with the text.  On inputs of many TB raise
-``range_bytes`` towards 256 MB, so that a piece (range x bucket) keeps some
-dozens of hashes.
+``range_bytes`` towards 256 MB, so that a piece keeps some dozens of hashes
+for each bucket.
 
 Defined results: null text has no words; rows that repeat a doc_id don't
 remove each other's windows; rows without a doc_id keep all words and
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.ranges import RANGE_BYTES, Ranges, cut_points, text_bytes
+from basketry.llm.ranges import RANGE_BYTES, Ranges, byte_cuts, text_bytes
 from basketry.llm.text import WordCodes, as_bytes, covered, window_hashes, words
 
 WIDTH = 13
@@ -90,9 +93,10 @@ def _sender(width: int, buckets: int):
         hashes = np.unique(hashes)
         at = _bounds(hashes, buckets).tolist()
         filled = [i for i in range(buckets) if at[i] < at[i + 1]]
-        owner = table.column("__range")[0].as_py()
+        owner, piece = (table.column(c)[0].as_py() for c in ("__range", "__piece"))
         return pa.table({
             "range": pa.array([owner] * len(filled), pa.int32()),
+            "piece": pa.array([piece] * len(filled), pa.int32()),
             "bucket": pa.array(filled, pa.int32()),
             "hashes": pa.array([pack(hashes[at[i]:at[i + 1]]) for i in filled], pa.binary()),
         })
@@ -103,22 +107,23 @@ def _seen_before(table: pa.Table) -> pa.Table:
     """For each piece of a bucket: bits for the hashes that a piece of an
     earlier range has.  Pieces without any are left out."""
     table = table.sort_by("range")
-    pieces = [unpack(raw) for raw in table.column("hashes").to_pylist()]
-    owners, buckets = table.column("range").to_pylist(), table.column("bucket").to_pylist()
-    lengths = [len(p) for p in pieces]
-    hashes = np.concatenate(pieces)
-    del pieces
+    found = [unpack(raw) for raw in table.column("hashes").to_pylist()]
+    lengths = [len(p) for p in found]
+    hashes = np.concatenate(found)
+    del found
+    owners = np.repeat(np.asarray(table.column("range")), lengths)
     order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
+    hashes, owners = hashes[order], owners[order]
+    new = np.append(True, hashes[1:] != hashes[:-1])
     again = np.zeros(len(hashes), dtype=bool)
-    again[order[1:][hashes[1:] == hashes[:-1]]] = True
+    again[order] = owners > owners[np.maximum.accumulate(np.where(new, np.arange(len(hashes)), 0))]
     out, at = [], 0
-    for owner, bucket, n in zip(owners, buckets, lengths):
+    for *key, n in zip(*(table.column(c).to_pylist() for c in ("range", "piece", "bucket")), lengths):
         if again[at:at + n].any():
-            out.append((owner, bucket, np.packbits(again[at:at + n]).tobytes()))
+            out.append((*key, np.packbits(again[at:at + n]).tobytes()))
         at += n
-    return pa.table({"range": pa.array([x[0] for x in out], pa.int32()), "bucket": pa.array([x[1] for x in out], pa.int32()),
-                     "bits": pa.array([x[2] for x in out], pa.binary())})
+    kinds = [("range", pa.int32()), ("piece", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())]
+    return pa.table({name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate(kinds)})
 
 
 _ADDED = [("n_words", pa.int64()), ("n_removed", pa.int64()),
@@ -168,6 +173,20 @@ def _output(docs, cut: list[tuple], columns: list[str], text: str) -> pa.Table:
     return pa.table({c: own[c] for c in [*columns, *(n for n, _ in _ADDED)]})
 
 
+def _dealt(rows: DataFrame, range_bytes: int) -> DataFrame:
+    """The rows that have an id, with __range and __piece."""
+    cuts, heavy = byte_cuts(rows, "__id", "__text", range_bytes)
+    dealt = rows.where("__id IS NOT NULL").withColumn("__range", Ranges(cuts).range_of("__id"))
+    if not heavy:
+        return dealt.withColumn("__piece", F.lit(0))
+    is_heavy = F.col("__id").isin(list(heavy))
+    pieces = F.create_map(*[F.lit(x) for pair in heavy.items() for x in pair])[F.col("__id")]
+    # dealt in rotation, as equal rows have nothing to tell them apart; the
+    # checkpoint keeps each row in its piece
+    spread = dealt.where(is_heavy).withColumn("__piece", F.pmod(F.monotonically_increasing_id(), pieces).cast("int")).checkpoint()
+    return dealt.where(~is_heavy).withColumn("__piece", F.lit(0)).union(spread)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
                    range_bytes: int = RANGE_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with the kept words as text (joined by one space), n_words,
@@ -177,15 +196,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     schema = T.StructType([docs.schema[c] if c != text else T.StructField(c, T.StringType()) for c in columns] + [
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
-    size = text_bytes(docs, text)
-    ranges = Ranges(cut_points(docs, doc_id, math.ceil(size / range_bytes)))
-    buckets = max(1, math.ceil(size / bucket_bytes))
+    buckets = max(1, math.ceil(text_bytes(docs, text) / bucket_bytes))
     rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in columns if c != text], F.col(doc_id).cast("long").alias("__id"),
                        F.col(text).alias("__text"))
-    dealt = rows.where("__id IS NOT NULL").withColumn("__range", ranges.range_of("__id"))
-    pieces = dealt.groupBy("__range").applyInArrow(_sender(width, buckets), "range int, bucket int, hashes binary")
-    replies = pieces.groupBy("bucket").applyInArrow(_seen_before, "range int, bucket int, bits binary")
-    judged = dealt.groupBy("__range").cogroup(replies.groupBy("range")).applyInArrow(_judge(width, buckets, columns, text), schema)
+    dealt = _dealt(rows, range_bytes)
+    pieces = dealt.groupBy("__range", "__piece").applyInArrow(_sender(width, buckets), "range int, piece int, bucket int, hashes binary")
+    replies = pieces.groupBy("bucket").applyInArrow(_seen_before, "range int, piece int, bucket int, bits binary")
+    judged = dealt.groupBy("__range", "__piece").cogroup(replies.groupBy("range", "piece")).applyInArrow(
+        _judge(width, buckets, columns, text), schema)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, dtype=np.int64)

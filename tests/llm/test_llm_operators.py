@@ -1,8 +1,10 @@
 """The operators' own interfaces: files, spans, links, indexes, models."""
 
+import hashlib
 import random
 import struct
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -133,6 +135,33 @@ def test_repeats_with_many_ranges_and_buckets(spark, edge):
     assert spans[14] == [(0, 60_000)] and spans[13] == []
 
 
+@pytest.mark.parametrize("shape", ["long texts side by side", "one id, texts differ", "one id, rows alike"])
+def test_repeats_hold_bounded_groups(spark, monkeypatch, shape):
+    """No group that a worker holds is much larger than a range."""
+    rng, most = random.Random(6), 20_000
+    said = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    passage = said(20)
+    rows = [(i, f"{said(10)} {passage}") for i in range(400)]
+    if shape == "long texts side by side":
+        rows += [(1000 + i, f"{said(1500)} {passage}") for i in range(20)]
+    else:
+        rows += [(200, f"{said(30) if shape == 'one id, texts differ' else 'alike'} {passage}") for _ in range(1500)]
+    original = substring._sender
+
+    def sender(*options):
+        send = original(*options)
+
+        def checked(table):
+            held = sum(len(t) for t in table.column("__text").to_pylist())
+            assert held <= 2 * most, held
+            return send(table)
+        return checked
+    monkeypatch.setattr(substring, "_sender", sender)
+    found = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), range_bytes=most, bucket_bytes=9_000)
+    got = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in found.collect()]
+    assert sorted(got) == sorted(brute.repeats(rows))
+
+
 # ---- token files
 
 @pytest.mark.parametrize("bits, n", [(16, 0), (16, 1), (3, 1000), (16, 700_000), (17, 5000)])
