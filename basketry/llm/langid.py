@@ -7,10 +7,11 @@ down to 1 (the word with a mark at either end).  A document's score is the
 posterior of its words under equal priors.
 
 The model is fitted on a sample of about ``FIT_DOCS`` labelled documents
-(a hash of their ids against a threshold) and keeps the ``KNOWN`` most
-frequent words and as many n-grams of each length, ties in order of their
-text: a fixed bound on what is gathered and broadcast.  Counts are summed in
-Spark, per batch first.
+(a hash of their ids against a threshold) and keeps every word and n-gram of
+them, so that a language with few documents loses none to the others.  Counts
+are summed in Spark, per batch first.  A caller may ask for the ``known`` most
+frequent words and as many n-grams of each length only, ties in order of
+their text.
 
 Defined results: null text, or text without a letter, is ``und`` with score
 0.0; so is every text where nothing was learned; equal posteriors go to the
@@ -35,8 +36,6 @@ from basketry.llm.text import release_memory
 
 #: Expected number of documents in the fit.
 FIT_DOCS = 10_000
-#: Words, and n-grams of each length, in the model.
-KNOWN = 40_000
 LONGEST = 5
 SMOOTHING = 0.5
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -101,17 +100,19 @@ class Model:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-        fit_docs: int = FIT_DOCS, known: int = KNOWN) -> Model:
+        fit_docs: int = FIT_DOCS, known: int | None = None) -> Model:
     """A model from the labelled rows of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = bounded_sample(rows.where("lang IS NOT NULL AND text IS NOT NULL"), "doc_id", fit_docs)
     counted = rows.select("text", "lang").mapInArrow(_counts, "kind int, gram string, lang string, n long")
     counted = counted.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")).checkpoint()
     sums = counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
-    totals = counted.groupBy("kind", "gram").agg(F.sum("n").alias("total"))
-    best = Window.partitionBy("kind").orderBy(F.col("total").desc(), "gram")
-    kept = totals.withColumn("place", F.row_number().over(best)).where(F.col("place") <= known)
-    found = counted.join(kept, ["kind", "gram"]).select("kind", "gram", "lang", "n")
+    found = counted
+    if known is not None:
+        totals = counted.groupBy("kind", "gram").agg(F.sum("n").alias("total"))
+        best = Window.partitionBy("kind").orderBy(F.col("total").desc(), "gram")
+        kept = totals.withColumn("place", F.row_number().over(best)).where(F.col("place") <= known)
+        found = counted.join(kept, ["kind", "gram"]).select("kind", "gram", "lang", "n")
     langs = sorted({r["lang"] for r in sums})
     size = {(r["kind"], r["lang"]): r["n"] for r in sums}
     place = {name: i for i, name in enumerate(langs)}

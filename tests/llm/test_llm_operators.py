@@ -295,6 +295,17 @@ def test_language_backoff(spark):
     assert [(r.lang_pred) for r in found.collect()] == ["de", "en", "und", "und"]
 
 
+def test_rare_language_keeps_its_words(spark):
+    """50,000 words of one language, twice each, push none of another one out."""
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    many = [" ".join(letters(i) for i in range(a, a + 500)) for a in range(0, 50_000, 500)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(many + many)] + [(900, "zweiundzwanzig häuser", "de")],
+                                 "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.known[0]) == 50_002
+    assert {"zweiundzwanzig", "häuser"} <= set(model.known[0]) and "<häus" in model.known[5]
+
+
 def test_ranking_separates():
     good = [quality.features(f"A plain sentence number {i}, with words that differ. It goes on.".encode()) for i in range(50)]
     bad = [quality.features((f"spam{i}!! " * 30).encode()) for i in range(20)]
