@@ -23,6 +23,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import count
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +110,8 @@ def learn(x: np.ndarray, y: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: flo
     good, bad = (good - mean) / scale, (bad - mean) / scale
     k = min(pairs_each, len(good))
     loser = np.repeat(np.arange(len(bad)), k)
-    winner = (np.arange(len(loser)) * 7919) % len(good)
+    stride = next(s for s in count(7919) if gcd(s, len(good)) == 1)  # meets every good document
+    winner = (np.arange(len(loser)) * stride) % len(good)
     d = good[winner] - bad[loser]
     w = np.zeros(x.shape[1])
     for _ in range(25):

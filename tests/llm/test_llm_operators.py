@@ -315,6 +315,15 @@ def test_ranking_separates():
     assert quality.features(b"") == quality.features(None) == [0.0] * len(quality.FEATURES)
 
 
+@pytest.mark.parametrize("n", [7919, 2 * 7919])
+def test_ranking_meets_every_good_document(n):
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(1, 0.3, (n, 3)), rng.normal(-1, 0.3, (700, 3))
+    good[::7919] = -9  # odd ones
+    ranking = quality.learn(np.concatenate((good, bad)), np.repeat([1, 0], (n, 700)))
+    assert np.median(ranking.raw(good)) > np.median(ranking.raw(bad))
+
+
 def test_keep_good_agrees_with_scores(spark):
     folder = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
