@@ -6,8 +6,9 @@ longest n-grams that are known: those of 5 characters, else of 4, and so on
 down to 1 (the word with a mark at either end).  A document's score is the
 posterior of its words under equal priors.
 
-The model is fitted on a sample of about ``FIT_DOCS`` labelled documents
-(a hash of their ids against a threshold) and keeps every word and n-gram of
+The model is fitted on a sample of about ``FIT_DOCS`` labelled documents (a
+hash of id and text against a threshold of their language, so that rare
+languages are learned too; equal rows count once) and keeps every word and n-gram of
 them, so that a language with few documents loses none to the others.  Counts
 are summed in Spark, per batch first.  A caller may ask for the ``known`` most
 frequent words and as many n-grams of each length only, ties in order of
@@ -47,10 +48,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """About ``size`` rows: those whose key hashes below size / rows."""
-    n = rows.count()
-    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / max(n, 1))))
+def _level(counts: list[int], size: int) -> float:
+    """The most rows of a label so that all labels together have ``size``."""
+    left = size
+    for i, n in enumerate(sorted(counts)):
+        if n > left / (len(counts) - i):
+            return left / (len(counts) - i)
+        left -= n
+    return float(max(counts, default=0))
+
+
+def bounded_sample(rows: DataFrame, key: list[str], size: int, label: str) -> DataFrame:
+    """About ``size`` of the distinct rows, at most, by a hash of ``key``.
+    Labels with few rows keep them all; the others have about as many each."""
+    code = F.xxhash64(*key)
+    counts = rows.groupBy(label).agg(F.approx_count_distinct(code).alias("__n")).checkpoint()
+    most = _level([r["__n"] for r in counts.select("__n").collect()], size)
+    share = F.lit(float(1 << 30)) * F.lit(most) / F.col("__n")
+    taken = rows.join(F.broadcast(counts), label).where(F.pmod(code, F.lit(1 << 30)) < share)
+    return taken.select(*rows.columns).distinct()
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -103,7 +119,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         fit_docs: int = FIT_DOCS, known: int | None = None) -> Model:
     """A model from the labelled rows of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = bounded_sample(rows.where("lang IS NOT NULL AND text IS NOT NULL"), "doc_id", fit_docs)
+    rows = bounded_sample(rows.where("lang IS NOT NULL AND text IS NOT NULL"), ["doc_id", "text"], fit_docs, "lang")
     counted = rows.select("text", "lang").mapInArrow(_counts, "kind int, gram string, lang string, n long")
     counted = counted.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")).checkpoint()
     sums = counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()

@@ -4,7 +4,8 @@ by the logistic loss on the difference of their features, then a threshold
 is set at a quantile of the scores.
 
 Features are shares and means over the whole text (``FEATURES``).  The fit
-uses a sample of about ``FIT_DOCS`` labelled documents; every one labelled 0
+uses a sample of about ``FIT_DOCS`` labelled documents, as many of either
+label if there are; every one labelled 0
 is paired with ``PAIRS_EACH`` labelled 1, in rotation.  The threshold comes
 from the scores of all labelled rows that may be learned from: with q the
 share of label 0 among them, it lies midway between the quantiles q - 0.5 %
@@ -15,7 +16,7 @@ threshold, shifted so that the threshold itself scores ``KEEP``.
 Defined results: null text counts as empty; empty texts have features (all
 zero) and a score like any other; where no pair can be formed every score is
 1.0; null labels and labels without a document teach nothing; a document
-labelled twice is used twice.
+with the same label twice is learned from once.
 """
 
 from __future__ import annotations
@@ -141,10 +142,13 @@ def _labelled(labels: DataFrame, doc_id: str, quality: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality",
         fit_docs: int = FIT_DOCS) -> Ranking | None:
     """The ranking, its threshold not yet set."""
-    sample = bounded_sample(_labelled(labels, doc_id, quality), "doc_id", fit_docs)
+    sample = bounded_sample(_labelled(labels, doc_id, quality), ["doc_id"], fit_docs, "y")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # the sample's size is bounded by fit_docs
-    rows = rows.join(F.broadcast(sample), "doc_id").select("y", feature_column("text").alias("x")).collect()
+    rows = rows.join(F.broadcast(sample), "doc_id")
+    # once more, as many documents may have one id
+    rows = bounded_sample(rows, ["doc_id", "text"], fit_docs, "y").orderBy(F.xxhash64("doc_id", "text"), "y")
+    rows = rows.select("y", feature_column("text").alias("x")).collect()
     if not rows:
         return None
     return learn(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))

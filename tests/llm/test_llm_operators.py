@@ -306,6 +306,17 @@ def test_rare_language_keeps_its_words(spark):
     assert {"zweiundzwanzig", "häuser"} <= set(model.known[0]) and "<häus" in model.known[5]
 
 
+def test_fit_sample_is_bounded_and_has_rare_labels(spark):
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(None if i % 2 else i, letters(i), "en") for i in range(4000)] + [(None, "same", "en")] * 2000
+    rows += [(5000 + i, letters(5000 + i), "de") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, fit_docs=100)
+    assert model.langs == ["de", "en"] and 40 <= len(model.known[0]) <= 160
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 4000, 2)] + [(5000 + i, 0) for i in range(5)], "doc_id long, quality int")
+    assert quality.fit(docs, labels, fit_docs=50) is not None
+
+
 def test_ranking_separates():
     good = [quality.features(f"A plain sentence number {i}, with words that differ. It goes on.".encode()) for i in range(50)]
     bad = [quality.features((f"spam{i}!! " * 30).encode()) for i in range(20)]
