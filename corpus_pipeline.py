@@ -60,8 +60,8 @@ STAGES = [
     ("tokens", tokens_stage),
 ]
 
-#: SimHash and the tokenizer can't be said in SQL; tests/llm holds a
-#: brute-force version of the whole pipeline.
+#: SimHash and the tokenizer can't be said in SQL.  tests/llm compares single
+#: operators, not the whole pipeline.
 ORACLE_SQL = None
 
 
