@@ -143,7 +143,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = [v for by_gram in counts for v in by_gram.values()]
     number = iter(range(len(rows)))
     numbered = [{g: next(number) for g in by_gram} for by_gram in counts]
-    return Model(langs, numbered, np.array(rows, dtype=np.float32).reshape(-1, len(langs)))
+    return Model(langs, numbered, np.array(rows, dtype=np.float32).reshape(len(rows), len(langs)))
 
 
 class _Scorer:
