@@ -86,4 +86,47 @@ SELECT doc_id, size, source_size, target::DOUBLE AS target, ((floor(u + r * (k +
 FROM o
 """
 
-ORACLES = {"op2_substring": OP2, "op4_decontaminate": OP4, "op5_warc": OP5, "op7_url_filter": OP7, "op9_mix": OP9}
+OP11 = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS other_id, a.label = b.label AS same,
+         CASE WHEN len(a.v) = 0 THEN 0 ELSE list_inner_product(a.v, b.v) END::BIGINT AS score
+  FROM e a JOIN e b ON len(a.v) = len(b.v) AND a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT * FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, other_id NULLS LAST) <= 5),
+n AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.other_id NULLS LAST) AS place
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 5
+"""
+
+OP13 = rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT row_number() OVER () AS q, item_id,
+         list_distinct(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+asked AS (SELECT q, item_id, unnest(w) AS t FROM item),
+size AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM doc WHERE len(w) > 0),
+tf AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM doc) WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+weight AS (
+  SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+  FROM (SELECT t, count(*)::BIGINT AS df FROM tf GROUP BY t), size),
+part AS (
+  SELECT r, t, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * len(w)::BIGINT * n) // l)))) AS s
+  FROM tf JOIN weight USING (t) JOIN doc USING (r), size),
+scored AS (SELECT q, item_id, r, sum(s)::BIGINT AS score FROM asked JOIN part USING (t) GROUP BY q, item_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored JOIN doc USING (r) WHERE score > 0
+QUALIFY rank <= 50
+"""
+
+ORACLES = {"op2_substring": OP2, "op4_decontaminate": OP4, "op5_warc": OP5, "op7_url_filter": OP7, "op9_mix": OP9,
+           "op11_hard_negatives": OP11, "op13_search": OP13}

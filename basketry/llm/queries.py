@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, langid, mixing, quality, simhash, sketch, substring, tokens, url_filter, warc
+from basketry.llm import decontam, langid, mixing, negatives, quality, search, simhash, sketch, substring, tokens, url_filter, warc
 from basketry.llm.oracle import ORACLES  # noqa: F401
 from basketry.llm.store import prepare_session, shared_folder
 
@@ -87,6 +87,18 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.against_next(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").where(negatives.finite("embedding"))
+    moved = F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False))
+    label = F.when(moved, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), negatives.quantised("embedding").alias("vec"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_substring, op3_tokens, op4_decontaminate, op5_warc,
-    op6_langid, op7_url_filter, op8_quality, op9_mix, op10_sketch)}
+    op6_langid, op7_url_filter, op8_quality, op9_mix, op10_sketch, op11_hard_negatives, op13_search)}
