@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import decontam, langid, mixing, negatives, quality, search, simhash, sketch, substring, tokens, url_filter, warc
+from basketry.llm import decontam, langid, mixing, negatives, quality, search, simhash, sketch, substring, tokens, toxicity, url_filter, warc
 from basketry.llm.oracle import ORACLES  # noqa: F401
 from basketry.llm.store import prepare_session, shared_folder
 
@@ -95,10 +95,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.scores(docs, network)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_substring, op3_tokens, op4_decontaminate, op5_warc,
-    op6_langid, op7_url_filter, op8_quality, op9_mix, op10_sketch, op11_hard_negatives, op13_search)}
+    op6_langid, op7_url_filter, op8_quality, op9_mix, op10_sketch, op11_hard_negatives, op12_toxicity, op13_search)}
