@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,13 @@ def _sampled(text: list[bytes]) -> list[list[bytes]]:
     return [text[s:s + WIDTH] for s in starts.tolist()]
 
 
+def packed(raw: bytes | None) -> bytes:
+    """A text's windows for the fit, one a line; empty without words."""
+    return b"\n".join(b" ".join(window) for window in _sampled(tokens(raw)))
+
+
 def _windows(text: pa.Array) -> pa.Array:
-    return pa.array([_sampled(tokens(raw)) for raw in as_bytes(text)], pa.list_(pa.list_(pa.binary())))
+    return pa.array([packed(raw) for raw in as_bytes(text)], pa.binary())
 
 
 def _train(network: Network, adam: Adam, inputs: Inputs, ids: np.ndarray, there: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> float:
@@ -77,27 +83,35 @@ def _train(network: Network, adam: Adam, inputs: Inputs, ids: np.ndarray, there:
     return float(np.mean(losses))
 
 
-def learn(documents: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS, seed: int = 1) -> Network | None:
-    """A network from (label, windows) of documents; None without both labels."""
-    documents = [(y, w) for y, w in documents if w and w[0]]
+def learn(documents: list[tuple[int, bytes]], rounds: int = ROUNDS, seed: int = 1) -> Network | None:
+    """A network from (label, ``packed`` text) of documents; None without
+    both labels."""
+    documents = [(y, text) for y, text in documents if text]
     labels = np.array([y for y, _ in documents])
     if len(set(labels.tolist())) < 2:
         return None
-    holders: dict[bytes, int] = {}
-    for _, windows in documents:
-        for word in {w for window in windows for w in window}:
-            holders[word] = holders.get(word, 0) + 1
-    network = Network.new({w: i + 1 for i, w in enumerate(sorted(w for w, n in holders.items() if n >= HOLDERS))}, seed)
+    number: dict[bytes, int] = {}
+    holders: Counter = Counter()
+    counts, flat, lengths = [], [], []
+    for _, text in documents:
+        windows = text.split(b"\n")
+        of = [[number.setdefault(w, len(number)) for w in window.split()] for window in windows]
+        holders.update({w for window in of for w in window})
+        counts.append(len(of))
+        lengths += map(len, of)
+        flat.append(np.array([w for window in of for w in window], dtype=np.int32))
+    names = list(number)
+    # numbered in order of their text, whatever the order of the documents
+    network = Network.new({w: i + 1 for i, w in enumerate(sorted(names[k] for k, n in holders.items() if n >= HOLDERS))}, seed)
     adam, rng = Adam(network.params), np.random.default_rng(seed)
-    number = {w: i for i, w in enumerate(sorted(holders))}
-    inputs = network.looked_up(list(number))
-    owner = np.repeat(np.arange(len(documents)), [len(w) for _, w in documents])
+    inputs = network.looked_up(names)
+    del names, number, holders
+    owner = np.repeat(np.arange(len(documents)), counts)
     first = np.searchsorted(owner, np.arange(len(documents)))
-    ids = np.zeros((len(owner), WIDTH), dtype=np.int64)
-    there = np.zeros(ids.shape, dtype=bool)
-    for i, window in enumerate(w for _, windows in documents for w in windows):
-        ids[i, :len(window)] = [number[w] for w in window]
-        there[i, :len(window)] = True
+    there = np.arange(WIDTH) < np.array(lengths)[:, None]
+    ids = np.zeros(there.shape, dtype=np.int32)
+    ids[there] = np.concatenate(flat)
+    of_owner = np.array(counts)[owner]
     rate = adam.rate
     for turn in range(rounds + 1):
         chance = rng.random(len(ids))
@@ -114,7 +128,7 @@ def learn(documents: list[tuple[int, list[list[bytes]]]], rounds: int = ROUNDS,
         if turn == 0:
             taken = place < 4
         elif turn < rounds:
-            taken = np.where(toxic, (place == 0) | ((place < 4) & (worth > 0)), (place < 2) | (chance < 2 / np.bincount(owner)[owner]))
+            taken = np.where(toxic, (place == 0) | ((place < 4) & (worth > 0)), (place < 2) | (chance < 2 / of_owner))
         else:
             best = np.maximum.reduceat(worth, first)
             network.cut = _parting(best[labels == 0], best[labels == 1])
@@ -146,8 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     rows = rows.join(F.broadcast(sample), "doc_id")
     # once more, as many documents may have one id
     rows = bounded_sample(rows, ["doc_id", "text"], fit_docs, "y").orderBy(F.xxhash64("doc_id", "text"), "y")
-    rows = rows.select("y", F.arrow_udf(_windows, "array<array<binary>>")(F.col("text")).alias("windows")).collect()
-    return learn([(r["y"], [[bytes(w) for w in x] for x in r["windows"]]) for r in rows])
+    rows = rows.select("y", F.arrow_udf(_windows, "binary")(F.col("text")).alias("windows")).collect()
+    return learn([(r["y"], bytes(r["windows"])) for r in rows])
 
 
 #: The words met by the network in use, by the network's name: a worker
