@@ -37,7 +37,7 @@ def _unit(points: np.ndarray) -> tuple[np.ndarray, float]:
     squares = np.einsum("ij,ij->i", x, x)
     most = float(np.sqrt(squares.max(initial=0.0)))
     if most == 0:
-        return np.zeros((len(x), x.shape[1] + 1)), 0.0
+        return np.column_stack((x, np.ones(len(x)))), 0.0
     x /= most
     rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", x, x)))
     return np.column_stack((x, rest)), most
@@ -79,11 +79,10 @@ class Tree:
             radius[done] = reach + SLACK if len(inside) > 1 else 0.0
             first[done] = len(point)
             if len(inside) > 1:
-                # the next smaller power of STEP; equal vectors part at once
-                small = STEP ** (np.ceil(np.log(reach) / np.log(STEP)) - 1) if reach > SLACK else -1.0
+                # the next smaller power of STEP, always less than the reach; equal vectors part at once
+                small = min(STEP ** (np.ceil(np.log(reach) / np.log(STEP)) - 1), 0.999 * reach) if reach > SLACK else -1.0
                 near = from_centre <= small
-                if small < 0:
-                    near[np.flatnonzero(inside == point[done])] = True
+                near[0] = True  # the centre comes first
                 groups = [(point[done], inside[near], from_centre[near])]
                 rest = inside[~near]
                 while len(rest):

@@ -1,6 +1,7 @@
 """Brute-force versions of the contracts, on plain Python rows."""
 
 import hashlib
+import math
 import re
 
 import xxhash
@@ -72,3 +73,43 @@ def edited(rows):
 def shingles(text, n=5):
     words = WORD.findall(text)
     return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def hard_negatives(rows, anchor, k=5):
+    """[(vec_id, vector of whole numbers, label)] -> the contract's rows"""
+    out = []
+    last = (True, 0)
+
+    def order(x):
+        return (-x[0], last if x[1] is None else (False, x[1]))
+    for i, (a, va, la) in enumerate(rows):
+        if a is None or not anchor(a):
+            continue
+        scored = [(sum(x * y for x, y in zip(va, v)), b, lab == la) for j, (b, v, lab) in enumerate(rows) if j != i and len(v) == len(va)]
+        for p, pid, _ in sorted((x for x in scored if x[2]), key=order)[:k]:
+            fit = sorted((x for x in scored if not x[2] and 80 * p <= 100 * x[0] <= 100 * p), key=order)[:k]
+            out += [(a, pid, place, b, p, s) for place, (s, b, _) in enumerate(fit, 1)]
+    return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs, items, k=50):
+    """[(doc_id, text)], [(item_id, text)] -> [(item_id, rank, doc_id, score)]"""
+    split = [(d, TERM.findall((t or "").translate(A_TO_Z))) for d, t in docs]
+    n, length = sum(bool(w) for _, w in split), sum(len(w) for _, w in split)
+    df = {}
+    for _, w in split:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    out = []
+    for item, text in items:
+        asked, scored = set(TERM.findall((text or "").translate(A_TO_Z))), []
+        for d, w in split:
+            m = 50 + 50 * len(w) * n // max(length, 1)
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * w.count(t) // (1000 * w.count(t) + 20 * m)) for t in asked if t in w)
+            if score > 0:
+                scored.append((-score, d is None, d or 0, d))
+        out += [(item, place, d, -s) for place, (s, _, _, d) in enumerate(sorted(scored, key=lambda x: x[:3])[:k], 1)]
+    return out

@@ -38,6 +38,15 @@ PAGES = [
     (8, "ftp://c.com/fr/\r\nX: y", "<p>" + LONG), (9, "://net/", "a" * 99), (10, "http://org/", "a" * 99), (11, "http://notorg.orgs/a", "b" * 100),
     (None, "http://example.com/fr/a", HTML), (None, "http://example.com/fr", None), (12, "http://u@com:80/de/", "b" * 100),
 ]
+NAN, INF = float("nan"), float("inf")
+#: Ties, repeated rows, equal vectors, other lengths, odd components and ids.
+EMBEDDINGS = [
+    (0, [0.5, 0.25], 1), (0, [0.5, 0.25], 1), (1, [0.5, 0.25], 2), (2, [0.5, 0.25], 1), (3, [0.4, 0.2], 1), (4, [0.4, 0.3], 2), (7, [0.45, 0.25], 9),
+    (14, [0.45, 0.25], 0), (5, [-0.5, -0.25], 2), (6, [0.0, 0.0], 1), (8, [0.0, 0.0], 2), (100, [0.0, 0.0], 1), (200, [-0.3, 0.9], 3), (300, [1.0], 1),
+    (301, [1.0], 1), (302, [0.9], 2), (400, [], 1), (401, [], 1), (402, [], 4), (500, None, 1), (501, [0.1, None], 1), (600, [NAN, 0.1], 1),
+    (601, [0.2, INF], 2), (700, [0.5, 0.5], None), (None, [0.5, 0.25], 1), (None, [0.48, 0.22], 4), (-100, [0.5, 0.24], 3), (9, [0.5, 0.23], 3), (10, [0.3, 0.3], 3),
+    *[(20 + i, [0.45, 0.26], 6) for i in range(9)], *[(1000 + i, [0.44, 0.2], 1) for i in range(9)], (1 << 40, [300.0, -7.5], 5), (800, [200.0, -2.0], 5), (801, [190.0, 3.0], 6),
+]
 LABELS = [(1, 1, 0), (2, 1, 0), (13, 0, 0), (14, 0, 1), (None, 1, 0), (15, None, 0), (99, 0, 0), (1, 1, 0)]
 
 
@@ -50,6 +59,7 @@ def write_tables(spark, folder, empty=False):
     save("documents", [(*r, None if r[1] is None else len(r[1])) for r in DOCUMENTS], "doc_id long, text string, lang string, source string, n_chars long", CLASH)
     save("benchmark", BENCHMARK, "item_id long, text string", "n_words string")
     save("pages", PAGES, "page_id long, url string, html string", "host string, verdict string, size string, digest string, refers_to string")
+    save("embeddings", EMBEDDINGS, "vec_id long, embedding array<float>, label int", "vec string, size string, anchor string, score string, qid string, ids string")
     save("labels", LABELS, "doc_id long, quality int, toxic int", "y string, text string")
     return folder
 

@@ -11,15 +11,27 @@ import duckdb
 import numpy as np
 import pytest
 
-from basketry.llm import langid, quality, sketch
+from basketry.llm import langid, quality, sketch, toxicity
 from basketry.llm.queries import ORACLES, QUERIES, tokenizer_path
 from basketry.llm.text import WordCodes
 
 SMALL = "/root/testdata/sf0.001"
 
 
-def rows(df, *columns):
-    return Counter(tuple(r) for r in df.select(*columns).collect()) if columns else Counter(map(tuple, df.collect()))
+#: The rows of a query on a folder: each query runs once a folder.
+RESULTS: dict = {}
+
+
+def result(spark, folder, name):
+    if (name, folder) not in RESULTS:
+        df = QUERIES[name](spark, folder)
+        RESULTS[name, folder] = df.columns, df.collect()
+    return RESULTS[name, folder]
+
+
+def rows(spark, folder, name, *columns):
+    names, found = result(spark, folder, name)
+    return Counter(tuple(r[c] for c in columns or names) for r in found)
 
 
 def documents(spark, folder):
@@ -34,22 +46,20 @@ def folder(request):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_its_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         path = f"{folder}/{t}.parquet"
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path if Path(path).is_file() else path + '/*.parquet'}')")
-    got = QUERIES[name](spark, folder)
     want = con.sql(ORACLES[name])
-    assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got, *want.columns) == Counter(want.fetchall())
+    assert sorted(result(spark, folder, name)[0]) == sorted(want.columns)
+    assert rows(spark, folder, name, *want.columns) == Counter(want.fetchall())
 
 
 def test_op1_equals_brute_force(spark, folder):
-    got = QUERIES["op1_simhash"](spark, folder)
-    assert rows(got) == Counter(brute.simhash(documents(spark, folder)))
+    assert rows(spark, folder, "op1_simhash") == Counter(brute.simhash(documents(spark, folder)))
 
 
 def test_op2_equals_brute_force(spark, folder):
-    assert rows(QUERIES["op2_substring"](spark, folder)) == Counter(brute.repeats(documents(spark, folder)))
+    assert rows(spark, folder, "op2_substring") == Counter(brute.repeats(documents(spark, folder)))
 
 
 def test_op3_equals_the_tokenizer(spark, folder):
@@ -61,12 +71,12 @@ def test_op3_equals_the_tokenizer(spark, folder):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    assert rows(QUERIES["op3_tokens"](spark, folder)) == Counter(want)
+    assert rows(spark, folder, "op3_tokens") == Counter(want)
 
 
 def test_op6_on_labelled_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    got = QUERIES["op6_langid"](spark, folder).collect()
+    got = result(spark, folder, "op6_langid")[1]
     assert len(got) == docs.count()
     assert all(0 <= r.score <= 1 for r in got)
     for r in got:
@@ -81,7 +91,7 @@ def test_op6_on_labelled_rows(spark, folder):
 
 
 def test_op8_on_labelled_rows(spark, folder):
-    got = QUERIES["op8_quality"](spark, folder).collect()
+    got = result(spark, folder, "op8_quality")[1]
     assert len(got) == len(documents(spark, folder))
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= quality.KEEP) for r in got)
     if folder == SMALL:
@@ -95,17 +105,27 @@ def test_op10_equals_brute_force(spark, folder):
     for d, n, text, after in brute.edited(documents(spark, folder)):
         made = sketch.sketch(text.encode(), codes)
         want.append((d, n, hashlib.sha256(text.encode()).hexdigest(), sketch.encode(made)))
-    got = QUERIES["op10_sketch"](spark, folder)
-    assert rows(got, "doc_id", "n_chars", "edited_sha256", "edited_fingerprint") == Counter(want)
+    got = result(spark, folder, "op10_sketch")[1]
+    assert rows(spark, folder, "op10_sketch", "doc_id", "n_chars", "edited_sha256", "edited_fingerprint") == Counter(want)
     if folder != SMALL:
         return
     texts = {d: t for d, t in documents(spark, folder)}
     near = {d: (own & brute.shingles(x), own & brute.shingles(y), own) for d, _, x, y in brute.edited(list(texts.items())) for own in [brute.shingles(texts[d])]}
     found = [(abs(r.near_edited - len(near[r.doc_id][0]) / len(near[r.doc_id][2])), abs(r.near_next - len(near[r.doc_id][1]) / len(near[r.doc_id][2])))
-             for r in got.collect() if near[r.doc_id][2]]
+             for r in got if near[r.doc_id][2]]
     assert np.mean(found, axis=0).max() < 0.05 and np.max(found) < 0.3
 
 
-def test_reruns_agree(spark, edge):
-    for name in ("op9_mix", "op10_sketch", "op8_quality", "op6_langid"):
-        assert rows(QUERIES[name](spark, edge)) == rows(QUERIES[name](spark, edge))
+def test_op12_on_labelled_rows(spark, folder):
+    got = result(spark, folder, "op12_toxicity")[1]
+    texts = documents(spark, folder)
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in texts)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= toxicity.TOXIC) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    wordless = {d for d, t in texts if not toxicity.tokens((t or "").encode())}
+    assert all(r.score == 0 for r in got if r.doc_id in wordless and r.doc_id not in {d for d, t in texts if toxicity.tokens((t or "").encode())})
+
+
+@pytest.mark.parametrize("name", ["op6_langid", "op8_quality", "op9_mix", "op10_sketch", "op11_hard_negatives", "op12_toxicity", "op13_search"])
+def test_reruns_agree(spark, edge, name):
+    assert rows(spark, edge, name) == Counter(map(tuple, QUERIES[name](spark, edge).collect()))
