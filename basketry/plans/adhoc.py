@@ -27,16 +27,17 @@ from basketry.sources.fixture import Shop
 
 _CODES = {"%Y": "date_format(t, 'yyyy')", "%m": "date_format(t, 'MM')", "%d": "date_format(t, 'dd')",
           "%H": "date_format(t, 'HH')", "%M": "date_format(t, 'mm')", "%S": "date_format(t, 'ss')",
-          "%j": "date_format(t, 'DDD')", "%w": "CAST(dayofweek(t) - 1 AS STRING)", "%%": "'%'"}
+          "%j": "date_format(t, 'DDD')", "%w": "CAST(dayofweek(t) - 1 AS STRING)"}
 
 
 def _strftime() -> str:
-    out = "fmt"
+    """Codes are replaced between the ``%%``, which become ``%`` at last."""
+    out = "part"
     for code, value in _CODES.items():
         out = f"replace({out}, '{code}', {value})"
     return f"""CREATE OR REPLACE TEMPORARY FUNCTION strftime(fmt STRING, t TIMESTAMP) RETURNS STRING
        RETURN CASE WHEN instr(regexp_replace(fmt, '%[YmdHMSjw%]', ''), '%') > 0
-                   THEN raise_error(concat('strftime: unknown code in ', fmt)) ELSE {out} END"""
+                   THEN raise_error(concat('strftime: unknown code in ', fmt)) ELSE array_join(transform(split(fmt, '%%'), part -> {out}), '%') END"""
 
 
 SQL_FUNCTIONS = [

@@ -3,7 +3,7 @@
 All customer-level numbers come from the order-grain pre-aggregate
 (``valued_orders``), aggregated by customer with map-side combine, so a
 customer with a third of all orders is reduced before any shuffle.  Global
-windows over customers use ``global_window`` / ``topk`` (no single task).
+windows over customers use ``selection`` / ``topk`` (no single task).
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.expr import big, days_between, ratio, rnd, rnd_dec
-from basketry.operators.global_window import GlobalSpec, asc, desc, global_windows
+from basketry.operators.global_window import asc, desc
+from basketry.operators.selection import Tiles, exact_ntiles
 from basketry.operators.topk import topk
 from basketry.plans.common import DELIVERED, FIXTURE_AS_OF, order_totals, valued_orders
 from basketry.sources.fixture import Shop
@@ -90,10 +91,9 @@ def rfm_customers(shop: Shop, as_of: dt.date = FIXTURE_AS_OF, high_is_good: bool
                     big(days_between(F.lit(as_of), "last")).alias("recency_days"),
                     big("frequency").alias("frequency"),
                     F.round("rev", 2).alias("monetary")))
-    s = global_windows(base, [
-        GlobalSpec((asc("recency_days"),), ("customer_id",), ntile=("r_score", 5)),
-        GlobalSpec((desc("frequency"),), ("customer_id",), ntile=("f_score", 5)),
-        GlobalSpec((desc("monetary"),), ("customer_id",), ntile=("m_score", 5))])
+    s = exact_ntiles(base, [Tiles("r_score", 5, (asc("recency_days"),), ("customer_id",)),
+                            Tiles("f_score", 5, (desc("frequency"),), ("customer_id",)),
+                            Tiles("m_score", 5, (desc("monetary"),), ("customer_id",))])
     if high_is_good:
         for c in ("r_score", "f_score", "m_score"):
             s = s.withColumn(c, F.lit(6) - F.col(c))

@@ -44,6 +44,8 @@ def test_strftime_codes(spark, shop):
     df, err = run_sql(spark, "SELECT strftime('day %d/%m of %Y, %H:%M:%S %j %w 100%%', TIMESTAMP '2024-03-03 04:05:06') AS s, "
                              "julianday(TIMESTAMP '2000-01-01 12:00:00') AS j")
     assert err is None and tuple(df.first()) == ("day 03/03 of 2024, 04:05:06 063 0 100%", 2451545.0)
+    df, err = run_sql(spark, "SELECT strftime('%%Y-%Y %%%d%%', DATE '2024-03-03') AS s, strftime('', DATE '2024-03-03') AS e")
+    assert err is None and tuple(df.first()) == ("%Y-2024 %03%", "")
     df, err = run_sql(spark, "SELECT strftime('%Q', order_date) FROM orders", eager=True)
     assert df is None and "unknown code" in err
 
