@@ -13,6 +13,8 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import PySparkException
+
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="basketry")
@@ -40,7 +42,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"{len(ENTRIES)} queries")
         return 0
 
-    from basketry.plans.adhoc import prepare, run_sql
+    from basketry.plans.adhoc import counted, prepare, run_sql
     from basketry.session import local_session
     from basketry.sources.fixture import load
 
@@ -50,11 +52,17 @@ def main(argv: list[str] | None = None) -> int:
         df = lookup(args.key).build(shop)
     else:
         prepare(shop)
-        df, err = run_sql(spark, args.text, eager=True)
+        df, err = run_sql(spark, args.text)
         if err:
             print(f"Query error: {err}")
             return 1
-    n = df.count()
+    try:
+        df, n = counted(df)
+    except PySparkException as e:
+        if args.cmd == "run":
+            raise
+        print(f"Query error: {e}")
+        return 1
     print(f"{n:,} rows returned")
     df.show(args.show, truncate=False)
     return 0

@@ -21,8 +21,10 @@ functions the reference's queries use are registered as SQL functions
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
+from basketry.operators.sql_windows import spread_windows
 from basketry.sources.fixture import Shop
 
 _CODES = {"%Y": "date_format(t, 'yyyy')", "%m": "date_format(t, 'MM')", "%d": "date_format(t, 'dd')",
@@ -77,13 +79,19 @@ def prepare(shop: Shop) -> None:
     register_sql_functions(shop.spark)
 
 
-def run_sql(spark: SparkSession, text: str, eager: bool = False) -> tuple[DataFrame | None, str | None]:
+def run_sql(spark: SparkSession, text: str, eager: bool = False, single_task_rows: int | None = None) -> tuple[DataFrame | None, str | None]:
+    """The statement's rows, or why it is refused.  Windows without PARTITION
+    BY are spread over many tasks where their function allows
+    (``operators.sql_windows``); with ``single_task_rows``, a statement is
+    refused if one of the others has more input rows than that."""
     if not text or not text.strip():
         return None, "empty statement"
     try:
         if _writes(spark, text):
             return None, "only read statements (SELECT / WITH ...) are accepted"
-        df = spark.sql(text)
+        df, left = spread_windows(spark.sql(text))
+        if single_task_rows is not None and any(rows.limit(single_task_rows + 1).count() > single_task_rows for rows in left):
+            return None, f"a window without PARTITION BY would take more than {single_task_rows} rows into one task"
         if eager:
             df.write.format("noop").mode("overwrite").save()
         return df, None
@@ -91,3 +99,11 @@ def run_sql(spark: SparkSession, text: str, eager: bool = False) -> tuple[DataFr
         return None, str(e)
     except Exception as e:  # noqa: BLE001  (Py4J errors not mapped to PySparkException)
         return None, str(e)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of ``df``, kept by a checkpoint, and their number: both from
+    one run, which counts the rows as it writes them."""
+    seen = Observation()
+    kept = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return kept, seen.get["n"]

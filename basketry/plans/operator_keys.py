@@ -294,11 +294,33 @@ FROM orders
 GROUP BY 1, 2"""
 
 
-def op_adhoc_sql(shop: Shop) -> DataFrame:
+ADHOC_WINDOW_TEXT = """WITH per AS (SELECT customer_id, COUNT(*) AS orders FROM orders GROUP BY customer_id)
+SELECT customer_id, orders,
+       CAST(RANK() OVER (ORDER BY orders DESC) AS BIGINT) AS orders_rank,
+       CAST(DENSE_RANK() OVER (ORDER BY orders DESC) AS BIGINT) AS dense_rank,
+       CAST(ROW_NUMBER() OVER (ORDER BY orders DESC, customer_id) AS BIGINT) AS place,
+       CAST(NTILE(4) OVER (ORDER BY orders DESC, customer_id) AS BIGINT) AS quartile,
+       SUM(orders) OVER (ORDER BY orders DESC, customer_id ROWS UNBOUNDED PRECEDING) AS running_orders,
+       SUM(orders) OVER (ORDER BY orders DESC) AS orders_with_peers,
+       CUME_DIST() OVER (ORDER BY orders DESC) AS cume_dist,
+       SUM(orders) OVER () AS all_orders
+FROM per"""
+
+
+def _typed(shop: Shop, text: str, **options) -> DataFrame:
     """In a session of its own, so the caller's views and functions stay."""
     session = configure(shop.spark.newSession())
     adhoc.prepare(Shop(session, shop.sf_dir))
-    df, err = adhoc.run_sql(session, ADHOC_TEXT)
+    df, err = adhoc.run_sql(session, text, **options)
     if err:
         raise RuntimeError(err)
     return df
+
+
+def op_adhoc_sql(shop: Shop) -> DataFrame:
+    return _typed(shop, ADHOC_TEXT)
+
+
+def op_adhoc_window(shop: Shop) -> DataFrame:
+    """Windows without PARTITION BY typed as SQL; none may be left to one task."""
+    return _typed(shop, ADHOC_WINDOW_TEXT, single_task_rows=0)

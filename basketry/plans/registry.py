@@ -87,7 +87,7 @@ OPERATOR_KEYS = [
     ("op_scalar_numeric", ("ROUND", "CAST", "NULLIF")), ("op_join_left", ("LEFT JOIN",)),
     ("op_join_right", ("RIGHT JOIN",)), ("op_join_full", ("OUTER JOIN",)), ("op_semi", ("EXISTS",)), ("op_anti", ("NOT EXISTS",)),
     ("op_union_distinct", ("UNION",)), ("op_having", ("HAVING",)), ("op_predicates", ("LIKE", "COALESCE")),
-    ("op_adhoc_sql", ("ad-hoc SQL",)),
+    ("op_adhoc_sql", ("ad-hoc SQL",)), ("op_adhoc_window", ("ad-hoc SQL", "RANK", "NTILE", "SUM OVER")),
 ]
 for _key, _tags in OPERATOR_KEYS:
     register(_key, OPERATOR, _key, "med", _tags)(getattr(operator_keys, _key))
