@@ -1,18 +1,41 @@
-"""Joining a fact to a dimension on a key that may be hot: the fact's rows of
-one key are spread over ``SALTS`` parts by another column, and the dimension
-has a copy for each part.  Spark still broadcasts the dimension where its
-size allows."""
+"""Joining a fact to a dimension where some keys may be hot.
+
+``hot_keys`` finds the keys that hold a notable share of the rows by Spark's
+mergeable top-k sketch, in one scan of one column.  ``salted_join`` spreads
+the fact's rows of these keys over several parts by another column and gives
+the dimension a copy of their rows for each part; all other rows, and all
+rows of a table without hot keys, are joined plainly.  Spark still broadcasts
+the dimension where its size allows."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+#: A key with this share of the rows is hot; at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 0.01
+
+
+def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> dict:
+    """Key -> its share of the rows, for keys that hold ``share`` or more.
+    Null keys join with nothing and are left out."""
+    most = math.ceil(1 / share)
+    found = rows.agg(F.expr(f"approx_top_k(`{key}`, {most}, {100 * most})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return {x["item"]: x["count"] / found["n"] for x in found["top"] or () if x["item"] is not None and x["count"] >= share * found["n"]}
 
 
-def salted_join(fact: DataFrame, dimension: DataFrame, key: str, spread_by: str, salts: int = SALTS) -> DataFrame:
-    """Inner join on ``key``; rows of a key are spread by ``spread_by``."""
-    left = fact.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    right = dimension.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "__salt"]).drop("__salt")
+def salted_join(fact: DataFrame, dimension: DataFrame, key: str, spread_by: str, hot: dict) -> DataFrame:
+    """Inner join on ``key``; rows of the ``hot`` keys (with their shares)
+    are spread by ``spread_by`` over as many parts as a key with that share
+    would fill of the session's shuffle partitions."""
+    if not hot:
+        return fact.join(dimension, key)
+    partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(2, math.ceil(max(hot.values()) * partitions))
+    is_hot = F.col(key).isin(list(hot))  # at most 1 / HOT_SHARE keys
+    spread = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    left = fact.withColumn("__salt", F.when(is_hot, spread).otherwise(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(dimension.withColumn("__salt", F.explode(copies)), [key, "__salt"]).drop("__salt")

@@ -29,7 +29,11 @@ SHOWCASE_CUSTOMERS_SCRIPT = [1, 2, 3]
 
 
 def order_totals(shop: Shop) -> DataFrame:
-    """order_id -> revenue, profit, n_items, units (orders with items only)."""
+    """order_id -> revenue, profit, n_items, units (orders with items only):
+    those kept at order grain while they are fresh, else summed anew."""
+    kept = shop.kept_order_totals()
+    if kept is not None:
+        return kept
     return (shop.order_items.groupBy("order_id")
             .agg(F.sum("revenue").alias("revenue"),
                  F.sum("profit").alias("profit"),

@@ -5,6 +5,7 @@ analyses use the same operators; these keys check each one on its own."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
@@ -12,16 +13,18 @@ from pyspark.sql import functions as F
 
 from basketry.functions.expr import (big, bucketize, days_between, dbl, month_diff, month_key,
                                      month_name, month_text, pct, ratio, rnd, rnd_dec, year_text)
+from basketry.operators.bitmaps import countable, distinct_counts, id_bitmaps, merged
 from basketry.operators.events import argmin_rows
 from basketry.operators.materialize import materialize
 from basketry.operators.global_window import GlobalSpec, asc, desc, global_window, global_windows
 from basketry.operators.pivot import pivot_sum
 from basketry.operators.topk import topk
 from basketry.plans import adhoc
-from basketry.plans.common import DELIVERED, FIXTURE_AS_OF, valued_orders
+from basketry.plans.common import CANCELLED, DELIVERED, FIXTURE_AS_OF, order_totals, valued_orders
 from basketry.plans.product import cross_sell, product_revenue
-from basketry.session import configure
-from basketry.sources.fixture import Shop
+from basketry.session import checkpoint_dir, configure
+from basketry.sources import order_grain
+from basketry.sources.fixture import Shop, load
 from basketry.sources.schemas import STATUSES
 
 ORDER_SIZE_BUCKETS = [("<", Decimal("10000"), "small"), ("<", Decimal("100000"), "medium"),
@@ -89,16 +92,41 @@ def op_agg_basic(shop: Shop) -> DataFrame:
 
 
 def op_count_distinct(shop: Shop) -> DataFrame:
-    """Two COUNT(DISTINCT) of different columns per payment, as two
-    (payment, x) pre-aggregates joined on the payment (no Expand).  The join
-    of the facts behind both runs once, into a checkpoint."""
-    lines = materialize(shop.order_items.select("order_id", "product_id").join(
-        shop.orders.select("order_id", "customer_id", "payment"), "order_id").select("payment", "customer_id", "product_id"))
-    cust = (lines.select("payment", "customer_id").distinct().groupBy("payment")
-            .agg(big(F.count(F.lit(1))).alias("customers")))
-    prod = (lines.select("payment", "product_id").distinct().groupBy("payment")
-            .agg(big(F.count(F.lit(1))).alias("products")))
-    return cust.join(prod, "payment", "full")
+    """Two COUNT(DISTINCT) of different columns per payment: each line gives
+    a row (payment, kind, id) of either kind, these are made distinct and then
+    counted, so the facts are joined once and nothing is kept at line grain."""
+    lines = shop.order_items.select("order_id", "product_id").join(shop.orders.select("order_id", "customer_id", "payment"), "order_id")
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id")) for kind, c in enumerate(("customer_id", "product_id"))])
+    ids = lines.select("payment", F.explode(kinds).alias("x")).select("payment", "x.kind", "x.id").where(F.col("id").isNotNull()).distinct()
+    return ids.groupBy("payment").agg(*[big(F.count_if(F.col("kind") == kind)).alias(name) for kind, name in enumerate(("customers", "products"))])
+
+
+def op_distinct_rollup(shop: Shop) -> DataFrame:
+    """Unique customers by month, year and in all: the bitmaps of the months
+    are made once and merge to the others; ids that are no whole numbers are
+    counted anew at each level."""
+    month = F.date_format("order_date", "yyyy-MM")
+    rows = shop.orders_where(not_status=CANCELLED).select(month.alias("month"), "customer_id").withColumn("year", F.substring("month", 1, 4))
+    rows = rows.withColumn("all", F.lit("all"))
+    levels = ("month", "year", "all")
+    if not countable(rows, "customer_id"):
+        found = [rows.select(level, "customer_id").distinct().groupBy(level).agg(big(F.count("customer_id")).alias("customers")) for level in levels]
+    else:
+        made = materialize(id_bitmaps(rows, levels, "customer_id"))
+        found = [distinct_counts(merged(made, [level]), [level], "customers") for level in levels]
+    found = [x.select(F.lit(level).alias("level"), F.col(level).alias("period"), "customers") for x, level in zip(found, levels)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def op_order_grain(shop: Shop) -> DataFrame:
+    """Order totals are kept once, bucketed by order, and the orders by
+    status are valued from them, without the line items."""
+    folder = f"{checkpoint_dir(shop.spark)}/order-grain-{uuid.uuid4().hex}"
+    order_grain.write(shop, order_totals(shop), folder)
+    kept = load(shop.spark, shop.sf_dir, order_grain=folder)
+    return (valued_orders(kept).groupBy("status")
+            .agg(big(F.count(F.lit(1))).alias("orders"), big(F.sum("n_items")).alias("line_items"), big(F.sum("units")).alias("units"),
+                 rnd_dec(F.sum("revenue"), 2).alias("revenue"), rnd_dec(F.sum("profit"), 2).alias("profit")))
 
 
 def op_pivot(shop: Shop) -> DataFrame:

@@ -12,7 +12,7 @@ from basketry.functions.expr import big, bucketize, pct, ratio, rnd, rnd_dec
 from basketry.operators.global_window import desc
 from basketry.operators.materialize import materialize
 from basketry.operators.pairs import item_counts, pair_counts
-from basketry.operators.salted import salted_join
+from basketry.operators.salted import hot_keys, salted_join
 from basketry.operators.topk import topk
 from basketry.plans.common import DELIVERED, delivered_lines
 from basketry.sources.fixture import Shop
@@ -56,7 +56,8 @@ def customer_items(shop: Shop, item: str = "category", items: DataFrame | None =
     p = items if items is not None else shop.products.select("product_id", F.col(item).alias("item"))
     bought = (shop.order_items.select("order_id", "product_id").join(o, "order_id")
               .select("customer_id", "product_id").distinct())
-    return salted_join(bought, p, "product_id", "customer_id").select("customer_id", "item").distinct()
+    hot = hot_keys(shop.order_items, "product_id")
+    return salted_join(bought, p, "product_id", "customer_id", hot).select("customer_id", "item").distinct()
 
 
 def cross_sell(shop: Shop, item: str = "category", a: str = "category_a", b: str = "category_b",

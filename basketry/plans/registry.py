@@ -79,6 +79,7 @@ OPERATOR_KEYS = [
     ("op_bucketize", ("CASE",)), ("op_join_inner", ("JOIN",)),
     ("op_first_event", ("MIN", "JOIN")), ("op_argmin_rows", ("Subquery", "MIN")), ("op_pairs", ("Self JOIN",)),
     ("op_agg_basic", ("SUM", "COUNT", "AVG", "MIN", "MAX")), ("op_count_distinct", ("COUNT DISTINCT",)),
+    ("op_distinct_rollup", ("COUNT DISTINCT", "ROLLUP-style")), ("op_order_grain", ("SUM", "reuse")),
     ("op_pivot", ("CASE", "PIVOT-style")), ("op_global_rank", ("RANK", "ROW_NUMBER")),
     ("op_global_ntile", ("NTILE", "RANK")), ("op_running_total", ("SUM OVER", "Running Total")),
     ("op_share_of_total", ("SUM OVER",)), ("op_lag_lead", ("LAG", "LEAD")), ("op_rolling_avg", ("AVG OVER",)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.expr import big, pct, ratio, rnd, rnd_dec
 from basketry.operators.pivot import pivot_sum
-from basketry.operators.salted import salted_join
+from basketry.operators.salted import hot_keys, salted_join
 from basketry.plans.common import CANCELLED, DELIVERED, delivered_lines, order_totals, valued_orders
 from basketry.sources.fixture import Shop
 from basketry.sources.schemas import PAYMENTS
@@ -20,10 +20,11 @@ def revenue_by_category(shop: Shop, with_avg_price: bool = True) -> DataFrame:
 
     COUNT(DISTINCT order_id) is a two-level aggregate: (category, order)
     first, then category, both with map-side combine, so no Expand node and
-    no single hot order or category reaches one task unreduced.  Lines meet
-    the products by salted keys, so a product on a third of all lines is
-    spread over many tasks."""
-    lines = salted_join(delivered_lines(shop), shop.products.select("product_id", "category"), "product_id", "order_id")
+    no single hot order or category reaches one task unreduced.  Lines of
+    hot products meet the products by salted keys, so a product on a third of
+    all lines is spread over many tasks."""
+    lines = salted_join(delivered_lines(shop), shop.products.select("product_id", "category"), "product_id", "order_id",
+                        hot_keys(shop.order_items, "product_id"))
     per_order = (lines.groupBy("category", "order_id")
                  .agg(F.sum("quantity").alias("units"), F.sum("revenue").alias("rev"),
                       F.sum("profit").alias("prof"), F.sum("unit_price").alias("price_sum"),

@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.sources import order_grain
+
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 # Fixed values of the mapping (FIXTURES.md §3).
@@ -86,6 +88,8 @@ class Shop:
 
     spark: SparkSession
     sf_dir: str
+    #: Folder of kept order totals (``sources.order_grain``), if any.
+    order_grain: str | None = None
     _cache: dict = field(default_factory=dict, repr=False)
 
     # An order's city is its customer's region here, so analyses by city
@@ -100,6 +104,14 @@ class Shop:
             self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
+    @property
+    def lines_path(self) -> str:
+        return f"{self.sf_dir}/lineitem.parquet"
+
+    def kept_order_totals(self) -> DataFrame | None:
+        """Order totals that were kept and are still those of the line items."""
+        return self._memo(("order_totals",), lambda: order_grain.kept(self, self.order_grain) if self.order_grain else None)
+
     # -- dimensions -------------------------------------------------------
     def _memo(self, key, build):
         """Mapped tables are lazy plans; build (and analyse) each once."""
@@ -263,7 +275,8 @@ class TableShop(Shop):
             df.createOrReplaceTempView(name)
 
 
-def load(spark: SparkSession, sf_dir: str) -> Shop:
+def load(spark: SparkSession, sf_dir: str, order_grain: str | None = None) -> Shop:
     """The shop over ``sf_dir`` as its files are now.  A shop remembers its
-    plans, so take a new one for each query that shall see new files."""
-    return Shop(spark, sf_dir.rstrip("/"))
+    plans, so take a new one for each query that shall see new files.  With
+    ``order_grain``, order totals kept there are used while they are fresh."""
+    return Shop(spark, sf_dir.rstrip("/"), order_grain)
