@@ -35,7 +35,7 @@ def test_shape_and_integrity(spark):
 
 def test_write_read_round_trip_and_analysis(spark, tmp_path):
     g = generate(spark, 40, 300, seed=1)
-    write_tables(g.tables(), str(tmp_path), partition_orders_by_month=True)
+    write_tables(g.tables(), str(tmp_path), orders_by_month=True)
     t = read_tables(spark, str(tmp_path))
     assert _rows(t["orders"]) == _rows(g.orders)
     shop = TableShop(spark, t["customers"], t["products"], t["orders"], t["order_items"])

@@ -71,3 +71,12 @@ def test_lineitem_scan_is_pruned(spark, queries):
     for c in cols:
         names = {x.split("#")[0] for x in c.split(",")}
         assert names <= {"l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"}, names
+
+
+def test_typed_filters_on_mapped_columns_reach_parquet(spark, shop):
+    from basketry.plans.adhoc import prepare, run_sql
+    prepare(shop)
+    for where, pushed in [("status = 'Delivered'", "Or(EqualNullSafe(o_orderstatus,F),EqualNullSafe(o_orderstatus,O))"),
+                          ("payment = 'UPI'", "EqualNullSafe(o_orderpriority,1-URGENT)")]:
+        df, err = run_sql(spark, f"SELECT order_id FROM orders WHERE {where}")
+        assert err is None and f"PushedFilters: [{pushed}" in plan_of(df), plan_of(df)
