@@ -2,7 +2,7 @@
 Spark's own sources, so any file system Spark knows will do and a lost
 executor costs only its tasks.
 
-``write_blobs`` writes one file per partition: the values of the partition
+``write_blobs`` writes a file per partition, or several: the values of the partition
 one after another, each followed by the byte 0x0A (the line separator of
 Spark's text source).  File formats of this package let that byte be the
 last byte of each blob.
@@ -26,8 +26,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_blobs(blobs: DataFrame, column: str, folder: str) -> None:
-    blobs.select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(folder)
+def write_blobs(blobs: DataFrame, column: str, folder: str, per_file: int = 0) -> None:
+    """``per_file``: values after which a partition goes on in a new file."""
+    values = blobs.select(F.col(column).cast("string").alias("value"))
+    values.write.mode("overwrite").option("maxRecordsPerFile", per_file).text(folder)
 
 
 def read_blobs(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Texts are encoded with a public tokenizer (its path is a parameter), an end
 id is appended to each, and the ids are written in ascending doc_id order:
-one file for each range of doc_id, each a sequence of shards of about
+files for each range of doc_id, each a sequence of shards of about
 ``SHARD_TOKENS`` ids.  A shard is self-contained:
 
     magic "WVLT0001"; u64 bytes in all; u32 range; u32 number in the range;
@@ -25,6 +25,7 @@ rows that repeat are written each.
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import zlib
@@ -38,13 +39,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.ranges import ranges_for
+from basketry.llm.ranges import text_bytes
 from basketry.llm.store import read_blobs, write_blobs
 from basketry.llm.text import release_memory
 
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-#: Text bytes of a range, that is of a file (about 0.8 file bytes a text byte).
+#: Text bytes of a range on average, and bytes of a file at about the most.
 FILE_BYTES = 16 << 20
 #: Text bytes encoded at once, and texts or parts given to the library at once.
 STEP_BYTES = 4 << 20
@@ -56,16 +57,25 @@ _BLOCK = 1 << 16  # bytes of bits
 
 # ---- encoding -------------------------------------------------------------
 
+#: White space, in full, as the tokenizer's pattern knows it.
+_SPACE = r"\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f"
 #: A space may begin a new part unless white space or the end follows: the
-#: tokenizer's own cut always lies before such a space.  White space is listed
-#: in full; other texts, and such as may hold special tokens, go in whole.
-_NOT_PLAIN = r" ([\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f]|$)|\x01|<\|"
-
-
+#: tokenizer's own cut always lies before such a space.  Other texts, and such
+#: as may hold special tokens, go in whole.
+_NOT_PLAIN = rf" ([{_SPACE}]|$)|\x01|<\|"
+#: Parts without white space but for a space before them: line ends may be put
+#: between them without a change of their ids.
+_JOINED = rf"^ ?[^{_SPACE}]+$"
+#: Such parts given to the library in one string.
+_TOGETHER = 500
 #: Marks that may follow a word, each a piece by itself there.
 _MARKS = (".", ",", "!", "?", ";", ":")
-#: Letters up to here have been letters in every version of Unicode that counts.
-_LAST_LATIN = "\u024f"
+#: Letters that have been letters in every version of Unicode that counts.
+_LATIN = r"A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}"
+#: A part that is one word of them, with at most one mark after it.
+_WORD = rf"^ ?[{_LATIN}]+[.,!?;:]?$"
+#: A line end between two visible characters is a piece by itself.
+_LINE_END = rf"([!-~{_LATIN}])\n([!-~{_LATIN}])"
 
 
 def _byte_level() -> dict[int, str]:
@@ -79,13 +89,19 @@ def _byte_level() -> dict[int, str]:
 _BYTE_LEVEL = _byte_level()
 
 
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1 ... of all spans, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(lengths.sum()))
+
+
 class Encoder:
     """Ids of texts by the tokenizers library.  A byte-level tokenizer with
-    its standard pattern cuts before every single space, so a text's ids are
-    those of its space-led parts; each distinct part is encoded once and
-    remembered, up to ``limit`` parts."""
+    its standard pattern cuts before every single space and around single
+    line ends, so a text's ids are those of the parts between; each distinct
+    part is encoded once and remembered, up to ``limit`` bytes of parts."""
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -94,6 +110,11 @@ class Encoder:
         self.by_parts = (isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
                          and self.tokenizer.normalizer is None)
         self.model = self.tokenizer.model
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_parts = self.by_parts and len(line_end) == 1
+        self.line_end = line_end[0] if line_end else None
+        self.marks = {m: [t.id for t in self.model.tokenize(m)] for m in _MARKS} if self.by_parts else {}
+        self.by_parts = self.by_parts and all(len(x) == 1 for x in self.marks.values())
         self.limit = limit
         self.parts = pa.array([], pa.string())
         self.ids = np.empty(0, dtype=np.uint32)
@@ -109,36 +130,71 @@ class Encoder:
             ids.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(counts[-1].sum())))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _new(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of parts.  A part that is one word of Latin letters, with
-        at most one mark after it, is one or two pieces to the tokenizer's
-        pattern, so its merges can be asked for directly; the others go
-        through the whole library call."""
-        tokenize, found, odd = self.model.tokenize, [None] * len(parts), []
-        for i, part in enumerate(parts):
-            word, mark = (part[:-1], part[-1]) if part[-1:] in _MARKS else (part, "")
-            body = word[1:] if word[:1] == " " else word
-            if body.isalpha() and max(body) <= _LAST_LATIN:
-                found[i] = [t.id for t in tokenize(word.encode().decode("latin-1").translate(_BYTE_LEVEL))]
-                if mark:
-                    found[i] += [t.id for t in tokenize(mark)]
-            else:
-                odd.append(i)
-        ids, counts = self._whole([parts[i] for i in odd])
-        for i, own in zip(odd, np.split(ids, np.cumsum(counts)[:-1])):
-            found[i] = own.tolist()
-        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(counts.sum())), counts
+    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_whole``, for parts like ``_JOINED``: many in one string, with
+        a line end between any two; its id, which no such part holds, tells
+        them apart again."""
+        groups = [parts[i:i + _TOGETHER] for i in range(0, len(parts), _TOGETHER)]
+        ids, counts = self._whole(["\n".join(g) for g in groups])
+        cut = np.flatnonzero(ids == self.line_end)
+        # every part ends before a line end's id, or where its group ends
+        last = np.zeros(len(parts), dtype=bool)
+        last[_TOGETHER - 1::_TOGETHER] = True
+        last[-1:] = True
+        if len(cut) + last.sum() != len(parts):
+            return self._whole(parts)
+        ends = np.empty(len(parts), dtype=np.int64)
+        ends[~last], ends[last] = cut, np.cumsum(counts)
+        starts = np.concatenate(([0], np.where(last, ends, ends + 1)))[:-1]
+        return np.delete(ids, cut), ends - starts
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of single words: one piece each to the tokenizer's pattern,
+        so its merges are asked for directly."""
+        spelled = pc.replace_substring_regex(words, "^ ", _BYTE_LEVEL[32]).to_pylist()
+        for i in np.flatnonzero(np.asarray(pc.invert(pc.string_is_ascii(words)))).tolist():
+            spelled[i] = words[i].as_py().encode().decode("latin-1").translate(_BYTE_LEVEL)
+        tokenize, ids, counts = self.model.tokenize, [], []
+        for word in spelled:
+            found = tokenize(word)
+            counts.append(len(found))
+            ids += [t.id for t in found]
+        return np.array(ids, dtype=np.uint32), np.array(counts, dtype=np.int64)
+
+    def _new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts: of words by ``_words``, once for a word with
+        different marks; of others by the library's whole call, many at once
+        where they are like ``_JOINED``."""
+        is_word = np.asarray(pc.match_substring_regex(parts, _WORD))
+        words = parts.filter(pa.array(is_word))
+        ends = pc.utf8_slice_codeunits(words, -1)
+        marked = np.asarray(pc.is_in(ends, value_set=pa.array(_MARKS)))
+        bodies = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        body_ids, body_counts = self._words(bodies.dictionary)
+        body = np.asarray(bodies.indices)
+        joined = ~is_word & np.asarray(pc.match_substring_regex(parts, _JOINED))
+        others = [(mine, *encode(parts.filter(pa.array(mine)).to_pylist())) for mine, encode in ((joined, self._together), (~is_word & ~joined, self._whole))]
+        counts = np.empty(len(parts), dtype=np.int64)
+        counts[is_word] = body_counts[body] + marked
+        for mine, _, sizes in others:
+            counts[mine] = sizes
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), dtype=np.uint32)
+        out[_spans(starts[is_word], body_counts[body])] = body_ids[_spans((np.cumsum(body_counts) - body_counts)[body], body_counts[body])]
+        out[(starts + counts - 1)[is_word][marked]] = [self.marks[m][0] for m in ends.filter(pa.array(marked)).to_pylist()]
+        for mine, ids, sizes in others:
+            out[_spans(starts[mine], sizes)] = ids
+        return out, counts
 
     def _known(self, distinct: pa.Array) -> np.ndarray:
         """Numbers of the parts, new ones being encoded first."""
         at = pc.index_in(distinct, value_set=self.parts)
         new = distinct.filter(pc.is_null(at))
         if len(new):
-            if len(self.parts) + len(new) > self.limit and len(self.parts):
+            if self.parts.nbytes + new.nbytes > self.limit and len(self.parts):
                 self.parts, self.ids, self.starts = self.parts[:0], self.ids[:0], self.starts[:1]
                 return self._known(distinct)
-            ids, lengths = self._new(new.to_pylist())
+            ids, lengths = self._new(new)
             self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
             self.ids = np.concatenate((self.ids, ids))
             fresh = np.cumsum(np.asarray(pc.is_null(at))) - 1 + len(self.parts)
@@ -147,14 +203,13 @@ class Encoder:
         return np.asarray(at)
 
     def _by_parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern(pc.replace_substring(texts, " ", "\x01 "), "\x01")
+        cut = pc.replace_substring_regex(pc.replace_substring(texts, " ", "\x01 "), _LINE_END, "\\1\x01\n\x01\\2")
+        lists = pc.split_pattern(cut, "\x01")
         coded = lists.flatten().dictionary_encode()
         numbers = self._known(coded.dictionary)[np.asarray(coded.indices)]
         lengths = self.starts[numbers + 1] - self.starts[numbers]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[numbers] - ends + lengths, lengths)
-        at += np.arange(len(at))
-        bounds = np.concatenate(([0], ends))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        at = _spans(self.starts[numbers], lengths)
+        bounds = np.concatenate(([0], np.cumsum(lengths)))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
         return self.ids[at], np.diff(bounds)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -346,39 +401,46 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
                  end_id: int = END_ID, file_bytes: int = FILE_BYTES, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Token files of ``docs`` in ``folder``, one for each range of doc_id."""
+    """Token files of ``docs`` in ``folder``.  Spark's range partitioner deals
+    the documents out by doc_id; each range is written as one file, or as
+    several where its texts are long, with their shards in order."""
     from tokenizers import Tokenizer
 
     bits = max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end_id, 1).bit_length()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranges = ranges_for(rows, "doc_id", "text", file_bytes)
-    rows = rows.withColumn("range", ranges.range_of("doc_id"))
-    rows = rows.repartitionById(ranges.count, F.col("range")).sortWithinPartitions("doc_id", "text")
+    n = max(1, math.ceil(text_bytes(rows) / file_bytes))
+    # the beginning of the text parts equal and null ids, too, in the order of the sort
+    rows = rows.repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("range", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        ids, doc_ids, counts, size, number, owner = [], [], [], 0, 0, 0
-
-        def blob():
-            raw = shard(np.concatenate(ids), doc_ids, np.concatenate(counts), bits, owner, number)
+        ids, counts, doc_ids, number, owner = np.empty(0, np.uint32), np.empty(0, np.int64), [], 0, 0
+
+        def blob(docs: int):
+            """A shard of the first documents that wait."""
+            nonlocal ids, counts, doc_ids, number
+            n = int(counts[:docs].sum())
+            raw = shard(ids[:n], doc_ids[:docs], counts[:docs], bits, owner, number)
+            ids, counts, doc_ids, number = ids[n:], counts[docs:], doc_ids[docs:], number + 1
             return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["blob"])
 
         for step in _steps(batches):
             owner = step.column("range")[0].as_py()
             found, n = encode(step.column("text"))
-            ids.append(np.insert(found, np.cumsum(n), end_id))
-            counts.append(n + 1)
+            ids = np.concatenate((ids, np.insert(found, np.cumsum(n), end_id)))
+            counts = np.concatenate((counts, n + 1))
             doc_ids += step.column("doc_id").to_pylist()
-            size += len(ids[-1])
-            if size >= shard_tokens:
-                yield blob()
-                ids, doc_ids, counts, size, number = [], [], [], 0, number + 1
-                release_memory()
+            while len(ids) >= shard_tokens:
+                yield blob(int(np.searchsorted(np.cumsum(counts), shard_tokens)) + 1)
+            release_memory()
         if doc_ids:
-            yield blob()
+            yield blob(len(doc_ids))
         release_memory()
 
-    write_blobs(rows.mapInArrow(write, "blob binary"), "blob", folder)
+    # a shard has shard_tokens ids and a document's at most; a range with more
+    # bytes than others goes on in further files
+    write_blobs(rows.mapInArrow(write, "blob binary"), "blob", folder, max(1, file_bytes // (2 * shard_tokens)))
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:

@@ -190,6 +190,9 @@ def test_encoder_equals_whole_texts():
     rng = random.Random(4)
     alphabet = ["a", "B", "é", " ", " ", " ", "\n", "\t", " ", " ", "1", "!", "'s", "\x01", "\x1c", "<|endoftext|>", "字", " the"]
     texts = ["".join(rng.choices(alphabet, k=rng.randrange(12))) for _ in range(3000)] + [None, "", " ", "a  b", "a   b ", " \n x"]
+    letters = ["a", "q", "É", "ß", "×", "÷", "ƀ", "ɏ", "ɐ", "ª", "µ", " ", " ", "\n", ".", ",", "'t", "9", "\xa0", "\x85", "\u2028", "-"]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(25))) for _ in range(3000)]
+    texts += ["".join(rng.choices("abcé1", k=n)) for n in (900, 901, 5000)] + ["x\ny\nz\n\nw.\nV", "a.\n'b", "w, w. w! w? w; w: w.. w,."] * 2
     plain = Tokenizer.from_file(tokenizer_path())
     for limit in (10**6, 50):
         ids, counts = tokens.Encoder(tokenizer_path(), limit).encode(pa.array(texts))
@@ -208,6 +211,28 @@ def test_token_files_with_many_ranges_and_shards(spark, edge):
     assert found[0] == found[1]
 
 
+@pytest.mark.parametrize("shape", ["null ids", "one id", "long texts side by side"])
+def test_token_files_are_bounded(spark, shape):
+    """Whatever the ids and lengths, in files of bounded size and in order."""
+    rng = random.Random(7)
+    said = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows = [(i, said(30)) for i in range(1200)]
+    if shape == "long texts side by side":
+        rows = [(i, said(1000) if 600 <= i < 640 else t) for i, t in rows]
+    else:
+        rows = [((None if shape == "null ids" else 77) if i % 3 == 0 else i, t) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder, file_bytes = shared_folder(spark, "tokens"), 40_000
+    tokens.write_tokens(docs, folder, tokenizer_path(), file_bytes=file_bytes, shard_tokens=5_000)
+    sizes = [len(r.content) for r in read_blobs(spark, folder).collect()]
+    assert len(sizes) > 3 and max(sizes) < 2 * file_bytes
+    got = tokens.with_starts(tokens.read_tokens(spark, folder)).orderBy("start").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r.doc_id for r in got] == [d for d, _ in order]
+    encoded = tokens.Encoder(tokenizer_path()).encode(pa.array([t for _, t in order]))[1] + 1
+    assert [r.n_tokens for r in got] == encoded.tolist() and [r.start for r in got] == (np.cumsum(encoded) - encoded).tolist()
+
+
 # ---- decontamination
 
 def test_blocks_of_a_benchmark(spark, edge):
