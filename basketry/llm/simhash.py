@@ -211,7 +211,9 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     prints = docs.select(F.col(doc_id).alias("doc_id"), print_.alias("fp")).checkpoint()
     first = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("x")
     kept = classes(prints).groupBy("root").agg(first).select(F.col("x.first").alias("__first"), F.col("x.fp").alias("__kept"))
-    rows = docs.withColumn("__fp", print_)
-    rows = rows.join(kept, (F.col("__fp") == F.col("__kept")) & F.col(doc_id).eqNullSafe(F.col("__first")))
-    one = Window.partitionBy("__fp", doc_id).orderBy(text)  # rows that repeat
-    return rows.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(*docs.columns)
+    # the document as one column, so that no name of its columns matters
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), print_.alias("fp"))
+    id_, text_ = F.col("doc").getField(doc_id), F.col("doc").getField(text)
+    rows = rows.join(kept, (F.col("fp") == F.col("__kept")) & id_.eqNullSafe(F.col("__first")))
+    one = Window.partitionBy("fp", id_).orderBy(text_)  # rows that repeat
+    return rows.withColumn("row", F.row_number().over(one)).where("row = 1").select("doc.*")
