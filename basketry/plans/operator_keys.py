@@ -16,7 +16,7 @@ from basketry.functions.expr import (big, bucketize, days_between, dbl, month_di
 from basketry.operators.bitmaps import countable, distinct_counts, id_bitmaps, merged
 from basketry.operators.events import argmin_rows
 from basketry.operators.materialize import materialize
-from basketry.operators.global_window import GlobalSpec, asc, desc, global_window, global_windows
+from basketry.operators.global_window import asc, desc, global_window
 from basketry.operators.pivot import pivot_sum
 from basketry.operators.topk import topk
 from basketry.plans import adhoc
@@ -197,15 +197,17 @@ def op_rolling_avg(shop: Shop) -> DataFrame:
 
 
 def op_window_dist(shop: Shop) -> DataFrame:
-    """PERCENT_RANK and CUME_DIST over all products by revenue: two
-    distributed global ranks (ascending, descending) and the row count."""
+    """PERCENT_RANK and CUME_DIST over all products by revenue, from one
+    global running count over the distinct revenues: a product's rank follows
+    the products below its revenue, its share those up to it."""
     pr = materialize(product_revenue(shop).select("product_id", "revenue"))
-    r = global_windows(pr, [GlobalSpec((asc("revenue"),), rank="r_asc"),
-                            GlobalSpec((desc("revenue"),), rank="r_desc")], materialize=False)
-    return r.withColumn("n", pr.select(F.count(F.lit(1))).scalar()).select(
+    level = materialize(pr.groupBy("revenue").agg(F.count(F.lit(1)).alias("held")))
+    run = global_window(level, [asc("revenue")], running_sum=("upto", "held"), materialize=False)
+    run = run.withColumnRenamed("revenue", "level").withColumn("n", level.select(F.sum("held")).scalar())
+    return pr.join(run, F.col("revenue").eqNullSafe(F.col("level"))).select(
         "product_id", dbl("revenue").alias("revenue"),
-        rnd(ratio(F.col("r_asc") - 1, F.col("n") - 1), 6).alias("pct_rank"),
-        rnd(ratio(F.col("n") - F.col("r_desc") + 1, F.col("n")), 6).alias("cume_dist"))
+        rnd(ratio(F.col("upto") - F.col("held"), F.col("n") - 1), 6).alias("pct_rank"),
+        rnd(ratio(F.col("upto"), F.col("n")), 6).alias("cume_dist"))
 
 
 def op_window_first_last(shop: Shop) -> DataFrame:

@@ -60,8 +60,8 @@ STAGES = [
     ("tokens", tokens_stage),
 ]
 
-#: SimHash and the tokenizer can't be said in SQL.  tests/llm compares single
-#: operators, not the whole pipeline.
+#: SimHash and the tokenizer can't be said in SQL.  tests/llm/test_pipeline.py
+#: holds every stage of a run against a version without the operators.
 ORACLE_SQL = None
 
 
