@@ -26,10 +26,13 @@ def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> dict:
     return {x["item"]: x["count"] / found["n"] for x in found["top"] or () if x["item"] is not None and x["count"] >= share * found["n"]}
 
 
-def salted_join(fact: DataFrame, dimension: DataFrame, key: str, spread_by: str, hot: dict) -> DataFrame:
+def salted_join(fact: DataFrame, dimension: DataFrame, key: str, spread_by: str, hot: dict | None = None) -> DataFrame:
     """Inner join on ``key``; rows of the ``hot`` keys (with their shares)
     are spread by ``spread_by`` over as many parts as a key with that share
-    would fill of the session's shuffle partitions."""
+    would fill of the session's shuffle partitions.  Without ``hot`` they are
+    looked for in the fact itself."""
+    if hot is None:
+        hot = hot_keys(fact, key)
     if not hot:
         return fact.join(dimension, key)
     partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
