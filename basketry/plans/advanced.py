@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.expr import big, ratio, rnd, rnd_dec
+from basketry.operators.recursion import best_chains, reach
 from basketry.plans.common import DELIVERED, SHOWCASE_CUSTOMERS, order_totals, valued_orders
 from basketry.sources.fixture import Shop
 
@@ -104,3 +105,35 @@ def journey_paths(shop: Shop, depth: int = 5) -> DataFrame:
                  F.round(F.sum("value"), 2).alias("total_revenue"))
             .select(big("k").alias("order_number"), "customers", "avg_order_value", "total_revenue")
             .orderBy("order_number"))
+
+
+def _delivered_steps(shop: Shop) -> DataFrame:
+    """Delivered orders with their value and the customer's first delivered
+    date; orders without items have no value, but count for that date."""
+    orders = shop.orders_where(DELIVERED).join(order_totals(shop), "order_id", "left")
+    firsts = orders.groupBy("customer_id").agg(F.min("order_date").alias("first_date"))
+    return orders.select("customer_id", "order_id", "order_date", "revenue").join(firsts, "customer_id")
+
+
+def journey_chains(shop: Shop, depth: int = 5) -> DataFrame:
+    """The chains of ``journey_paths`` as rows: for each customer and length,
+    the one worth most, with its orders."""
+    steps = _delivered_steps(shop).withColumn("starts", F.col("order_date") == F.col("first_date"))
+    best = best_chains(steps, "customer_id", "order_date", "order_id", "revenue", "starts", depth)
+    return best.select("customer_id", big("length").alias("n_orders"), rnd_dec("total", 2).alias("total_revenue"),
+                       F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("orders"))
+
+
+def journey_months(shop: Shop, depth: int = 6) -> DataFrame:
+    """Recursion over links: from the month of a customer's first delivered
+    order to the next month with one, as long as at most three months lie
+    between, up to ``depth`` months.  One row per customer and step."""
+    month = F.month("order_date") + 12 * F.year("order_date")
+    active = (shop.orders_where(DELIVERED).select("customer_id", month.alias("month"))
+              .groupBy("customer_id", "month").agg(F.count(F.lit(1)).alias("orders")))
+    per_customer = Window.partitionBy("customer_id").orderBy("month")
+    links = (active.select("customer_id", "month", F.col("customer_id").alias("next_customer_id"), F.lead("month").over(per_customer).alias("next_month"))
+             .where("next_month - month <= 3"))
+    seed = active.groupBy("customer_id").agg(F.min("month").alias("month"))
+    return (reach(seed, links, ["customer_id", "month"], depth).join(active, ["customer_id", "month"])
+            .select("customer_id", big("depth").alias("step"), big("month").alias("month_number"), big("orders").alias("orders")))

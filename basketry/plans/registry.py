@@ -69,6 +69,10 @@ register("journey_sequence", ADV, "Customer Journey: n-th order", "hard",
          ("Window Function", "ROW_NUMBER"))(lambda shop: advanced.journey_sequence(shop, 5))
 register("journey_paths", ADV, "Recursive CTE — Customer Journey", "hard",
          ("Recursive CTE", "Hierarchy", "WITH RECURSIVE"))(lambda shop: advanced.journey_paths(shop, 5))
+register("journey_chains", ADV, "Customer Journey: best chain of each length", "hard",
+         ("Recursive CTE", "Hierarchy"))(lambda shop: advanced.journey_chains(shop, 5))
+register("journey_months", ADV, "Customer Journey: linked months", "hard",
+         ("Recursive CTE", "LEAD"))(lambda shop: advanced.journey_months(shop, 6))
 register("window_showcase3", SCRIPT, "All major window functions in one query", "hard",
          ("ROW_NUMBER", "RANK", "LAG", "LEAD"))(
     lambda shop: advanced.window_showcase(shop, SHOWCASE_CUSTOMERS_SCRIPT, advanced.SCRIPT_NAMES))
@@ -95,4 +99,6 @@ for _key, _tags in OPERATOR_KEYS:
 
 register("audit_domain", AUDIT, "CHECK domains", "easy", ("CHECK",))(audits.audit_domain)
 register("audit_unique", AUDIT, "Primary key uniqueness", "easy", ("PRIMARY KEY",))(audits.audit_unique)
+register("audit_summaries", AUDIT, "Keys and references from kept summaries", "med",
+         ("PRIMARY KEY", "REFERENCES", "reuse"))(audits.audit_summaries)
 register("audit_fk", AUDIT, "Foreign key orphans", "easy", ("REFERENCES",))(audits.audit_fk)
