@@ -1,7 +1,8 @@
 """WARC 1.1 archives with records compressed one by one under a shared
 Zstandard dictionary, and their reader.
 
-A file is: a skippable frame (magic 0x184D2A5D) that holds the dictionary;
+A partition of pages goes on in further files, none of which has much more
+than ``FILE_BYTES``.  A file is: a skippable frame (magic 0x184D2A5D) that holds the dictionary;
 one Zstandard frame for each record; a skippable frame of one byte, 0x0A, at
 the end of each flush (Spark's writer supplies that byte, see ``store.py``).
 The dictionary is built from the first records of the file itself, at most
@@ -22,6 +23,7 @@ Control characters in URLs are percent-encoded in the headers.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -41,9 +43,9 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: Payloads shorter than this are always stored.
 MIN_REVISIT = 100
-#: Bytes of compressed records handed to the writer at once.
+#: Bytes of compressed records handed to the writer at once (a part).
 FLUSH_BYTES = 4 << 20
-#: Bytes of html for one archive file.
+#: Bytes of an archive file; its last part may pass them by one part and one record.
 FILE_BYTES = 16 << 20
 
 _NAMESPACE = uuid.UUID(int=0x5EC0_0D00_0000_4000_8000_0000_0000_0001)
@@ -83,10 +85,11 @@ def _dictionary(sample: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(sample)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def archive(records: Iterator[bytes]) -> Iterator[bytes]:
-    """The bytes of a file, in parts that each lack their last byte, 0x0A.
-    Holds the sample, then one part."""
-    sample, size = [], 0
+def archive(records: Iterator[bytes], parts: int = 0, left: list[bytes] | None = None, flush_bytes: int = FLUSH_BYTES) -> Iterator[bytes]:
+    """The bytes of a file, in parts that each lack their last byte, 0x0A; it
+    ends after ``parts`` of them, if given, and puts the records that it took
+    and did not write into ``left``.  Holds the sample, then one part."""
+    sample, size, done = [], 0, 0
     for r in records:
         sample.append(r)
         size += len(r)
@@ -108,13 +111,25 @@ def archive(records: Iterator[bytes]) -> Iterator[bytes]:
     for r in every():
         part.append(compress(r))
         size += len(part[-1])
-        if size >= FLUSH_BYTES:
+        if size >= flush_bytes:
             yield b"".join([*part, end])
-            part, size = [], 0
+            part, size, done = [], 0, done + 1
+            if done == parts:
+                left.extend(sample)
+                return
     if part:
         yield b"".join([*part, end])
 
 
+def archives(records: Iterator[bytes], parts: int, flush_bytes: int = FLUSH_BYTES) -> Iterator[bytes]:
+    """The parts of as many files as needed, ``parts`` in each but the last."""
+    for first in records:
+        left = [first]
+        while left:
+            again, left = left, []
+            yield from archive(itertools.chain(again, records), parts, left, flush_bytes)
+
+
 def read_archive(content: bytes) -> Iterator[bytes]:
     """The records of a file, decompressed one at a time."""
     view, at = memoryview(content), 0
@@ -158,13 +173,18 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     rows = rows.withColumns({"size": F.length("html").cast("long"), "digest": F.sha2("html", 256)})
     firsts = (rows.where(F.col("size") >= min_revisit).groupBy("digest")
               .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    rows = rows.join(firsts, "digest", "left")
+    # short payloads are no one's copy: they meet nothing, and are spread by their page
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    rows = rows.withColumn("of", F.when(F.col("size") >= min_revisit, F.col("digest")).otherwise(alone))
+    rows = rows.join(firsts.withColumnRenamed("digest", "of"), "of", "left")
     other = F.when((F.col("size") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.select("page_id", "url", "html", "size", "digest", other.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, **options) -> None:
-    """Archives of ``pages`` in ``folder``, one file a partition."""
+def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, **options) -> None:
+    """Archives of ``pages`` in ``folder``, as many a partition as its bytes need."""
+    flush_bytes = min(FLUSH_BYTES, file_bytes)
+    parts = max(1, file_bytes // flush_bytes)
     rows = with_revisits(pages, **options)
     # a revisit's payload is not written, so it need not be moved
     rows = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
@@ -174,10 +194,10 @@ def write_archives(pages: DataFrame, folder: str, **options) -> None:
             for batch in batches:
                 for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "size", "digest", "refers_to"))):
                     yield record(r[0], r[1], r[2] or b"", *r[3:])
-        for part in archive(records()):
+        for part in archives(records(), parts, flush_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary())], ["blob"])
 
-    write_blobs(rows.mapInArrow(write, "blob binary"), "blob", folder)
+    write_blobs(rows.mapInArrow(write, "blob binary"), "blob", folder, per_file=parts)
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:

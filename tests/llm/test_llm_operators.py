@@ -3,6 +3,8 @@
 import hashlib
 import random
 import struct
+from collections import Counter
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -284,6 +286,29 @@ def test_archive_format():
         list(warc.read_archive(content[:-20]))
 
 
+def test_archive_files_are_bounded(spark, tmp_path):
+    """One partition, incompressible pages: files end near the bytes asked
+    for, each opens alone, and nothing is lost between them."""
+    pages = spark.range(300, numPartitions=1).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "sha2(cast(id AS string), 512) || sha2(cast(-id - 1 AS string), 512) AS html")
+    pages = pages.unionByName(pages.where("page_id < 20").selectExpr("page_id + 1000 AS page_id", "url", "html"))
+    sizes = {}
+    for file_bytes in (4_000, 12_000, warc.FILE_BYTES):
+        folder = f"{tmp_path}/{file_bytes}"
+        warc.write_archives(pages.coalesce(1), folder, file_bytes=file_bytes)
+        got = warc.read_archives(spark, folder).collect()
+        assert Counter(r.page_id for r in got) == Counter([*range(300), *range(1000, 1020)])
+        assert {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {(1000 + i, i) for i in range(20)}
+        sizes[file_bytes] = [f.stat().st_size for f in Path(folder).glob("part-*")]
+    dictionary = warc.DICTIONARY_BYTES
+    assert len(sizes[4_000]) > len(sizes[12_000]) > 1
+    assert all(max(found) < 2 * size + dictionary for size, found in sizes.items())
+    for n in (1, 2, 3):  # every part of a file is given to it, whatever a sample holds
+        records = [warc.record(i, None, bytes([i]) * 50, 50, "00", None) for i in range(40)]
+        made = [p + b"\n" for p in warc.archives(iter(records), n, flush_bytes=1_000)]
+        files = [b"".join(made[i:i + n]) for i in range(0, len(made), n)]
+        assert [r for f in files for r in warc.read_archive(f)] == records and len(files) > 1
+
+
 # ---- URL filter
 
 def test_longest_rule_wins(spark):
