@@ -3,16 +3,19 @@ below a fixed fraction of the hash range is retained.
 
 Shingles are ``SHINGLE`` consecutive words `[^\\x20\\x09-\\x0D]+` (fewer
 words: the whole sequence), hashed to 48 bits.  A sketch holds all hashes
-below 2**48 / ``SCALE`` and, so that short texts have one too, in any case
-the ``FLOOR`` smallest.  Sketches of parts merge into the sketch of the whole
-(union, then the same rule), and they compare texts of very unequal length:
-the share of a sketch's hashes that the other one holds estimates how much
-of the one text is contained in the other, over the range of hashes in which
-both are complete.
-
-Defined results: null text is empty; a text without words has an empty
-sketch, which is contained in an empty one (1.0) and in no other (0.0);
-equal texts have equal sketches.
+below 2**48 / ``SCALE`` and no others, whatever the length of the text.
+Sketches of parts merge into the sketch of the whole by union, and they
+compare texts of very unequal length: the share of a sketch's hashes that the
+other one holds estimates how much of the one text is contained in the other.
+
+A text of s shingles keeps about s / SCALE hashes; its estimate is off by about
+sqrt(p (1 - p) SCALE / s) for a true share p.  It has no hash at all with
+probability (1 - 1 / SCALE)**s, at SCALE 2 one in two for a text of a single
+shingle and one in a thousand for one of ten.
+
+Defined results: null text is empty; a text without words, or without a hash
+below the fraction, has an empty sketch, which is contained in an empty one
+(1.0) and in no other (0.0); equal texts have equal sketches.
 """
 
 from __future__ import annotations
@@ -30,15 +33,14 @@ from basketry.llm.ranges import RANGE_BYTES, ranges_for
 from basketry.llm.text import WordCodes, window_hashes, words
 
 SHINGLE = 5
-SCALE = 8
-FLOOR = 64
+SCALE = 2
 _BITS = 48
-THRESHOLD = (1 << _BITS) // SCALE
+THRESHOLD = np.uint64((1 << _BITS) // SCALE)
 
 
 def trim(hashes: np.ndarray) -> np.ndarray:
     """The retained ones of sorted distinct hashes."""
-    return hashes[:max(FLOOR, int(np.searchsorted(hashes, THRESHOLD)))]
+    return hashes[:np.searchsorted(hashes, THRESHOLD)]
 
 
 def sketch(raw: bytes, codes: WordCodes, shingle: int = SHINGLE) -> np.ndarray:
@@ -50,22 +52,14 @@ def sketch(raw: bytes, codes: WordCodes, shingle: int = SHINGLE) -> np.ndarray:
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of two texts' shingles together."""
-    return trim(np.union1d(a, b))
-
-
-def _complete_to(s: np.ndarray) -> int:
-    """Below this value a sketch holds all hashes of its text."""
-    return 1 << _BITS if len(s) < FLOOR else max(THRESHOLD, int(s[-1]) + 1)
+    return np.union1d(a, b)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of a's shingles that b has."""
     if not len(a):
         return float(not len(b))
-    both = a[:np.searchsorted(a, min(_complete_to(a), _complete_to(b)))]
-    if not len(both):
-        both = a
-    return float(np.isin(both, b, assume_unique=True).mean())
+    return float(np.isin(a, b, assume_unique=True).mean())
 
 
 def encode(s: np.ndarray) -> str:

@@ -1,5 +1,6 @@
 """Brute-force versions of the contracts, on plain Python rows."""
 
+import base64
 import hashlib
 import math
 import re
@@ -113,3 +114,18 @@ def ranked(docs, items, k=50):
                 scored.append((-score, d is None, d or 0, d))
         out += [(item, place, d, -s) for place, (s, _, _, d) in enumerate(sorted(scored, key=lambda x: x[:3])[:k], 1)]
     return out
+
+
+def fingerprint(text, scale=2):
+    """The sketch by its definition, in plain integers."""
+    full = 1 << 64
+    codes = [xxhash.xxh64_intdigest(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode())]
+    width, found = min(5, len(codes)), set()
+    for i in range(len(codes) - width + 1 if codes else 0):
+        h = 0
+        for c in codes[i:i + width]:
+            h = (h * 0x9E3779B97F4A7C15 + c) % full
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % full
+        found.add((h ^ h >> 31) >> 16)
+    return base64.b64encode(b"".join(h.to_bytes(6, "big") for h in sorted(found) if h * scale < 1 << 48)).decode()
