@@ -112,7 +112,9 @@ def test_op10_equals_brute_force(spark, folder):
              for r in got if r.fingerprint]
     kept = np.array([len(sketch.decode(r.fingerprint)) for r in got if r.fingerprint])
     assert np.mean(found, axis=0).max() < 0.05 and (np.max(found, axis=1) < 4 * np.sqrt(0.25 / kept)).all()
-    assert np.max(np.array(found)[kept >= 64]) < 0.2 and len(kept) > 0.98 * len(got)
+    assert np.max(np.array(found)[kept >= 64]) < 0.2
+    # only very short texts are without a hash
+    assert all(r.fingerprint for r in got if len(near[r.doc_id][2]) >= 16)
 
 
 def test_op12_on_labelled_rows(spark, folder):
