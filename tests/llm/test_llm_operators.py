@@ -203,6 +203,55 @@ def test_encoder_equals_whole_texts():
         assert ids.tolist() == [i for x in want for i in x]
 
 
+def test_encoder_asks_once_for_a_word_whatever_follows(monkeypatch):
+    from tokenizers import Tokenizer
+
+    asked, merges = Counter(), tokens.Encoder._words
+
+    def counted(self, words):
+        asked.update(words.to_pylist())
+        return merges(self, words)
+    monkeypatch.setattr(tokens.Encoder, "_words", counted)
+    monkeypatch.setattr(tokens.Encoder, "_whole", lambda self, texts: pytest.fail(f"whole: {texts}") if texts else (np.empty(0, np.uint32), np.empty(0, np.int64)))
+    encoder, plain = tokens.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for mark in ["", ".", ",", "!!", '."', ")", "'", "...", "^_`", "\\]", "-", "***", "", "'"]:
+        text = f"some words{mark} 12{mark} étés{mark} Other{mark}"
+        assert encoder.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert {"some", " words", " 12", " étés", " Other"} <= set(asked) and max(asked.values()) == 1
+
+
+def test_encoder_memory_is_bounded():
+    encoder = tokens.Encoder(tokenizer_path(), 30_000)
+    sizes = []
+    for i in range(40):
+        words = pa.array([" ".join(f"{chr(97 + i // 2 % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(150))])
+        assert encoder.encode(words)[0].tolist() == tokens.Encoder(tokenizer_path()).encode(words)[0].tolist()
+        sizes.append(encoder.held)
+    assert max(sizes) <= 30_000 and any(b < a for a, b in zip(sizes, sizes[1:]))
+
+
+def test_encoder_compares_pieces_of_one_hash(monkeypatch):
+    from tokenizers import Tokenizer
+
+    hashes = tokens.Encoder._hashes
+    monkeypatch.setattr(tokens.Encoder, "_hashes", staticmethod(lambda strings: hashes(strings) % 3))
+    encoder, plain = tokens.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for text in ["a b c d e f", "f e d c b a g", "g1 a. b! x-y", "x-y g1 h\ni a", "", "a b c d e f"]:
+        assert encoder.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_finds_added_tokens(tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.add_tokens(["***", "word"])
+    plain.save(path := str(tmp_path / "added.json"))
+    for text in ["a word*** a*** 12***", "sword wordy. x"]:
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert tokens.Encoder(path).encode(pa.array([text]))[0].tolist() == want
+        assert want != tokens.Encoder(tokenizer_path()).encode(pa.array([text]))[0].tolist()
+
+
 def test_token_files_with_many_ranges_and_shards(spark, edge):
     docs = spark.read.parquet(f"{edge}/documents.parquet")
     found = []
